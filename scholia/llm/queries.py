@@ -33,6 +33,13 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scholia.llm.mixing import mix
+
+    found = mix(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.size("draws") * F.col("size")).alias("taken"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scholia.llm.chat import digests, format_turns
 
@@ -41,5 +48,5 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_turns(rows.unionByName(own), typed=False))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_language": op2_language, "op7_bpe": op7_bpe, "op10_chat": op10_chat}
+QUERIES = {"op1_simhash": op1_simhash, "op2_language": op2_language, "op7_bpe": op7_bpe, "op8_mix": op8_mix, "op10_chat": op10_chat}
 ORACLE_SQL: dict[str, str] = {}
