@@ -24,6 +24,12 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold() == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scholia.llm.imatch import edited_fingerprints
+
+    return edited_fingerprints(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scholia.llm.licenses import scan
 
@@ -54,5 +60,5 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_turns(rows.unionByName(own), typed=False))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_language": op2_language, "op4_licenses": op4_licenses, "op7_bpe": op7_bpe, "op8_mix": op8_mix, "op10_chat": op10_chat}
+QUERIES = {"op1_simhash": op1_simhash, "op2_language": op2_language, "op3_imatch": op3_imatch, "op4_licenses": op4_licenses, "op7_bpe": op7_bpe, "op8_mix": op8_mix, "op10_chat": op10_chat}
 ORACLE_SQL: dict[str, str] = {}
