@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +32,14 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) ->
         yield batch.slice(a, b - a)
 
 
+def text_slices_at(batch: pa.RecordBatch, at: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """As text_slices, for a column given by its place, whatever its name."""
+    named, start = pa.RecordBatch.from_arrays([batch.column(at)], ["text"]), 0
+    for part in text_slices(named, "text", limit):
+        yield batch.slice(start, part.num_rows)
+        start += part.num_rows
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
     """Re-cut a stream sorted by ``keys`` so that no group spans two batches.
 
@@ -71,3 +82,18 @@ def group_starts(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
         v = batch.column(k).to_numpy(zero_copy_only=False)
         new[1:] |= v[1:] != v[:-1]
     return np.append(np.flatnonzero(new), n)
+
+
+@lru_cache(maxsize=1)
+def one_blas_thread() -> bool:
+    """Let numpy's matrix products use one thread: matrices here are small, and tasks already use every core."""
+    with contextlib.suppress(OSError, AttributeError):
+        with open("/proc/self/maps") as f:
+            paths = {line.split()[-1] for line in f if "openblas" in line}
+        for path in paths:
+            lib = ctypes.CDLL(path)
+            for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+                if hasattr(lib, name):
+                    getattr(lib, name)(1)
+                    break
+    return True

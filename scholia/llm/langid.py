@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.common import text_slices
+from scholia.llm.common import one_blas_thread, text_slices, text_slices_at
 
 UNKNOWN = "und"
 WINDOW = 256
@@ -45,6 +45,7 @@ class ByteConvNet:
         return made, spans, made.max(axis=1)
 
     def probabilities(self, windows: np.ndarray) -> np.ndarray:
+        one_blas_thread()
         parts = []
         for at in range(0, len(windows), _CHUNK):
             top = np.maximum(self.pooled(windows[at : at + _CHUNK])[2] + self.bias, 0)
@@ -87,6 +88,7 @@ def cut(raw: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray,
 
 def train(texts: list[str], langs: list[str], seed: int = 7, dims: int = 6, per_width: int = 12, epochs: int = 8, rate: float = 0.01) -> ByteConvNet:
     """Fit the network with Adam on up to ``SAMPLE_WINDOWS`` windows of each text, spread over its length."""
+    one_blas_thread()
     labels = sorted(set(langs))
     rng = np.random.default_rng(seed)
     widest, n_filters = max(WIDTHS), per_width * len(WIDTHS)
@@ -194,7 +196,7 @@ def keep_identified(docs: DataFrame, net: ByteConvNet, text_col: str = "text", l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices_at(batch, at):
+            for part in text_slices_at(batch, at, 2 << 20):
                 labels, scores = net.predict(part.column(at).to_pylist())
                 good = [k != UNKNOWN and s >= least for k, s in zip(labels, scores, strict=True)]
                 yield part.filter(pa.array(good, pa.bool_()))
@@ -202,14 +204,5 @@ def keep_identified(docs: DataFrame, net: ByteConvNet, text_col: str = "text", l
     return docs.mapInArrow(run, schema)
 
 
-def text_slices_at(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
-    """As text_slices, for a column given by its place, whatever its name."""
-    named = pa.RecordBatch.from_arrays([batch.column(at)], ["text"])
-    start = 0
-    for part in text_slices(named, "text", 2 << 20):
-        yield batch.slice(start, part.num_rows)
-        start += part.num_rows
-
-
 def crc_fold(doc_id: int | None, parts: int = 4) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % parts

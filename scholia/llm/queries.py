@@ -36,6 +36,12 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scholia.llm.pii import find, trained
+
+    return find(table(spark, sf_dir, "documents"), trained()).withColumnRenamed("id", "doc_id")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -60,5 +66,5 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_turns(rows.unionByName(own), typed=False))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_language": op2_language, "op3_imatch": op3_imatch, "op4_licenses": op4_licenses, "op7_bpe": op7_bpe, "op8_mix": op8_mix, "op10_chat": op10_chat}
+QUERIES = {"op1_simhash": op1_simhash, "op2_language": op2_language, "op3_imatch": op3_imatch, "op4_licenses": op4_licenses, "op6_pii": op6_pii, "op7_bpe": op7_bpe, "op8_mix": op8_mix, "op10_chat": op10_chat}
 ORACLE_SQL: dict[str, str] = {}
