@@ -36,6 +36,14 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scholia.llm.langid import fold
+    from scholia.llm.lblm import score
+
+    found = score(table(spark, sf_dir, "documents"), fold(parts=7) != 2)
+    return found.select(F.col("id").alias("doc_id"), (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scholia.llm.pii import find, trained
 
@@ -66,5 +74,5 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_turns(rows.unionByName(own), typed=False))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_language": op2_language, "op3_imatch": op3_imatch, "op4_licenses": op4_licenses, "op6_pii": op6_pii, "op7_bpe": op7_bpe, "op8_mix": op8_mix, "op10_chat": op10_chat}
+QUERIES = {"op1_simhash": op1_simhash, "op2_language": op2_language, "op3_imatch": op3_imatch, "op4_licenses": op4_licenses, "op5_lm": op5_lm, "op6_pii": op6_pii, "op7_bpe": op7_bpe, "op8_mix": op8_mix, "op10_chat": op10_chat}
 ORACLE_SQL: dict[str, str] = {}
