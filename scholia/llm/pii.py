@@ -291,7 +291,14 @@ def labelled_windows(n: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     pick = lambda seq: seq[int(rng.integers(len(seq)))]
     digits = lambda k: "".join(map(str, rng.integers(0, 10, k)))
     syllables = ["an", "the", "ion", "re", "st", "que", "ich", "en", "do", "la", "é", "ü", "ment", "os", "ka", "by"]
-    word = lambda: "".join(pick(syllables) for _ in range(int(rng.integers(1, 4))))
+    letters = "abcdefghijklmnopqrstuvwxyzàäçéñöüß"
+
+    def word() -> str:
+        made = "".join(pick(syllables if rng.random() < 0.5 else letters) for _ in range(int(rng.integers(1, 6))))
+        return made.capitalize() if rng.random() < 0.15 else made
+
+    def ascii_word() -> str:
+        return "".join(c for c in word() if c.isascii()) or "info"
 
     def card() -> str:
         body = digits(15)
@@ -299,10 +306,10 @@ def labelled_windows(n: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
         return pick([full, "-".join(full[i : i + 4] for i in range(0, 16, 4)), " ".join(full[i : i + 4] for i in range(0, 16, 4))])
 
     def phone() -> str:
-        return pick([f"+{digits(2)} {digits(3)} {digits(7)}", f"+1-{digits(3)}-{digits(3)}-{digits(4)}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"0{digits(3)}/{digits(7)}", f"{digits(3)}.{digits(3)}.{digits(4)}", f"+{digits(2)}{digits(9)}"])
+        return pick([f"+{digits(2)} {digits(3)} {digits(7)}", f"+1-{digits(3)}-{digits(3)}-{digits(4)}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"0{digits(3)}/{digits(7)}", f"{digits(3)}.{digits(3)}.{digits(4)}", f"+{digits(2)}{digits(9)}"])
 
     made = {
-        "email": lambda: f"{word()}{pick(['.', '_', '', '-'])}{pick([word(), digits(2)])}@{word()}{pick(['', digits(1)])}.{pick(['com', 'org', 'example.com', 'de'])}",
+        "email": lambda: f"{ascii_word()}{pick(['.', '_', '', '-'])}{pick([ascii_word(), digits(2)])}@{ascii_word()}{pick(['', digits(1)])}.{pick(['com', 'org', 'example.com', 'de'])}",
         "ip": lambda: ".".join(str(x) for x in rng.integers(0, 256, 4)),
         "card": card, "phone": phone,
     }
@@ -329,7 +336,7 @@ def labelled_windows(n: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
 
 
 @lru_cache(maxsize=2)
-def trained(windows: int = 3000, steps: int = 280) -> Tagger:
+def trained(windows: int = 6000, steps: int = 420) -> Tagger:
     """The network fitted on generated windows; the same in every process."""
     return Tagger().fit(*labelled_windows(windows), steps)
 
