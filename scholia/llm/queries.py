@@ -66,6 +66,12 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.size("draws") * F.col("size")).alias("taken"))
 
 
+def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scholia.llm.vectors import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scholia.llm.chat import digests, format_turns
 
@@ -74,5 +80,5 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_turns(rows.unionByName(own), typed=False))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_language": op2_language, "op3_imatch": op3_imatch, "op4_licenses": op4_licenses, "op5_lm": op5_lm, "op6_pii": op6_pii, "op7_bpe": op7_bpe, "op8_mix": op8_mix, "op10_chat": op10_chat}
+QUERIES = {"op1_simhash": op1_simhash, "op2_language": op2_language, "op3_imatch": op3_imatch, "op4_licenses": op4_licenses, "op5_lm": op5_lm, "op6_pii": op6_pii, "op7_bpe": op7_bpe, "op8_mix": op8_mix, "op9_vectors": op9_vectors, "op10_chat": op10_chat}
 ORACLE_SQL: dict[str, str] = {}
