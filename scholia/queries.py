@@ -1,0 +1,181 @@
+"""All queries of the engine by name, and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scholia.functions import notes
+from scholia.operators import graph
+from scholia.oracle.base import sql
+from scholia.sources import corpus
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
+
+
+def query(name: str, oracle: str | None = None):
+    """Register a query and, computed from the rendering rules, what it must give."""
+
+    def add(f):
+        QUERIES[name] = f
+        if oracle:
+            ORACLE_SQL[name] = sql(oracle)
+        return f
+
+    return add
+
+
+def joined(c) -> F.Column:
+    return F.array_join(c, " ")
+
+
+@query("content_hash", "select id as relpath, sha256(head || body) as sha256 from content")
+def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notes.parsed(corpus.entries(spark, sf_dir)).select("relpath", "sha256")
+
+
+@query(
+    "entry_parse_index",
+    """select e.id as relpath, case when title = '' then regexp_replace(e.name, '\\.md$', '') else title end as title, array_to_string(tags, ' ') as tags, status, created, type,
+    coalesce((select string_agg(case l.t when -2 then '2026/01/missing-' || l.d || '.md' when -5 then 'https://example.com/' || l.d else k.id end, ' ' order by pos) from lines l left join names k on k.d = l.t where l.d = e.d and l.kind = 'see' and l.t <> -4), '') as see from e""",
+)
+def entry_parse_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = notes.parsed(corpus.entries(spark, sf_dir))
+    return p.select("relpath", "title", joined("tags").alias("tags"), "status", "created", "type", joined("see").alias("see"))
+
+
+@query("entry_parse_graph", "select id, title, array_to_string(list_sort(tags), ' ') as tags, status from e")
+def entry_parse_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = graph.build(corpus.entries(spark, sf_dir))
+    return g.nodes.select("id", "title", joined(F.array_sort("tags")).alias("tags"), "status")
+
+
+@query(
+    "tags_by_profile",
+    """select id as relpath, 'index' as profile, array_to_string(tags, ' ') as tags from e union all select id, 'graph', array_to_string(tags, ' ') from e
+    union all select id, 'registry', array_to_string(list_filter(tags, lambda t: t <> '#Mixed'), ' ') from e""",
+)
+def tags_by_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, out = corpus.entries(spark, sf_dir), None
+    for p in ("index", "graph", "registry"):
+        own = notes.with_metadata(e, p).select("relpath", F.lit(p).alias("profile"), joined(notes.tags(p)).alias("tags"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query(
+    "chunk_sections",
+    """, t as (select e.d, e.id, case when title = '' then regexp_replace(name, '\\.md$', '') else title end as title, e.text, tail, regexp_replace(body, '^\\n+', '') as body from e join content c using (d) join tails using (d)),
+    parts as (select t.id, t.title, k, regexp_replace(array_to_string(list_slice(ls, 3 * k + 1, 3 * k + 3), chr(10)) || case when k = len(ls) // 3 then chr(10) || chr(10) || tail else '' end, '^\\s+|\\s+$', '', 'g') as section
+      from t join split using (d), unnest(range(1, len(ls) // 3 + 1)) as u(k) where length(t.text) > 1200),
+    kept as (select id, 'sec' || (row_number() over (partition by id order by k) - 1) as chunk_id, title || ' — Part ' || k || chr(10) || chr(10) || section as text from parts where section <> '')
+    select id as relpath, chunk_id, sha256(text) as text_sha from kept
+    union all select id, 'full', sha256(regexp_replace(title || chr(10) || chr(10) || body, '^\\s+|\\s+$', '', 'g')) from t""",
+)
+def chunk_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notes.chunks(notes.parsed(corpus.entries(spark, sf_dir))).select("relpath", "chunk_id", F.sha2("text", 256).alias("text_sha"))
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> graph.Graph:
+    return graph.build(corpus.entries(spark, sf_dir))
+
+
+@query("graph_edges", "select a.id as src, b.id as dst, kind, resolution from edges x join names a on a.d = x.d join names b on b.d = x.t")
+def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graph(spark, sf_dir).edges.select("src", "dst", "kind", "resolution")
+
+
+@query("edge_kinds", "select kind, count(*) as n from edges group by kind")
+def edge_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.edge_kinds(_graph(spark, sf_dir))
+
+
+_DEGREES = ", deg as (select e.id, (select count(*) from edges x where x.d = e.d) as n_out, (select count(*) from edges x where x.t = e.d) as n_in from e)"
+
+
+@query("degree_hubs", _DEGREES + " select id, n_out, n_in, n_out + n_in as degree from deg order by degree desc, id limit 10")
+def degree_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.hubs(_graph(spark, sf_dir))
+
+
+@query("orphans", _DEGREES + " select id from deg where n_out + n_in = 0")
+def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.orphans(_graph(spark, sf_dir))
+
+
+_RECURSIVE = ", both_ways as (select d as a, t as b from edges union select t, d from edges)"
+
+
+@query("components", _RECURSIVE + ", reach as (select * from (with recursive r(a, b) as (select d, d from e union select r.a, w.b from r join both_ways w on w.a = r.b) select * from r)) select a.id, min(b.id) as component from reach join names a on a.d = reach.a join names b on b.d = reach.b group by a.id")
+def components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.components(_graph(spark, sf_dir))
+
+
+def _id(spark: SparkSession, sf_dir: str, d: int) -> str:
+    return corpus.numbered(spark, sf_dir).where(F.col("d") == d).first()["relpath"]
+
+
+@query(
+    "neighborhood_d2",
+    """, steps as (select x.d as a, x.t as b, '→' as dir, kind, 0 as way, k.id as src, pos from edges x join names k on k.d = x.d union all select x.t, x.d, '←', kind, 1, k.id, pos from edges x join names k on k.d = x.d),
+    one as (select b, first(kind order by way, src, pos) as kind, first(dir order by way, src, pos) as dir, min(row(way, src, pos)) as turn from steps where a = 30 and b <> 30 group by b),
+    two_all as (select s.b, one.b as f, s.kind, s.dir, row(one.turn, row(s.way, s.src, s.pos)) as turn from one join steps s on s.a = one.b where s.b <> 30 and s.b not in (select b from one)),
+    two as (select b, arg_min(f, turn) as f, arg_min(kind, turn) as kind, arg_min(dir, turn) as dir from two_all group by b)
+    select 1 as depth, a.id as "from", one.dir, kind, k.id from one join names k on k.d = one.b join names a on a.d = 30 union all select 2, a.id, two.dir, kind, k.id from two join names k on k.d = two.b join names a on a.d = two.f""",
+)
+def neighborhood_d2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.neighborhood(_graph(spark, sf_dir), _id(spark, sf_dir, 30), 2)
+
+
+@query("shortest_path", _RECURSIVE + ", far as (select * from (with recursive r(b, hops) as (select 0::bigint, 0 union select w.b, r.hops + 1 from r join both_ways w on w.a = r.b where r.hops < 12) select * from r)) select min(hops) as hops from far where b = 46")
+def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.shortest_path(_graph(spark, sf_dir), _id(spark, sf_dir, 0), _id(spark, sf_dir, 46)).agg(F.max("hop").alias("hops"))
+
+
+_CHAIN = ", chain as (select * from (with recursive r(a, b, path) as (select d, t, [d, t] from edges where kind = 'superseded_by' union all select r.a, x.t, list_append(path, x.t) from r join edges x on x.d = r.b and x.kind = 'superseded_by' where not list_contains(path, x.t)) select a, b, len(path) as steps from r))"
+
+
+@query("lineage_current", _CHAIN + " select e.id, coalesce((select k.id from chain c join names k on k.d = c.b where c.a = e.d order by steps desc limit 1), e.id) as current, (select count(*) from chain c where c.b = e.d) as n_ancestors from e")
+def lineage_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _graph(spark, sf_dir)
+    older = graph.ancestors(g).groupBy("id").agg(F.count("*").alias("n"))
+    return graph.current(g).join(older, "id", "left").select("id", "current", F.coalesce("n", F.lit(0)).alias("n_ancestors"))
+
+
+_CYCLES = ", cyc as (select least(a.id, b.id) as lo, greatest(a.id, b.id) as hi, a.id from e join names a on a.d = e.d join names b on b.d = e.succ where e.d % 200 in (140, 150))"
+
+
+@query("supersede_cycles", _CYCLES + " select id, lo || ' → ' || hi || ' → ' || lo as cycle from cyc")
+def supersede_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.cycles(_graph(spark, sf_dir))
+
+
+_LINT = _CYCLES + """, lint as (
+  select id, 'missing-title' as "check", 'no frontmatter title' as detail from e where title = ''
+  union all select id, 'filename', 'does not match <date>-<time>-...-<slug>.md' from e where d % 89 = 7
+  union all select e.id, 'malformed-link', 'line ' || (len(string_split(head, chr(10))) + len(string_split(body, chr(10))) - len(string_split(tail, chr(10))) - 2 + (select count(*) from lines l where l.d = e.d and l.pos < 8) + 1) || ': does not parse as a link, no edge produced: - see: [Odd [label] ' || e.d || '](2026/01/odd.md)' from e join content using (d) join tails using (d) where e.d % 79 = 4 and e.d % 50 <> 49
+  union all select id, 'superseded-status-mismatch', 'superseded_by present but status is ''active''' from e where d % 200 = 160
+  union all select id, 'superseded-broken', 'superseded_by: (2026/01/missing-' || d || '.md) resolves to no entry' from e where d % 200 = 180
+  union all select id, 'superseded-missing-successor', 'status: superseded but no superseded_by' from e where d % 200 = 170
+  union all select e.id, 'broken-link', 'see: (2026/01/missing-' || e.d || '.md) resolves to no file' from e where d % 71 = 2 and d % 50 <> 49
+  union all select e.id, 'out-of-tree', 'ref: (../../../../../../../../outside-' || e.d || '.md) resolves to no file' from e where d % 73 = 3 and d % 50 <> 49
+  union all select e.id, 'self-link', kind || ': links to itself' from lines l join e using (d) where l.t = l.d
+  union all select a.id, 'duplicate-link', kind || ': (' || b.id || ') listed more than once' from edges x join names a on a.d = x.d join names b on b.d = x.t, unnest(range(1, x.times)) where x.times > 1
+  union all select id, 'supersede-cycle', lo || ' → ' || hi || ' → ' || lo from cyc
+  union all select id, 'unknown-tag', 'not in registry: ' || array_to_string(list_sort(list_filter(tags, lambda t: t in ('#Mixed', '#unlisted', '#p10'))), ' ') from e where d % 53 = 1 or d % 11 = 10)"""
+
+
+def _registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.registry_tags(corpus.registry_text(corpus.documents(spark, sf_dir)), spark)
+
+
+@query("lint_all", _LINT + ' select id, "check", detail from lint')
+def lint_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.lint(_graph(spark, sf_dir), _registry(spark, sf_dir))
+
+
+@query("lint_scoped", _LINT + ' select lint.id, "check", detail from lint join e on e.id = lint.id where e.d in (7, 160, 170, 180, 96)')
+def lint_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = corpus.numbered(spark, sf_dir).where("d in (7, 160, 170, 180, 96)").select("relpath").collect()
+    return graph.lint(_graph(spark, sf_dir), _registry(spark, sf_dir), [r.relpath for r in own])
