@@ -42,19 +42,21 @@ def _benign(kind: str, keep_names: bool):
 def redacted(text: F.Column, keep_names: bool = False) -> tuple[F.Column, dict[str, F.Column]]:
     """The text without unambiguous secrets, and the number masked of each kind, in the order of KINDS."""
     counts = {}
-    for kind, pattern in KINDS.items():
-        found, stays = F.regexp_extract_all(text, F.lit(_unicode(pattern)), 0), _benign(kind, keep_names)
-        masked = found if stays is None else F.filter(found, lambda m, stays=stays: ~stays(m))
-        counts[kind] = F.size(masked)
-        if stays is None:
-            text = F.regexp_replace(text, _unicode(pattern), PLACEHOLDER)
-        else:
-            # Texts between the matches, put together again with each match or the placeholder.
-            between = F.split(text, _unicode(pattern), -1)
-            text = F.concat(between[0], F.array_join(F.zip_with(found, F.slice(between, 2, F.size(between)), lambda m, b, stays=stays: F.concat(F.when(stays(m), m).otherwise(PLACEHOLDER), F.coalesce(b, F.lit("")))), ""))
+    for kind in KINDS:
+        text, counts[kind] = _masked(text, _unicode(KINDS[kind]), _benign(kind, keep_names))
     return text, counts
 
 
+def _masked(text: F.Column, pattern: str, stays) -> tuple[F.Column, F.Column]:
+    found = F.regexp_extract_all(text, F.lit(pattern), 0)
+    if stays is None:
+        return F.regexp_replace(text, pattern, PLACEHOLDER), F.size(found)
+    # Texts between the matches, put together again with each match or the placeholder.
+    between = F.split(text, pattern, -1)
+    rest = F.zip_with(found, F.slice(between, 2, F.size(between)), lambda m, b: F.concat(F.when(stays(m), m).otherwise(PLACEHOLDER), F.coalesce(b, F.lit(""))))
+    return F.concat(between[0], F.array_join(rest, "")), F.size(F.filter(found, lambda m: ~stays(m)))
+
+
 def redact(entries: DataFrame, keep_names: bool = False) -> DataFrame:
     """``(relpath, text, hits)``; hits are the kinds masked with their counts. A text without hits is as before."""
     text, counts = redacted(F.col("content"), keep_names)
@@ -85,9 +87,8 @@ def redact_value(value, depth: int = 0):
     return PLACEHOLDER
 
 
-@F.pandas_udf("string")
-def redact_json(values: pd.Series) -> pd.Series:
-    """JSON texts, redacted; a text that is no JSON is treated as one string."""
+def redact_json(values: F.Column) -> F.Column:
+    """JSON texts, redacted; a text that is no JSON is treated as one string. Recursion needs Python, in Arrow batches."""
 
     def one(v):
         if v is None:
@@ -97,7 +98,10 @@ def redact_json(values: pd.Series) -> pd.Series:
         except ValueError:
             return redact_value(v)
 
-    return values.map(one)
+    def batch(v: pd.Series) -> pd.Series:
+        return v.map(one)
+
+    return F.pandas_udf(batch, "string")(values)
 
 
 def leaks(entries: DataFrame, names: list[str] | None = None) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.functions import notes
-from scholia.operators import graph
+from scholia.functions import notes, privacy
+from scholia.operators import graph, review, search, sessions, sync
 from scholia.oracle.base import sql
 from scholia.sources import corpus
 
@@ -179,3 +179,391 @@ def lint_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lint_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = corpus.numbered(spark, sf_dir).where("d in (7, 160, 170, 180, 96)").select("relpath").collect()
     return graph.lint(_graph(spark, sf_dir), _registry(spark, sf_dir), [r.relpath for r in own])
+
+
+# --- search -----------------------------------------------------------------------------------------------
+
+
+#: Words of the search queries: rare and common forms, case aside.
+QUERY = "Document 12 user29@mail.example.com doc7 missing-215"
+_TEXT = ", whole as (select d, id, head || body as t from content)"
+_HITS = _TEXT + ", terms as (select unnest(['Document', '12', 'user29', 'mail.example.com', 'doc7', 'missing-215']) as term), hits as (select id, d, term from whole join terms on contains(lower(t), lower(term))), counts as (select term, count(*) as n from hits group by term), lex as (select id, d, sum(1.0::double / n) as score from hits join counts using (term) where n <= 50 group by id, d)"
+
+
+@query("lexical_rank", _HITS + " select id as relpath, round(score, 9) as score from lex")
+def lexical_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.lexical_scores(corpus.entries(spark, sf_dir), search.query_terms(QUERY)).select("relpath", F.round("score", 9).alias("score"))
+
+
+_HOOK = ["mail", "example.com now", "JIUzI1", "Mixed", "home/user"]
+_HOOK_SQL = (
+    _TEXT
+    + ", terms as (select unnest(['mail', 'example.com now', 'JIUzI1', 'Mixed', 'home/user']) as term), hits as (select id, d, term from whole join terms on contains(t, term)), counts as (select term, count(*) as n from hits group by term), ordered as (select id, d, list(n order by term) as ns from hits join counts using (term) where n <= 50 group by id, d), hook as (select id, d, list_reduce(list_prepend(0.0::double, ns), lambda a, x: round(a + 1.0::double / x, 4)) as score from ordered)"
+)
+
+
+@query("hook_rank_top5", _HOOK_SQL + " select e.id as relpath, score, case when title = '' then regexp_replace(name, '\\.md$', '') else title end || case when status in ('active', '') then '' else ' [status: ' || status || case when succ is null then '' else ', superseded_by: ' || coalesce(k.id, '') end || ']' end as label from hook join e using (d) left join names k on k.d = e.succ where status in ('active', '', 'draft') order by score desc, e.id desc limit 5".replace("left join names k on k.d = e.succ", "left join (select d as kd, id from names) k on k.kd = e.succ").replace("name, '\\.md$'", "e.name, '\\.md$'"))
+def hook_rank_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = corpus.entries(spark, sf_dir)
+    hook = notes.with_metadata(e, "hook")
+    title = F.regexp_extract("content", r"(?m)^title:\s*(.*)$", 1)
+    meta = hook.select("relpath", F.when(title == "", notes.stem(F.col("relpath"))).otherwise(title).alias("title"), notes.value("status").alias("status"), notes.value("superseded_by").alias("superseded_by"))
+    return search.prompt_hits(e, meta, _HOOK, ["active", "draft"])
+
+
+def _query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
+    row = spark.read.parquet(f"{sf_dir}/embeddings.parquet").orderBy("vec_id").first()
+    return [float(x) for x in row["embedding"]]
+
+
+_NEAR = ", q as (select embedding::double[] as qv from embeddings order by vec_id limit 1), near as (select vec_id, label, list_distance(embedding::double[], qv) as dist from embeddings, q order by dist, vec_id limit 40)"
+
+
+@query("vector_knn_best_per_entry", _NEAR + " select label, round(min(dist), 6) as dist from near group by label")
+def vector_knn_best_per_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return search.nearest_entries(v, _query_vector(spark, sf_dir), entry="label", tie="vec_id").select("label", F.round("dist", 6).alias("dist"))
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as chunks of the entries with the same number."""
+    names = corpus.numbered(spark, sf_dir).select(F.col("d").alias("vec_id"), "relpath")
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").join(names, "vec_id").select("relpath", F.col("vec_id").alias("chunk_id"), "embedding")
+
+
+_FUSED = (
+    _HITS
+    + _NEAR.replace("select vec_id, label,", "select vec_id, k.id, k.d,").replace("from embeddings, q order by", "from embeddings join names k on k.d = vec_id, q order by")
+    + ", lists as (select id, d, row_number() over (order by round(score, 9) desc, id) as rank from lex union all select id, d, row_number() over (order by dist, id) from near), fused as (select id, d, sum(1.0::double / (60 + rank)) as score from lists group by id, d)"
+)
+
+
+def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lex = search.lexical_scores(corpus.entries(spark, sf_dir), search.query_terms(QUERY))
+    near = search.nearest_entries(_vectors(spark, sf_dir), _query_vector(spark, sf_dir))
+    return search.fuse(search.ranked(lex, F.desc(F.round("score", 9)), F.col("relpath")), search.ranked(near, F.col("dist"), F.col("relpath")))
+
+
+@query("rrf_fusion", _FUSED + " select id as relpath, round(score, 5) as score from fused")
+def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fused(spark, sf_dir).select("relpath", F.round("score", 5).alias("score"))
+
+
+_EXPANDED = (
+    _FUSED
+    + ", best as (select * from fused order by round(score, 9) desc, id limit 16), reached as (select l.t, max(0.5 * score) as score from best b join lines l on l.d = b.d and l.kind = 'see' and l.t >= 0 where l.t not in (select d from fused) group by l.t), expanded as (select id, d, score from fused union all select k.id, t, score from reached join names k on k.d = t)"
+)
+
+
+@query("see_expansion", _EXPANDED + " select id as relpath, round(score, 5) as score from expanded")
+def see_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scholia.plans.lineage import durable
+
+    out = search.expand(durable(_fused(spark, sf_dir)), notes.parsed(corpus.entries(spark, sf_dir)), 8)
+    return out.select("relpath", F.round("score", 5).alias("score"))
+
+
+_BEST = _EXPANDED + ", best8 as (select x.id, x.d, x.score from expanded x join e using (d) where e.status = 'active' and e.created >= '2026-01-05' order by round(x.score, 9) desc, x.id limit 8)"
+
+
+def hybrid(spark: SparkSession, sf_dir: str, top: int = 8) -> DataFrame:
+    e = corpus.entries(spark, sf_dir)
+    return search.search(e, notes.parsed(e), _vectors(spark, sf_dir), QUERY, _query_vector(spark, sf_dir), top, status="active", created_from="2026-01-05")
+
+
+@query("hybrid_search_filtered", _BEST + " select b.id as relpath, case when title = '' then regexp_replace(e.name, '\\.md$', '') else title end as title, round(score, 5) as score, array_to_string(tags, ' ') as tags from best8 b join e using (d)")
+def hybrid_search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hybrid(spark, sf_dir).select("relpath", "title", "score", joined("tags").alias("tags"))
+
+
+@query(
+    "search_snippets",
+    _BEST
+    + """, flat as (select b.id, trim(regexp_replace(body, '\\s+', ' ', 'g')) as f from best8 b join content using (d)),
+    placed as (select id, f, coalesce(list_filter(list_transform(['document', '12', 'user29', 'mail.example.com', 'doc7', 'missing-215'], lambda t: instr(lower(f), t)), lambda p: p > 0)[1], 0) as pl from flat),
+    begun as (select *, case when pl = 0 then 0 else greatest(0, pl - 1 - 53) end as s from placed)
+    select id as relpath, case when s > 0 then '…' else '' end || substring(f, s + 1, 160) || case when s + 160 < length(f) then '…' else '' end as snippet from begun""",
+)
+def search_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hybrid(spark, sf_dir).select("relpath", "snippet")
+
+
+@query("active_keyword", _TEXT + " select w.id as relpath from whole w join e using (d) where status = 'active' and contains(t, 'mail.example.com')")
+def active_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.entries(spark, sf_dir).where(F.col("content").rlike(r"(?m)^status: active") & F.contains("content", F.lit("mail.example.com"))).select("relpath")
+
+
+@query("tag_title_lookup", "select id as relpath, title from e where list_contains(tags, '#m3') and list_contains(tags, '#p5') and title <> ''")
+def tag_title_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hit = corpus.entries(spark, sf_dir).where(F.col("content").rlike(r"(?m)^tags:.*#m3 .*#p5\b"))
+    return hit.select("relpath", F.regexp_extract("content", r"(?m)^title: (.*)$", 1).alias("title")).where("title <> ''")
+
+
+@query("fallback_recall", _TEXT + " select id as relpath from whole where contains(t, 'JIUzI1') or contains(t, 'HOME_DIR')")
+def fallback_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.term_hits(corpus.entries(spark, sf_dir), ["JIUzI1", "HOME_DIR"], fold=False).select("relpath").distinct()
+
+
+@query("hits_to_authority", _CHAIN + _TEXT + " select distinct coalesce((select k.id from chain c join names k on k.d = c.b where c.a = w.d order by steps desc limit 1), w.id) as relpath from whole w where contains(t, 'JIUzI1')")
+def hits_to_authority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = corpus.entries(spark, sf_dir)
+    hits = e.where(F.contains("content", F.lit("JIUzI1"))).select(F.col("relpath").alias("id"))
+    return hits.join(graph.current(graph.build(e)), "id").select(F.col("current").alias("relpath")).distinct()
+
+
+# --- tags and review ----------------------------------------------------------------------------------------
+
+TODAY = "2026-12-31"
+_AGED = ", aged as (select *, date '2026-12-31' - try_cast(created as date) as age from e)"
+
+
+@query("tag_counts", "select tag, count(*) as n from (select unnest(tags) as tag from e) where tag <> '#Mixed' group by tag")
+def tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.tag_counts(corpus.entries(spark, sf_dir))
+
+
+_LISTED = ", counts as (select tag, count(*) as n from (select unnest(tags) as tag from e) where tag <> '#Mixed' group by tag), listed as (select distinct '#lang-' || lang as tag from e union select distinct '#src-' || source from e union select '#m' || i from range(7) r(i) union select '#p' || i from range(10) r(i) union select '#legacy')"
+
+
+@query("tag_registry_diff", _LISTED + " select coalesce(c.tag, l.tag) as tag, coalesce(n, 0) as n, case when l.tag is null then 'new' when c.tag is null then 'unused' else 'kept' end as state from counts c full join listed l on l.tag = c.tag")
+def tag_registry_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = review.parse_registry(corpus.registry_text(corpus.documents(spark, sf_dir)), spark)
+    return review.registry_diff(tag_counts(spark, sf_dir), listed)
+
+
+@query("tag_registry_lines", _LISTED + ", sorted as (select tag, row_number() over (order by tag) - 1 as i from listed) select c.tag, n, '- ' || c.tag || case when i % 2 = 1 then ' — about ' || substring(c.tag, 2) else '' end || ' (' || n || ')' as line from counts c left join sorted s on s.tag = c.tag")
+def tag_registry_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = review.parse_registry(corpus.registry_text(corpus.documents(spark, sf_dir)), spark)
+    return review.registry_lines(tag_counts(spark, sf_dir), listed)
+
+
+@query("similar_tags", ", t as (select distinct unnest(tags) as tag from e) select a.tag as a, b.tag as b from t a join t b on a.tag < b.tag and substring(a.tag, 1, 3) = substring(b.tag, 1, 3) and (starts_with(b.tag, a.tag) or levenshtein(a.tag, b.tag) <= 1)")
+def similar_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.similar_tags(_notes(spark, sf_dir).select(F.explode("tags").alias("tag")))
+
+
+def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notes.parsed(corpus.entries(spark, sf_dir))
+
+
+@query("review_stale", _AGED + " select id as relpath, age from aged where status = 'active' and age > 90")
+def review_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.stale(_notes(spark, sf_dir), TODAY)
+
+
+@query("review_orphans", "select id as relpath from e where status = 'active' and d not in (select d from lines where kind = 'see' and pos <> 8)")
+def review_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.unlinked(_notes(spark, sf_dir))
+
+
+@query(
+    "review_missing_links",
+    ", a as (select id, d, tags from e where status = 'active') select x.id as a, y.id as b, len(list_intersect(x.tags, y.tags)) as n from a x join a y on x.id < y.id and len(list_intersect(x.tags, y.tags)) >= 4 where not exists (select 1 from edges where (edges.d = x.d and edges.t = y.d) or (edges.d = y.d and edges.t = x.d))",
+)
+def review_missing_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = corpus.entries(spark, sf_dir)
+    return review.missing_connections(notes.parsed(e), graph.build(e).edges).where("n >= 4")
+
+
+@query("review_unidirectional", "select a.id as src, b.id as dst from edges x join names a on a.d = x.d join names b on b.d = x.t where kind = 'see' and not exists (select 1 from edges y where y.kind = 'see' and y.d = x.t and y.t = x.d)")
+def review_unidirectional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.unidirectional(_graph(spark, sf_dir))
+
+
+@query("review_oversized", ", s as (select id, strlen(head || body) as bytes, len(string_split(head || body, chr(10))) - 1 as lines from content) select id as relpath, bytes, lines, case when bytes > 20000 then 'action' when bytes > 8000 then 'warn' else 'suggestion' end as level from s where bytes > 8000 or lines > 40")
+def review_oversized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.oversized(corpus.entries(spark, sf_dir), 8000, 20000, 40)
+
+
+_PAIRS = ", tp as (select e.id, e.status, e.type, x.tag as a, y.tag as b from e, unnest(tags) as x(tag), unnest(tags) as y(tag) where x.tag < y.tag)"
+
+
+@query("review_synthesis", _PAIRS + " select a, b, count(*) as n from tp where status = 'active' and not exists (select 1 from tp s where s.type = 'synthesis' and s.a = tp.a and s.b = tp.b) group by a, b having count(*) >= 3")
+def review_synthesis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.synthesis_candidates(_notes(spark, sf_dir))
+
+
+@query("review_fragments", _DEGREES + _AGED + " select aged.id as relpath from aged join deg using (id) where type = 'fragment' and status = 'active' and age > 60 and n_in + n_out >= 2")
+def review_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _graph(spark, sf_dir)
+    return review.ripe_fragments(_notes(spark, sf_dir), graph.degrees(g), TODAY)
+
+
+@query("review_chain", "select e.id, k.id as successor, k.status from e join e k on k.d = e.succ where k.status <> 'active'")
+def review_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.broken_chains(_graph(spark, sf_dir))
+
+
+@query("review_missing_overview", ", t as (select id, status, type, unnest(tags) as tag from e) select tag, count(*) as n from t where status = 'active' and tag not in (select tag from t where type = 'overview') group by tag having count(*) >= 5")
+def review_missing_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.missing_overview(_notes(spark, sf_dir))
+
+
+@query("review_summary", "select 'status_' || case when status = '' then '(none)' else status end as metric, count(*)::double as value from e group by 1 union all select 'mean_links', round((select count(*) from edges) / (select count(*) from e)::double, 5)")
+def review_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.summary(_notes(spark, sf_dir), _graph(spark, sf_dir))
+
+
+@query("review_related", "select id as relpath, len(list_intersect(tags, ['#m3', '#p5', '#lang-fr'])) as shared from e where status not in ('deprecated', 'superseded') and len(list_intersect(tags, ['#m3', '#p5', '#lang-fr'])) > 0")
+def review_related(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.related(_notes(spark, sf_dir), ["#m3", "#p5", "#lang-fr"])
+
+
+# --- privacy ------------------------------------------------------------------------------------------------
+
+_MAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
+_SAFE = (
+    ", mails as (select d, id, head, regexp_replace(case when length(text) > 1200 then body else body end, '\\bzzz\\b', '') as body from content join e using (d, id)), own as (select d, id, head || body as t from mails), "
+    f"safe as (select d, id, case d % 29 when 1 then regexp_replace(replace(t, 'bot' || d || '-noreply@', 'bot' || d || '-noreply#'), '{_MAIL}', '‹redacted›', 'g') else regexp_replace(t, '{_MAIL}', '‹redacted›', 'g') end as t, len(regexp_extract_all(t, '{_MAIL}')) - (d % 29 = 1)::int as n_mail from own)"
+)
+_MASKED = (
+    _SAFE
+    + """, masked as (select d, id, n_mail, case d % 29 when 1 then replace(t, 'bot' || d || '-noreply#', 'bot' || d || '-noreply@') when 2 then replace(t, 'eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0', '‹redacted›') when 3 then replace(t, '-----BEGIN RSA PRIVATE KEY-----', '‹redacted›')
+    when 4 then replace(t, 'ghp_abcdefghijklmnopqrstuvwxyz0123456789', '‹redacted›') when 5 then replace(t, 'op://vault/item-' || d || '/field', 'KEEP') when 6 then replace(t, 'op://vault/abcdefghijklmnopqrstuvwx12/f', '‹redacted›') else t end as t from safe)"""
+)
+
+
+@query("redact_entry", _MASKED + " select id as relpath, sha256(replace(t, 'KEEP', '‹redacted›')) as text_sha from masked")
+def redact_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.redact(corpus.entries(spark, sf_dir)).select("relpath", F.sha2("text", 256).alias("text_sha"))
+
+
+@query("redact_keep_names", _MASKED + " select id as relpath, sha256(replace(t, 'KEEP', 'op://vault/item-' || d || '/field')) as text_sha from masked")
+def redact_keep_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.redact(corpus.entries(spark, sf_dir), keep_names=True).select("relpath", F.sha2("text", 256).alias("text_sha"))
+
+
+@query("redact_counts", _SAFE + ", hits as (select id, 'email' as kind, n_mail as n from safe union all select id, case d % 29 when 2 then 'jwt' when 3 then 'pem-private-key' when 4 then 'github-token' else 'op-ref' end, 1 from e where d % 29 in (2, 3, 4, 5, 6)) select kind, sum(n)::bigint as n from hits where n > 0 group by kind")
+def redact_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = privacy.redact(corpus.entries(spark, sf_dir)).select(F.explode("hits").alias("h"))
+    return hits.groupBy("h.kind").agg(F.sum("h.count").alias("n"))
+
+
+@query("redact_free_text", "select id as relpath, '‹redacted› len=' || length(head || body) as text from content")
+def redact_free_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.entries(spark, sf_dir).select("relpath", privacy.free_text(F.col("content")).alias("text"))
+
+
+@query("redact_structured")
+def redact_structured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return events.select("event_id", privacy.redact_json("props").alias("props"))
+
+
+@query(
+    "leak_findings",
+    """, n as (select e.d, e.id, len(string_split(head || body, chr(10))) - 1 as lineno from content join e using (d, id))
+    select n.id as relpath, lineno, case d % 29 when 7 then 'uuid' when 8 then 'home-path' when 9 then 'unexpanded-placeholder' else 'base64-secret' end as kind,
+    case d % 29 when 7 then '0f8fad5b-d9cb-469f-a165-70867728950e' when 8 then '/home/user' || d || '/' when 9 then '${HOME_DIR}' else 'QUJDREVGR0hJ…' end as snippet from n where d % 29 in (7, 8, 9, 10)""",
+)
+def leak_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.leaks(corpus.entries(spark, sf_dir))
+
+
+# --- links of single files, snapshots, sessions -------------------------------------------------------------
+
+
+@query(
+    "md_link_check",
+    "select e.id as relpath, case t when -2 then '2026/01/missing-' || l.d || '.md' when -3 then '../../../../../../../../outside-' || l.d || '.md' end as target, 'broken' as state from lines l join e using (d) where t in (-2, -3)",
+)
+def md_link_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.link_check(corpus.entries(spark, sf_dir)).where(~F.col("target").rlike("odd.md$")).select("relpath", "target", "state")
+
+
+def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """What is on disk, and what was stored: every 7th entry was new since, every 11th has changed, every 13th has gone."""
+    rows = _notes(spark, sf_dir).join(corpus.numbered(spark, sf_dir).select("relpath", "d"), "relpath").select("d", "relpath", "sha256")
+    scanned = rows.where("d % 13 <> 3").select("relpath", "sha256")
+    stored = rows.where("d % 7 <> 2").select("relpath", F.when(F.col("d") % 11 == 4, F.lit("old")).otherwise(F.col("sha256")).alias("sha256"))
+    return scanned, stored
+
+
+_STATES = ", states as (select d, id, case when d % 13 = 3 and d % 7 = 2 then null when d % 13 = 3 then 'removed' when d % 7 = 2 then 'added' when d % 11 = 4 then 'changed' else 'unchanged' end as state from e)"
+
+
+@query("index_diff", _STATES + " select state, count(*) as n from states where state is not null group by state")
+def index_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sync.diff_counts(sync.index_diff(*_snapshots(spark, sf_dir)))
+
+
+@query("index_upsert_state", _STATES + " select s.id as relpath, sha256(head || body) as sha256 from states s join content using (d) where state in ('added', 'changed', 'unchanged')")
+def index_upsert_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned, stored = _snapshots(spark, sf_dir)
+    return sync.upserted(stored, scanned, sync.index_diff(scanned, stored))
+
+
+@query("mirror_actions", ", s as (select * from e where d % 13 <> 3) select id as path, case when d % 7 = 2 then 'copy' when d % 11 = 4 then 'shadow' else 'skip' end as action, case when d % 7 = 2 then id when d % 11 = 4 then regexp_replace(id, '\\.md$', '-from-wt.md') end as to_path from s")
+def mirror_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned, stored = _snapshots(spark, sf_dir)
+    return sync.mirror_actions(scanned.withColumnRenamed("relpath", "path"), stored.withColumnRenamed("relpath", "path"), "wt")
+
+
+@query("migrate_plan", "select name as old_path, substring(name, 1, 4) || '/' || substring(name, 5, 2) || '/' || name as new_path from e where d % 89 <> 7")
+def migrate_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sync.migrate_plan(corpus.numbered(spark, sf_dir).select(notes.file_name(F.col("relpath")).alias("path")))
+
+
+@query("commit_decision", "select d as repo, case when d % 5 = 0 then 'disabled' when d % 7 = 0 then 'not_a_repo' when d % 3 = 0 then 'in_progress' when d % 4 = 1 then 'no_changes' when d % 29 in (7, 8, 9, 10) and d % 2 = 0 then 'blocked' else 'committed' end as result from e")
+def commit_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gates = corpus.numbered(spark, sf_dir).selectExpr("d as repo", "d % 5 <> 0 as enabled", "d % 7 <> 0 as in_tree", "d % 3 = 0 as busy", "if(d % 4 = 1, 0, 2) as n_changes", "if(d % 29 in (7, 8, 9, 10), 1, 0) as n_findings", "if(d % 2 = 0, 'block', 'warn') as mode")
+    return sync.commit_decision(gates)
+
+
+@query(
+    "link_add_plan",
+    """, r as (select a.d, a.id as src, b.id as dst, b.title, b.d as t from e a join e b on b.d = a.d + 3 where a.d % 10 = 4), has as (select distinct d, t from edges where kind <> 'superseded_by'),
+    place as (select d from lines union select d from e where d % 100 = 333)
+    select src, dst, title <> '' and (exists (select 1 from has where has.d = r.d and has.t = r.t) or r.d in (select d from lines)) as ok from r""",
+)
+def link_add_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, n = corpus.entries(spark, sf_dir), corpus.numbered(spark, sf_dir).select("d", "relpath")
+    asked = n.where("d % 10 = 4").select((F.col("d") + 3).alias("t"), F.col("relpath").alias("src")).join(n.toDF("t", "dst"), "t").select("src", "dst", F.lit("see").alias("kind"), F.lit("").alias("reason"))
+    return sync.link_add_plan(asked, graph.build(e), e).select("src", "dst", "ok")
+
+
+@query("supersede_plan", _CHAIN + ", r as (select a.id as old, b.id as new, a.d as x, b.d as y, a.succ from e a join e b on b.d = a.d - a.d % 20 + 10) select old, new, not (x = y or coalesce(succ >= 0 and succ <> y, false) or exists (select 1 from chain where a = y and b = x)) as ok from r")
+def supersede_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g, n = _graph(spark, sf_dir), corpus.numbered(spark, sf_dir).select("d", "relpath")
+    asked = n.select((F.col("d") - F.col("d") % 20 + 10).alias("t"), F.col("relpath").alias("old")).join(n.toDF("t", "new"), "t").select("old", "new")
+    return sync.supersede_plan(asked, g, graph.successors(g)).select("old", "new", "ok")
+
+
+_SAID = ", said as (select conv_id, turn, role, case when role = 'user' and turn % 3 = 0 then text || ' please decide' else text end as text from conversations)"
+
+
+def _said(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return rows.withColumn("text", F.when((F.col("role") == "user") & (F.col("turn") % 3 == 0), F.concat("text", F.lit(" please decide"))).otherwise(F.col("text")))
+
+
+@query(
+    "decisions",
+    _SAID
+    + """, d1 as (select conv_id, trim(replace(substring(text, 1, 200), chr(10), ' ')) as t, min(turn) as first_turn from said where role in ('user', 'human') and length(text) >= 10 and regexp_matches(lower(text), 'decide|plan|approach|strategy|change|let''s|we should|i want|please') group by 1, 2)
+    select conv_id, n, t as text from (select *, row_number() over (partition by conv_id order by first_turn, t) as n from d1) where n <= 10""",
+)
+def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.decisions(_said(spark, sf_dir))
+
+
+@query("transcript_tail", "select conv_id, turn, role from (select *, row_number() over (partition by conv_id order by turn desc) as k from conversations) where k <= 3")
+def transcript_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.tail(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role"), most=3)
+
+
+@query("todo_progress", "select d as id, case when d % 4 = 0 then 'no tasks' else (d % 4) || '/' || (d % 4 + d % 3 + d % 2) || ' completed' || case when d % 3 > 0 then ', current: step ' || d else '' end end as progress from e")
+def todo_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = r"if(d % 4 = 0, 'nothing', concat(repeat('- [x] done\n', cast(d % 4 as int)), repeat(concat('- [~] step ', d, '\n'), cast(d % 3 as int)), repeat('- [ ] open\n', cast(d % 2 as int))))"
+    return sessions.todo_progress(corpus.numbered(spark, sf_dir).selectExpr("d as id", f"{made} as content"))
+
+
+@query("context_guard", "select user_id as session, case when max(event_id) % 3 <> 0 and count(*) * 20000 >= 307200 and max(event_id) % 5 <> 0 then 'block' else 'allow' end as decision from events group by user_id")
+def context_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.col("user_id").alias("session")).agg(F.max("event_id").alias("m"), (F.count("*") * 20000).alias("size"))
+    return sessions.guard(e.select("session", "size", (F.col("m") % 3 == 0).alias("already_blocked"), F.when(F.col("m") % 5 == 0, 60).alias("last_write_age_s")))
+
+
+@query("page_links", "select page_id, len(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) as n from pages")
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.size(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), 1)).alias("n"))
