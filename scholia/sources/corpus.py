@@ -28,7 +28,7 @@ def scan_folder(spark: SparkSession, root: str, errors: str = "replace") -> Data
             for path in part["path"]:
                 with open(path, encoding="utf-8", errors=errors) as f:
                     texts.append(f.read())
-            stamps = pd.to_datetime([os.path.getmtime(p) for p in part["path"]], unit="s")
+            stamps = pd.to_datetime([int(os.path.getmtime(p) * 1e6) for p in part["path"]], unit="us")
             yield pd.DataFrame({"relpath": part["relpath"], "content": texts, "modified_at": stamps})
 
     schema = "relpath string, content string, modified_at timestamp"

@@ -1,0 +1,46 @@
+from pyspark.sql import functions as F
+
+from scholia.functions import notes
+from scholia.streaming import events
+
+
+def drain(stream, name, mode="append"):
+    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    return stream.sparkSession.table(name).collect()
+
+
+def test_index_upkeep_by_micro_batch(spark, tmp_path):
+    source, versions = str(tmp_path / "in"), []
+    load = lambda: spark.read.parquet(versions[-1]) if versions else None
+
+    def store(df, number):
+        path = str(tmp_path / f"v{number}-{len(versions)}")
+        df.write.parquet(path)
+        versions.append(path)
+
+    schema = "relpath string, content string"
+    for rows in ([("a", "one"), ("b", "two")], [("b", "new"), ("c", "three")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        q = spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(events.index_upkeep(load, store)).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    assert {r.relpath: r.body for r in load().collect()} == {"a": "one", "b": "new", "c": "three"}
+    assert load().columns == notes.parsed(spark.createDataFrame([("a", "x")], schema)).columns
+
+
+def test_guard_stream_blocks_once(spark, tmp_path):
+    rows = [("s", "2026-01-01 00:00:00", "grow", 200_000), ("s", "2026-01-01 00:10:00", "grow", 200_000), ("s", "2026-01-01 02:00:00", "grow", 1), ("t", "2026-01-01 00:00:00", "write", 0), ("t", "2026-01-01 00:10:00", "grow", 400_000)]
+    spark.createDataFrame(rows, "session string, ts string, kind string, bytes long").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(str(tmp_path / "e"))
+    stream = spark.readStream.schema("session string, ts timestamp, kind string, bytes long").parquet(str(tmp_path / "e"))
+    assert [(r.session, r.decision) for r in drain(events.guard_stream(stream), "guarded")] == [("s", "block")]
+
+
+def test_windowed_counts(spark, sf_dir):
+    static = spark.read.parquet(f"{sf_dir}/events.parquet")
+    assert events.windowed_counts(static).agg(F.sum("n")).first()[0] == static.count()
+
+
+def test_write_stages_in_order(spark):
+    got = events.write_event_stages(spark.createDataFrame([("a.md", "mail me@x.org\n/home/me/x [g](gone.md)")], "relpath string, content string"))
+    assert got["redacted"].first().content.startswith("mail ‹redacted›")
+    assert [r.kind for r in got["leaks"].collect()] == ["home-path"] and [r.target for r in got["links"].collect()] == ["gone.md"]
