@@ -236,3 +236,23 @@ def lint(g: Graph, registry: DataFrame | None = None, only_names: list[str] | No
     if only_names:
         found = found.where(notes.file_name(F.col("id")).isin([n.rsplit("/", 1)[-1] for n in only_names]))
     return found
+
+
+def stats(g: Graph) -> DataFrame:
+    """``(metric, name, value)``: nodes, edges, edges by kind, hubs, number of orphans and component sizes."""
+    row = lambda df, metric, name, value: df.select(F.lit(metric).alias("metric"), name.alias("name"), value.cast("long").alias("value"))
+    none = F.lit("")
+    sizes = components(g).groupBy("component").agg(F.count("*").alias("n"))
+    parts = [
+        row(g.nodes.agg(F.count("*").alias("n")), "nodes", none, F.col("n")), row(g.edges.agg(F.count("*").alias("n")), "edges", none, F.col("n")),
+        row(edge_kinds(g), "kind", F.col("kind"), F.col("n")), row(hubs(g), "hub", F.col("id"), F.col("degree")),
+        row(orphans(g).agg(F.count("*").alias("n")), "orphans", none, F.col("n")), row(sizes, "component", F.col("component"), F.col("n")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def as_json(rows: DataFrame) -> DataFrame:
+    return rows.select(F.to_json(F.struct("*")).alias("json"))

@@ -95,3 +95,27 @@ def change_lines(events: DataFrame) -> DataFrame:
     line = F.when(F.col("tool") == "Write", F.concat(F.lit("- wrote "), "path")).when(F.col("tool") == "Edit", F.concat(F.lit("- edited "), "path", F.lit(": "), cut(F.col("old")), F.lit(" → "), cut(F.col("new"))))
     own = ~F.col("path").rlike(r"^(/tmp|/dev)") & ~F.col("path").rlike(r"(^|/)context-[^/]*\.md$")
     return events.where(own).select("session", "ts", line.alias("line")).where("line is not null")
+
+
+def checkpoint_files(sessions_: DataFrame) -> DataFrame:
+    """``(session, content)`` from ``(session, at, decisions, files, entries)``; sessions with three empty lists give no file."""
+
+    def section(title: str, items: str) -> F.Column:
+        lines = F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), x)), "\n")
+        return F.when(F.size(items) > 0, F.concat(F.lit(f"## {title}\n\n"), lines, F.lit("\n")))
+
+    some = sessions_.where((F.size("decisions") > 0) | (F.size("files") > 0) | (F.size("entries") > 0))
+    head = F.concat(F.lit("---\ncreated: "), F.date_format("at", "yyyy-MM-dd HH:mm"), F.lit("\nstatus: active\n---\n"))
+    return some.select("session", F.concat_ws("\n", head, section("Decisions", "decisions"), section("Modified files", "files"), section("Referenced entries", "entries")).alias("content"))
+
+
+def session_state(sessions_: DataFrame) -> DataFrame:
+    """``(session, files, decisions)``: base names of the last three files and the first five decisions."""
+    last = F.slice("files", F.greatest(F.size("files") - 2, F.lit(1)), F.lit(3))
+    return sessions_.select("session", F.transform(last, lambda p: fn.file_name(p)).alias("files"), F.slice("decisions", 1, 5).alias("decisions"))
+
+
+def open_day_file(files: DataFrame, day: str) -> DataFrame:
+    """The day's log file to go on with: the last of ``(path, content)`` named after the day that isn't consumed."""
+    own = files.where(F.contains("path", F.lit(day)) & ~F.contains(F.substring("content", 1, 200), F.lit("status: consumed")))
+    return own.orderBy(F.desc("path")).limit(1).select("path")

@@ -108,3 +108,19 @@ def commit_message(changes: DataFrame) -> DataFrame:
     names = F.transform(F.slice("p", 1, 10), lambda p: F.array_join(F.slice(F.split(p, "/"), F.greatest(F.size(F.split(p, "/")) - 1, F.lit(1)), F.lit(2)), "/"))
     more = F.when(F.size("p") > 10, F.concat(F.lit(" …and "), F.size("p") - 10, F.lit(" more"))).otherwise("")
     return own.select("repo", F.concat(F.array_join(names, ", "), more).alias("message"))
+
+
+def stale(scanned: DataFrame, stored: DataFrame) -> DataFrame:
+    """``(relpath)`` of new and changed entries: what a refresh at query time has to bring up to date."""
+    return index_diff(scanned, stored).where("state in ('added', 'changed')").select("relpath")
+
+
+def replace_section(text: F.Column, heading: str, body: F.Column) -> F.Column:
+    """The text with the lines under ``## heading``, up to the next ``## ``, replaced; the section is appended if absent."""
+    head = "## " + heading
+    lines = F.split(text, "\n")
+    at = F.array_position(lines, head).cast("int")
+    rest = F.slice(lines, at + 1, F.size(lines))
+    after = F.array_position(F.transform(rest, lambda x: F.startswith(x, F.lit("## "))), True).cast("int")
+    tail = F.when(after > 0, F.concat(F.lit("\n"), F.array_join(F.slice(rest, after, F.size(rest)), "\n"))).otherwise("")
+    return F.when(at > 0, F.concat(F.array_join(F.slice(lines, F.lit(1), at), "\n"), F.lit("\n\n"), body, F.lit("\n"), tail)).otherwise(F.concat(F.regexp_replace(text, r"\n+$", ""), F.lit(f"\n\n{head}\n\n"), body, F.lit("\n")))

@@ -204,3 +204,33 @@ def test_folder_scan_keeps_hidden_empty_and_odd_files(spark, tmp_path):
     assert {r.relpath: r.content for r in corpus.scan_folder(spark, str(tmp_path)).collect()} == {"a b.md": "x\ny", "_h/z.md": "", ".c/日.md": "�"}
     (tmp_path / "empty").mkdir()
     assert corpus.scan_folder(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_stats_and_json(spark, base):
+    got = {(r.metric, r.name): r.value for r in graph.stats(base).collect()}
+    assert (got["nodes", ""], got["edges", ""], got["kind", "see"], got["orphans", ""], got["component", A]) == (4, 2, 2, 2, 2)
+    assert graph.as_json(base.nodes.where(F.col("id") == D)).first().json == '{"id":"plain.md","title":"","tags":[],"status":""}'
+
+
+def test_sections_files_and_states(spark):
+    df = spark.createDataFrame([("# a\n## T\n\nold\n\n## Z\nz\n",), ("# a\n",)], "t string")
+    assert [r[0] for r in df.select(sync.replace_section(F.col("t"), "T", F.lit("new"))).collect()] == ["# a\n## T\n\nnew\n\n## Z\nz\n", "# a\n\n## T\n\nnew\n"]
+    rows = spark.createDataFrame([("s", "2026-01-02 03:04:05", ["d"], ["/a/b", "/c", "/d/e", "/f"], []), ("t", "2026-01-02 03:04:05", [], [], [])], "session string, at string, decisions array<string>, files array<string>, entries array<string>")
+    rows = rows.withColumn("at", F.col("at").cast("timestamp"))
+    made = sessions.checkpoint_files(rows).collect()
+    assert [r.content for r in made] == ["---\ncreated: 2026-01-02 03:04\nstatus: active\n---\n\n## Decisions\n\n- d\n\n## Modified files\n\n- /a/b\n- /c\n- /d/e\n- /f\n"]
+    assert sessions.session_state(rows).first().files == ["c", "e", "f"]
+    files = spark.createDataFrame([("context-20260102-1.md", "status: consumed"), ("context-20260102-0.md", "x"), ("context-20260101-9.md", "x")], "path string, content string")
+    assert sessions.open_day_file(files, "20260102").first().path == "context-20260102-0.md"
+
+
+def test_embedding_provider_and_refresh(spark):
+    from scholia.functions.embedding import HashedWords, embedded
+
+    df = spark.createDataFrame([("a", "one two"), ("b", "one two"), ("c", None)], "chunk_id string, text string")
+    got = {r.chunk_id: r.embedding for r in embedded(df, HashedWords(8)).collect()}
+    assert got["a"] == got["b"] and abs(sum(x * x for x in got["a"]) - 1) < 1e-5 and set(got["c"]) == {0.0}
+    near = search.nearest_entries(embedded(df, HashedWords(8)), got["a"], 2, entry="chunk_id")
+    assert {r.chunk_id: r.dist for r in near.collect()} == {"a": 0.0, "b": 0.0}
+    mk = lambda rows: spark.createDataFrame(rows, "relpath string, sha256 string")
+    assert [r.relpath for r in sync.stale(mk([("a", "1"), ("b", "2")]), mk([("a", "0"), ("b", "2"), ("c", "3")])).collect()] == ["a"]
