@@ -112,6 +112,20 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.components(_graph(spark, sf_dir))
 
 
+_REACH = _RECURSIVE + ", reach as (select * from (with recursive r(a, b) as (select d, d from e union select r.a, w.b from r join both_ways w on w.a = r.b) select * from r)), comp as (select a.id, min(b.id) as component from reach join names a on a.d = reach.a join names b on b.d = reach.b group by a.id)"
+
+
+@query(
+    "graph_stats",
+    _REACH
+    + _DEGREES
+    + """ select 'nodes' as metric, '' as name, count(*) as value from e union all select 'edges', '', count(*) from edges union all select 'kind', kind, count(*) from edges group by kind
+    union all (select 'hub', id, n_out + n_in from deg order by n_out + n_in desc, id limit 10) union all select 'orphans', '', count(*) from deg where n_out + n_in = 0 union all select 'component', component, count(*) from comp group by component""",
+)
+def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.stats(_graph(spark, sf_dir))
+
+
 def _id(spark: SparkSession, sf_dir: str, d: int) -> str:
     return corpus.numbered(spark, sf_dir).where(F.col("d") == d).first()["relpath"]
 
