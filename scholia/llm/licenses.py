@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scholia.plans.lineage import durable
+
 #: Phrases whose places are counted, and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 #: Well-known wordings of licences and notices, by label.
@@ -97,6 +99,8 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phras
     diagonal = (F.col("at") - F.col("place")).alias("diagonal")
     keys = ["id", "text_hash", "template", "label", "exact", "size"]
     summed = votes.groupBy(*keys, diagonal).agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("hit"))
+    # Kept, as it is small and both kinds of templates read it: texts are split once.
+    summed = durable(summed)
 
     whole = summed.where(F.col("exact") & (F.bit_count("hit") == F.col("size")))
     whole = whole.select("id", "text_hash", "label", "exact", F.col("diagonal").alias("first_word"), (F.col("diagonal") + F.col("size")).alias("last_word"), F.lit(1.0).alias("cover"))
