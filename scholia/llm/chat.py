@@ -44,9 +44,21 @@ def unescape_role(role: str) -> str:
     return _UNESCAPE.sub(lambda m: "\n" if m[1] == "n" else m[1], role)
 
 
+def _amount(value) -> float:
+    """A size from a part; what isn't a number between 0 and a billion says nothing and counts as 0."""
+    try:
+        size = float(value)
+    except (TypeError, ValueError, OverflowError):
+        return 0.0
+    return size if 0 <= size <= 1e9 else 0.0
+
+
 @dataclass
 class PartVisitor:
-    """Flattens parts in order; numbering goes on over the turns of a conversation."""
+    """Flattens parts in order; numbering goes on over the turns of a conversation.
+
+    A size that is missing or no sensible number leaves the least count: one token, or one page.
+    """
 
     image_patch: int = 28
     audio_tokens_per_s: float = 25.0
@@ -62,14 +74,14 @@ class PartVisitor:
         return escape(str(part if not isinstance(part, dict) else part.get("text") or ""))
 
     def visit_image(self, part) -> str:
-        tokens = math.ceil(int(part.get("width") or 0) / self.image_patch) * math.ceil(int(part.get("height") or 0) / self.image_patch)
+        tokens = math.ceil(_amount(part.get("width")) / self.image_patch) * math.ceil(_amount(part.get("height")) / self.image_patch)
         return self._placed("image", part, max(1, tokens))
 
     def visit_audio(self, part) -> str:
-        return self._placed("audio", part, max(1, math.ceil(float(part.get("seconds") or 0) * self.audio_tokens_per_s)))
+        return self._placed("audio", part, max(1, math.ceil(_amount(part.get("seconds")) * self.audio_tokens_per_s)))
 
     def visit_document(self, part) -> str:
-        return self._placed("document", part, max(1, int(part.get("pages") or 1)) * self.page_tokens)
+        return self._placed("document", part, max(1, math.ceil(_amount(part.get("pages")))) * self.page_tokens)
 
     def visit_unknown(self, part) -> str:
         return escape(json.dumps(part, ensure_ascii=False, sort_keys=True))

@@ -24,6 +24,14 @@ def test_parts_are_placed_in_order_and_counted():
     assert chat.content_parts("[1]", True) == ["[1]"] and chat.content_parts(None, True) == [""]
 
 
+def test_senseless_sizes_leave_the_least_count():
+    v = chat.PartVisitor()
+    for part in ({"type": "image", "width": "wide", "height": 28}, {"type": "image", "width": float("inf"), "height": [1]}, {"type": "audio", "seconds": -3}, {"type": "audio", "seconds": float("nan")}, {"type": "document", "pages": "x"}, {"type": "document", "pages": 10**400}):
+        v.visit(part)
+    assert [a[3] for a in v.attachments] == [1, 1, 1, 1, 512, 512]
+    assert v.visit({"type": None}) == '{"type": null}'
+
+
 def plain(rows):
     out = []
     for conv, own in groupby(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")), key=lambda r: r[0]):
