@@ -26,6 +26,8 @@ WEIGHTS = (5, 2, 1)
 REPEATS = 3
 BLOCKS = 1024
 SHARDS = 32
+#: A shard is written in up to this many stretches of its order, so that no task has to sort a whole shard.
+STRETCHES = 4096
 SEED = 11
 _NULL_LAST = "\U0010ffff"
 
@@ -131,7 +133,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """Rows of ``docs`` as the mix takes them, repeated as often as drawn, dealt by shard and shuffled within each."""
+    """Rows of ``docs`` as the mix takes them, repeated as often as drawn, dealt by shard and shuffled within each.
+
+    Tasks take stretches of a shard's order rather than whole shards, as the number of shards is fixed.
+    """
     found = mix(docs, id_col, text_col, source_col, shards, seed).where(F.size("draws") > 0)
     once = found.groupBy("id", "text_hash", "source").agg(F.flatten(F.collect_list("draws")).alias("draws"), F.count("*").alias("copies"))
     once = once.alias("m")
@@ -141,4 +146,6 @@ def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     # Of rows that repeat id, text and source the first stands for all their draws.
     nth = F.row_number().over(Window.partitionBy("__key").orderBy("__key.h"))
     drawn = met.withColumn("__nth", nth).where("__nth = 1").withColumn("__draw", F.explode("__draws"))
-    return drawn.repartition("__draw.shard").sortWithinPartitions("__draw.shard", "__draw.position").drop("__key", "__draws", "__nth", "__draw")
+    drawn = drawn.withColumn("__stretch", F.floor(F.col("__draw.position") / (2**64 // STRETCHES)))
+    dealt = drawn.repartition("__draw.shard", "__stretch").sortWithinPartitions("__draw.shard", "__draw.position")
+    return dealt.drop("__key", "__draws", "__nth", "__draw", "__stretch")

@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 from scholia.llm import mixing
 
 SCHEMA = "doc_id long, text string, source string, size string"
@@ -65,3 +67,20 @@ def test_nulls_repeats_empty_and_clashing_columns(spark):
     out = mixing.take(df)
     assert out.columns == df.columns and out.count() == sum(len(r.draws) for r in got)
     assert mixing.mix(df.limit(0)).count() == 0 and mixing.take(df.limit(0)).count() == 0
+
+
+def test_take_deals_stretches_in_order(spark):
+    """Every draw comes out once, and each task holds its stretches in the order of the shards."""
+    df = spark.createDataFrame([(i, "w " * (1 + i % 7), "abc"[i % 3], None) for i in range(400)], SCHEMA)
+    want = {(r.id, d.shard, d.position) for r in mixing.mix(df).collect() for d in r.draws}
+    rows = mixing.take(df).select("doc_id", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("at")).orderBy("at").collect()
+    assert sorted(r.doc_id for r in rows) == sorted(i for i, _, _ in want)
+    places = {}
+    for i, shard, position in want:
+        places.setdefault(i, []).append((shard, position))
+    for p in {r.p for r in rows}:
+        last = (-1, 0)
+        for r in (r for r in rows if r.p == p):
+            left = sorted(x for x in places[r.doc_id] if x > last)
+            assert left
+            last = left[0]
