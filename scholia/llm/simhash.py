@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholia.llm import jaccard
 from scholia.llm.common import group_starts, text_slices, whole_groups
 from scholia.operators.components import connected_components
 from scholia.plans.lineage import durable
@@ -204,12 +205,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return named.select("id", "text_hash", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float | None = None) -> DataFrame:
     """Keep one row of ``docs`` per group: the smallest id (nulls last), then the smallest text hash.
 
+    Without a threshold groups are those of ``near_duplicates``, whose shingles have a fixed width. With one they
+    connect texts whose sets of ``shingle`` words have at least this Jaccard similarity; texts without words are alike.
     Columns of ``docs`` stay as they are, whatever their names. Rows that repeat both id and text are one.
     """
-    found = near_duplicates(docs, id_col, text_col)
+    if threshold is None:
+        if shingle != SHINGLE:
+            raise ValueError("another width of shingles needs a threshold")
+        found = near_duplicates(docs, id_col, text_col)
+    else:
+        rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
+        found = jaccard.grouped(rows.withColumn("text_hash", text_key(F.col("text"))), shingle, threshold)
     first = F.min(F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("text_hash").alias("h")))
     keep = found.groupBy("root").agg(first.alias("w")).select(F.col("w.id").alias("id"), F.col("w.h").alias("h")).alias("keep")
     text = docs[text_col].cast("string")
