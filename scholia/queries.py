@@ -379,6 +379,13 @@ def review_missing_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.missing_connections(notes.parsed(e), graph.build(e).edges).where("n >= 4")
 
 
+@query("review_missing_links_all")
+def review_missing_links_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs that share two tags or more; ``review_missing_links`` gives those of four or more, as its SQL does."""
+    e = corpus.entries(spark, sf_dir)
+    return review.missing_connections(notes.parsed(e), graph.build(e).edges)
+
+
 @query("review_unidirectional", "select a.id as src, b.id as dst from edges x join names a on a.d = x.d join names b on b.d = x.t where kind = 'see' and not exists (select 1 from edges y where y.kind = 'see' and y.d = x.t and y.t = x.d)")
 def review_unidirectional(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.unidirectional(_graph(spark, sf_dir))
