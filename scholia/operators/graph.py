@@ -174,18 +174,22 @@ def shortest_path(g: Graph, a: str, b: str) -> DataFrame:
     return found.sparkSession.createDataFrame(sorted(walk), "hop int, from string, dir string, kind string, to string")
 
 
-def successors(g: Graph, most: int = 100) -> DataFrame:
-    """``(id, step, successor)``: each entry's chain of replacements, up to its end or before it repeats."""
-    nxt = durable(g.edges.where("kind = 'superseded_by'").select(F.col("src").alias("at"), F.col("dst").alias("to")))
-    front = nxt.select(F.col("at").alias("id"), F.lit(1).alias("step"), F.col("to").alias("successor"), F.array("at", "to").alias("path"))
-    out = front = durable(front)
-    for step in range(2, most + 1):
-        met = front.join(nxt, front.successor == nxt["at"]).where(~F.array_contains("path", F.col("to")))
-        front = durable(met.select("id", F.lit(step).alias("step"), F.col("to").alias("successor"), F.array_append("path", F.col("to")).alias("path")))
-        if front.isEmpty():
-            break
-        out = out.unionByName(front)
-    return out.drop("path")
+def successors(g: Graph) -> DataFrame:
+    """``(id, step, successor)``: each entry's chain of replacements, up to its end or before it repeats.
+
+    An entry has at most one replacement, so what is known of its first steps is put together with what is known
+    of the entry where they end: the steps known double each round, until no chain goes on.
+    """
+    known = durable(g.edges.where("kind = 'superseded_by'").select(F.col("src").alias("id"), F.lit(1).alias("step"), F.col("dst").alias("successor")))
+    steps = 1
+    while True:
+        ends = known.where(F.col("step") == steps).select("id", F.col("successor").alias("at"))
+        if ends.isEmpty():
+            return known
+        further = ends.join(known.select(F.col("id").alias("at"), "step", "successor"), "at").where("successor <> id")
+        further = further.select("id", (F.col("step") + steps).alias("step"), "successor").join(known, ["id", "successor"], "left_anti")
+        known = durable(known.unionByName(further))
+        steps *= 2
 
 
 def current(g: Graph) -> DataFrame:
@@ -199,19 +203,15 @@ def ancestors(g: Graph) -> DataFrame:
     return successors(g).select(F.col("successor").alias("id"), F.col("id").alias("ancestor"))
 
 
-def cycles(g: Graph, most: int = 100) -> DataFrame:
+def cycles(g: Graph) -> DataFrame:
     """``(id, cycle)`` for every member of a circle of replacements; the circle is written from its smallest id."""
-    nxt = durable(g.edges.where("kind = 'superseded_by'").select(F.col("src").alias("at"), F.col("dst").alias("to")))
-    front = durable(nxt.select(F.array("at").alias("path"), "to"))
-    found = None
-    for _ in range(most):
-        closed = front.where(F.col("to") == F.col("path")[0])
-        # The smallest member is on the circle, so one start is enough.
-        closed = durable(closed.where(F.col("path")[0] == F.array_min("path")))
-        found = closed if found is None else found.unionByName(closed)
-        front = durable(front.where(~F.array_contains("path", F.col("to"))).join(nxt.withColumnRenamed("to", "next"), F.col("to") == F.col("at")).select(F.array_append("path", F.col("to")).alias("path"), F.col("next").alias("to")))
-        if front.isEmpty():
-            break
+    nxt = g.edges.where("kind = 'superseded_by'").select(F.col("src").alias("successor"), F.col("dst").alias("id"))
+    walked = successors(g)
+    members = walked.join(walked.join(nxt, ["id", "successor"], "left_semi").select("id"), "id", "left_semi")
+    path = F.transform(F.array_sort(F.collect_list(F.struct("step", "successor"))), lambda x: x["successor"])
+    # The smallest member is on the circle, so one start is enough.
+    found = members.groupBy("id").agg(F.min("successor").alias("least"), path.alias("path")).where("id < least")
+    found = found.select(F.concat(F.array("id"), "path").alias("path"))
     return found.select(F.explode("path").alias("id"), F.array_join(F.array_append("path", F.col("path")[0]), " → ").alias("cycle"))
 
 
