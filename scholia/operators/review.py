@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scholia.functions import notes as fn
 from scholia.operators.graph import Graph
+from scholia.plans.lineage import durable
 
 WARN_BYTES, ACT_BYTES, MANY_LINES = 500 * 1024, 1024 * 1024, 300
 
@@ -131,9 +132,46 @@ def registry_lines(counts: DataFrame, registry: DataFrame) -> DataFrame:
     return counts.join(registry, "tag", "left").orderBy(F.desc("n"), "tag").select("tag", "n", text.alias("line"))
 
 
-def similar_tags(tags: DataFrame, most: int = 1) -> DataFrame:
-    """``(a, b)``: tags that are plural forms, contain each other or differ by few letters; they meet on their first two letters."""
-    own = tags.select("tag").distinct()
-    key = F.substring("tag", 1, 3)
-    met = own.toDF("a").withColumn("k", F.substring("a", 1, 3)).join(own.withColumn("k", key).withColumnRenamed("tag", "b"), "k").where("a < b")
-    return met.where(F.startswith("b", F.col("a")) | (F.levenshtein("a", "b") <= most)).select("a", "b")
+def similar_tags(tags: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
+    """``(a, b)``, a < b: tags that may mean the same, without regard to case.
+
+    One contains the other; they differ by an edit or two swapped neighbours; one is the plural of the other or
+    its abbreviation (first letter, number left out, last letter; or the first letters of its words); they share
+    a word, and each word of the one with fewer words begins, or begins with, a word of the other; or
+    ``synonyms`` has them as a row ``(a, b)``. Each rule finds its pairs by a key that both have, wherever it lies.
+    """
+    own = tags.select("tag").distinct().withColumn("f", F.lower(F.regexp_replace("tag", "^#", ""))).where("f <> ''")
+    own = own.withColumn("n", F.length("f")).withColumn("words", F.array_distinct(F.filter(F.split("f", "[-_/]"), lambda w: w != "")))
+    own = durable(own)
+    places = F.sequence(F.lit(1), F.col("n"))
+    less = F.transform(places, lambda i: F.concat(F.substring("f", F.lit(1), i - 1), F.substring("f", i + 1, F.col("n"))))
+    swapped = F.transform(places, lambda i: F.concat(F.substring("f", F.lit(1), i - 1), F.substring("f", i + 1, F.lit(1)), F.substring("f", i, F.lit(1)), F.substring("f", i + 2, F.col("n"))))
+    parts = F.flatten(F.transform(places, lambda i: F.transform(F.sequence(F.lit(1), F.col("n") - i + 1), lambda k: F.substring("f", i, k))))
+    stem = F.substring("f", F.lit(1), F.col("n") - 3)
+    singular = F.when(F.endswith("f", F.lit("ies")), F.array(F.concat(stem, F.lit("y")))).when(F.endswith("f", F.lit("ves")), F.array(F.concat(stem, F.lit("f")), F.concat(stem, F.lit("fe"))))
+    short = F.array(
+        F.when(F.col("n") > 3, F.concat(F.substring("f", 1, 1), F.col("n") - 2, F.substring("f", -1, 1))),
+        F.when(F.size("words") > 1, F.array_join(F.transform("words", lambda w: F.substring(w, 1, 1)), "")),
+    )
+
+    def meet(left: F.Column, right: F.Column, rule: F.Column | None = None) -> DataFrame:
+        keyed = lambda key, name: own.select(F.struct("tag", "f", "words").alias(name), F.explode(F.array_distinct(key)).alias("key"))
+        met = keyed(left, "x").join(keyed(right, "y"), "key").where("x.tag <> y.tag")
+        return (met if rule is None else met.where(rule)).select(F.col("x.tag").alias("a"), F.col("y.tag").alias("b"))
+
+    itself = F.array("f")
+    begins = lambda few, many: F.forall(few, lambda w: F.exists(many, lambda v: F.startswith(v, w) | F.startswith(w, v)))
+    x, y = F.col("x.words"), F.col("y.words")
+    found = [
+        meet(itself, parts),
+        meet(F.array_append(less, F.col("f")), F.array_append(less, F.col("f")), F.levenshtein("x.f", "y.f") <= 1),
+        meet(itself, swapped), meet(itself, singular), meet(itself, F.array_compact(short)),
+        meet(F.col("words"), F.col("words"), (F.size(x) <= F.size(y)) & begins(x, y)),
+    ]
+    if synonyms is not None:
+        known = synonyms.select("a", "b").where("a <> b")
+        found.append(known.join(own.select(F.col("tag").alias("a")), "a", "left_semi").join(own.select(F.col("tag").alias("b")), "b", "left_semi").select("a", "b"))
+    out = found[0]
+    for pairs in found[1:]:
+        out = out.unionByName(pairs)
+    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -353,6 +353,12 @@ def tag_registry_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("similar_tags", ", t as (select distinct unnest(tags) as tag from e) select a.tag as a, b.tag as b from t a join t b on a.tag < b.tag and substring(a.tag, 1, 3) = substring(b.tag, 1, 3) and (starts_with(b.tag, a.tag) or levenshtein(a.tag, b.tag) <= 1)")
 def similar_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those of all similar tags that the SQL names: same first letters, and a prefix or one edit."""
+    return similar_tags_all(spark, sf_dir).where("substring(a, 1, 3) = substring(b, 1, 3) and (startswith(b, a) or levenshtein(a, b) <= 1)")
+
+
+@query("similar_tags_all")
+def similar_tags_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.similar_tags(_notes(spark, sf_dir).select(F.explode("tags").alias("tag")))
 
 
