@@ -39,29 +39,33 @@ def _benign(kind: str, keep_names: bool):
     return None
 
 
-def redacted(text: F.Column, keep_names: bool = False) -> tuple[F.Column, dict[str, F.Column]]:
-    """The text without unambiguous secrets, and the number masked of each kind, in the order of KINDS."""
-    counts = {}
-    for kind in KINDS:
-        text, counts[kind] = _masked(text, _unicode(KINDS[kind]), _benign(kind, keep_names))
-    return text, counts
-
-
-def _masked(text: F.Column, pattern: str, stays) -> tuple[F.Column, F.Column]:
-    found = F.regexp_extract_all(text, F.lit(pattern), 0)
-    if stays is None:
-        return F.regexp_replace(text, pattern, PLACEHOLDER), F.size(found)
-    # Texts between the matches, put together again with each match or the placeholder.
-    between = F.split(text, pattern, -1)
-    rest = F.zip_with(found, F.slice(between, 2, F.size(between)), lambda m, b: F.concat(F.when(stays(m), m).otherwise(PLACEHOLDER), F.coalesce(b, F.lit(""))))
-    return F.concat(between[0], F.array_join(rest, "")), F.size(F.filter(found, lambda m: ~stays(m)))
+def redacted(rows: DataFrame, text_col: str = "text", keep_names: bool = False) -> DataFrame:
+    """``rows`` with unambiguous secrets masked in the text, and ``n_masked``: how many of each kind, in the order of KINDS.
+
+    Each kind is a step of its own on the text that the kinds before it left; a step's text is a column, so no
+    pattern runs twice over the same text, and texts without a match of a kind are passed on as they are.
+    """
+    for i, kind in enumerate(KINDS):
+        pattern, stays = _unicode(KINDS[kind]), _benign(kind, keep_names)
+        rows = rows.withColumn(f"__found{i}", F.regexp_extract_all(text_col, F.lit(pattern), 0))
+        if stays is None:
+            rows = rows.withColumn(text_col, F.when(F.size(f"__found{i}") > 0, F.regexp_replace(text_col, pattern, PLACEHOLDER)).otherwise(F.col(text_col)))
+            rows = rows.withColumn(f"__n{i}", F.size(f"__found{i}"))
+        else:
+            # Texts between the matches, put together again with each match or the placeholder.
+            rows = rows.withColumn("__between", F.when(F.size(f"__found{i}") > 0, F.split(text_col, pattern, -1)))
+            rest = F.zip_with(f"__found{i}", F.slice("__between", 2, F.size("__between")), lambda m, b: F.concat(F.when(stays(m), m).otherwise(PLACEHOLDER), F.coalesce(b, F.lit(""))))
+            rows = rows.withColumn(text_col, F.when(F.size(f"__found{i}") > 0, F.concat(F.col("__between")[0], F.array_join(rest, ""))).otherwise(F.col(text_col)))
+            rows = rows.withColumn(f"__n{i}", F.size(F.filter(f"__found{i}", lambda m: ~stays(m)))).drop("__between")
+        rows = rows.drop(f"__found{i}")
+    every = [F.struct(F.lit(k).alias("kind"), F.col(f"__n{i}").alias("count")) for i, k in enumerate(KINDS)]
+    return rows.withColumn("n_masked", F.array(*every)).drop(*[f"__n{i}" for i in range(len(KINDS))])
 
 
 def redact(entries: DataFrame, keep_names: bool = False) -> DataFrame:
     """``(relpath, text, hits)``; hits are the kinds masked with their counts. A text without hits is as before."""
-    text, counts = redacted(F.col("content"), keep_names)
-    hits = F.filter(F.array(*[F.struct(F.lit(k).alias("kind"), n.alias("count")) for k, n in counts.items()]), lambda h: h["count"] > 0)
-    return entries.select("relpath", text.alias("text"), hits.alias("hits"))
+    found = redacted(entries.select("relpath", F.col("content").alias("text")), "text", keep_names)
+    return found.select("relpath", "text", F.filter("n_masked", lambda h: h["count"] > 0).alias("hits"))
 
 
 def free_text(text: F.Column, mode: str = "length") -> F.Column:
@@ -70,33 +74,45 @@ def free_text(text: F.Column, mode: str = "length") -> F.Column:
     return F.concat(F.lit(f"{PLACEHOLDER} len="), F.length(text))
 
 
-def redact_value(value, depth: int = 0):
-    """A nested value with sensitive keys and secret-shaped strings masked; too deep or odd values are masked whole."""
-    if depth > MAX_DEPTH:
-        return PLACEHOLDER
-    if isinstance(value, str):
-        for p in (*KINDS.values(), LONG):
-            value = re.sub(p, PLACEHOLDER, value)
-        return value
-    if value is None or isinstance(value, (int, float)):
-        return value
-    if isinstance(value, list):
-        return [redact_value(v, depth + 1) for v in value]
-    if isinstance(value, dict):
-        return {k: PLACEHOLDER if any(s in k.lower() for s in SENSITIVE) else redact_value(v, depth + 1) for k, v in value.items()}
-    return PLACEHOLDER
+_SECRETS = [re.compile(p) for p in (*KINDS.values(), LONG)]
+_SENSITIVE_KEY = re.compile("|".join(map(re.escape, SENSITIVE)))
+
+
+def mask_parsed(parsed):
+    """A parsed JSON value with what is secret masked in place; keys, their order and plain scalars stay.
+
+    What stands under a sensitive key, or below ``MAX_DEPTH`` containers, is replaced whole. Places still to be
+    looked at wait in a list, so nesting of any depth needs no recursion.
+    """
+    top = [parsed]
+    places = [(top, 0, 0)]
+    while places:
+        holder, at, depth = places.pop()
+        held = holder[at]
+        if depth > MAX_DEPTH or isinstance(at, str) and _SENSITIVE_KEY.search(at.lower()):
+            holder[at] = PLACEHOLDER
+        elif isinstance(held, (dict, list)):
+            places.extend((held, inner, depth + 1) for inner in (held.keys() if isinstance(held, dict) else range(len(held))))
+        elif isinstance(held, str):
+            for secret in _SECRETS:
+                held = secret.sub(PLACEHOLDER, held)
+            holder[at] = held
+    return top[0]
 
 
 def redact_json(values: F.Column) -> F.Column:
-    """JSON texts, redacted; a text that is no JSON is treated as one string. Recursion needs Python, in Arrow batches."""
+    """JSON texts, redacted; keys keep their order. A text that is no JSON, or nests too deep to be read, is treated as one string.
+
+    JSON of any shape has no type in Spark that a built-in expression could walk, so this is an Arrow UDF.
+    """
 
     def one(v):
         if v is None:
             return None
         try:
-            return json.dumps(redact_value(json.loads(v)), ensure_ascii=False, sort_keys=True)
-        except ValueError:
-            return redact_value(v)
+            return json.dumps(mask_parsed(json.loads(v)), ensure_ascii=False)
+        except (ValueError, RecursionError):
+            return mask_parsed(v)
 
     def batch(v: pd.Series) -> pd.Series:
         return v.map(one)

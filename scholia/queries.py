@@ -471,10 +471,18 @@ def redact_free_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.entries(spark, sf_dir).select("relpath", privacy.free_text(F.col("content")).alias("text"))
 
 
-@query("redact_structured")
+@query(
+    "redact_structured",
+    """select event_id, '{"zeta": ' || event_id || ', "user": {"Api_Key_Name": "‹redacted›", "mail": "by ‹redacted› now", "n": [1.5, null, true, "plain ‹redacted›"]}, "props": ' || props || ', "deep": ' || repeat('[', 7) || '"‹redacted›", 1' || repeat(']', 7) || ', "deeper": ' || repeat('[', 8) || '"‹redacted›", "‹redacted›"' || repeat(']', 8) || ', "alpha": "ok"}' as props from events""",
+)
 def redact_structured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Properties of events inside a structure with secrets in values, under sensitive keys and at either side of the depth limit."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.select("event_id", privacy.redact_json("props").alias("props"))
+    whole = F.concat(
+        F.lit('{"zeta": '), "event_id", F.lit(', "user": {"Api_Key_Name": {"a": [1]}, "mail": "by u'), "user_id", F.lit('@mail.example.com now", "n": [1.5, null, true, "plain op://vault/item-'), "event_id", F.lit('/field"]}, "props": '), "props",
+        F.lit(', "deep": ' + "[" * 7 + '"eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0", 1' + "]" * 7 + ', "deeper": ' + "[" * 8 + '"x", 1' + "]" * 8 + ', "alpha": "ok"}'),
+    )
+    return events.select("event_id", privacy.redact_json(whole).alias("props"))
 
 
 @query(
