@@ -4,7 +4,9 @@ Every word k-gram of a text whose rolling hash starts a k-gram of a template giv
 (place in the text minus place in the template). Votes are the set of template places hit, so they add up
 without regard to order or repetition. A phrase stands in the text where a diagonal has all of its places.
 For the longer templates neighbouring diagonals are merged, as an inserted or missing word moves the rest by
-one, and a merged span counts if it covers enough of the template and is no longer than it should be.
+one: each diagonal together with the next few, never a chain of them, so that no run of votes can make a span
+too long. A merged span is verified by the share of the template's places that it covers, and of spans whose
+starts lie that close the best covered one counts.
 
 Templates are a fixed list, so the table of their k-grams is small by construction and may be broadcast;
 texts are never shuffled, only votes are, and a text's votes are summed before they leave its task.
@@ -35,9 +37,11 @@ TEMPLATES = {
 #: Words: runs of ASCII letters and digits and of all characters beyond ASCII.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GRAM = 2
-#: Diagonals at most so far apart are merged; a span must cover this share of the template's places.
-MERGE = 3
+#: Diagonals at most so far apart are merged (less for templates of fewer places); a span must cover this share of them.
+MERGE = 12
 COVER = 0.6
+#: A multiple of every number up to MERGE: in these units all templates have the same distance of merging.
+_UNITS = 27720
 
 
 @dataclass(frozen=True)
@@ -60,14 +64,12 @@ def templates(phrases: dict[str, str] | None = None, texts: dict[str, str] | Non
     return out
 
 
-def _lowered(text: F.Column) -> F.Column:
-    # No letter outside ASCII becomes a separator in lower case, so the words' places stay.
-    return F.lower(text)
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def _words(text: F.Column) -> F.Column:
-    """Words of a text in lower case. A leading separator is taken off first, as split would give an empty word."""
-    return F.split(F.regexp_replace(F.regexp_replace(_lowered(text), f"^{SEPARATORS}", ""), f"{SEPARATORS}$", ""), SEPARATORS)
+    """Words of a text, A-Z in lower case; a separator at either end leaves an empty part, which is none."""
+    return F.array_remove(F.split(F.translate(text, _UPPER, _LOWER), SEPARATORS), "")
 
 
 def _grams(spark: SparkSession, all_templates: list[Template]) -> DataFrame:
@@ -105,16 +107,18 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phras
     whole = summed.where(F.col("exact") & (F.bit_count("hit") == F.col("size")))
     whole = whole.select("id", "text_hash", "label", "exact", F.col("diagonal").alias("first_word"), (F.col("diagonal") + F.col("size")).alias("last_word"), F.lit(1.0).alias("cover"))
 
-    by = Window.partitionBy("id", "text_hash", "template").orderBy("diagonal")
-    fuzzy = summed.where(~F.col("exact"))
-    fuzzy = fuzzy.withColumn("new", F.when(F.col("diagonal") - F.lag("diagonal").over(by) <= MERGE, 0).otherwise(1))
-    fuzzy = fuzzy.withColumn("group", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     lowest = F.col("diagonal") + F.log2(F.col("hit").bitwiseAND(-F.col("hit")).cast("double")).cast("int")
     highest = F.col("diagonal") + F.floor(F.log2(F.col("hit").cast("double"))).cast("int") + GRAM - 1
-    merged = fuzzy.groupBy(*keys, "group").agg(F.bit_or("hit").alias("hit"), F.min(lowest).alias("first_word"), F.max(highest).alias("last_word"))
-    cover = F.bit_count("hit") / F.col("size")
-    good = (cover >= COVER) & (F.col("last_word") - F.col("first_word") < 2 * F.col("size") + GRAM)
-    return whole.unionByName(merged.where(good).select("id", "text_hash", "label", "exact", "first_word", "last_word", cover.alias("cover")))
+    step = F.col("diagonal").cast("long") * F.floor(F.lit(_UNITS) / F.least("size", F.lit(MERGE))).cast("long")
+    fuzzy = summed.where(~F.col("exact")).select("*", step.alias("step"), lowest.alias("low"), highest.alias("high"))
+    by = Window.partitionBy("id", "text_hash", "template").orderBy("step")
+    ahead, around = by.rangeBetween(0, _UNITS), by.rangeBetween(-_UNITS, _UNITS)
+    merged = fuzzy.select("*", (F.bit_count(F.bit_or("hit").over(ahead)) / F.col("size")).alias("cover"), F.min("low").over(ahead).alias("first_word"), F.max("high").over(ahead).alias("last_word"))
+    merged = merged.where(F.col("cover") >= COVER)
+    # Of spans that start close together the best covered one stays, of equal ones the first.
+    worth = F.struct("cover", -F.col("step"))
+    best = merged.withColumn("best", F.max(worth).over(around)).where(worth == F.col("best"))
+    return whole.unionByName(best.select("id", "text_hash", "label", "exact", "first_word", "last_word", "cover"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
