@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from scholia.llm import simhash
 
@@ -46,19 +47,25 @@ def test_tree_and_split_nodes_equal_brute_force(spark):
     center = rng.getrandbits(64)
     fps |= {center ^ 1 << i ^ 1 << j for i in range(20) for j in range(20)}
     fps = sorted(fps)
-    order = sorted(fps)
-    a, b = simhash.gray_tree_pairs(np.array(order, np.uint64))
-    assert set(zip(a.tolist(), b.tolist(), strict=True)) == {(i, j) for j in range(len(order)) for i in range(j) if bin(order[i] ^ order[j]).count("1") <= 2}
+    a, b = (np.array(x + [0] * (-len(x) % simhash.RUN), np.uint64)[None] for x in (fps[::2], fps[1::2]))
+    there = [np.arange(x.shape[1])[None] < n for x, n in ((a, len(fps[::2])), (b, len(fps[1::2])))]
+    row, i, j = simhash.pairs_within(a, there[0], b, there[1])
+    assert not row.any() and set(zip(i.tolist(), j.tolist(), strict=True)) == {(i, j) for i, x in enumerate(fps[::2]) for j, y in enumerate(fps[1::2]) if bin(x ^ y).count("1") <= 2}
     df = spark.createDataFrame([(np.uint64(x).astype(np.int64).item(),) for x in fps], "fp long")
-    for node_rows in (2000, 8):
-        links = [(r.u % 2**64, r.v % 2**64) for r in simhash.near_links(df, node_rows).collect()]
-        assert all(bin(u ^ v).count("1") and u in fps and v in fps for u, v in links)
+    for leaf in (2000, 6):
+        links = [(r.u % 2**64, r.v % 2**64) for r in simhash.near_links(df, leaf).collect()]
+        assert all(u in fps and v in fps for u, v in links)
         at = {f: i for i, f in enumerate(fps)}
         got = simhash.spanning_roots(len(fps), np.array([at[u] for u, _ in links]), np.array([at[v] for _, v in links])).tolist()
         assert got == brute_roots(fps)
+    levels = simhash.node_levels(df, 6)
+    assert len(levels) > 3 and levels[-1][1].where("n > 6").isEmpty()
 
 
 def test_groups_nulls_ties_and_clashing_columns(spark):
+    clash = spark.createDataFrame([(1, "a b c", 5, 6, 7), (2, "a b c", 5, 6, 7)], "doc_id long, text string, __key int, __nth int, row int").withColumn("h", F.lit(1)).withColumn("nth", F.lit(2)).withColumn("a.b", F.lit(3))
+    assert [tuple(r) for r in simhash.drop_near_duplicates(clash).collect()] == [(1, "a b c", 5, 6, 7, 1, 2, 3)] and simhash.drop_near_duplicates(clash).columns == clash.columns
+    assert [r.doc_id for r in simhash.drop_near_duplicates(clash, shingle=5, threshold=0.8).collect()] == [1]
     rows = [(5, "a b c d e", "s", "x"), (3, "A b c d e", None, "y"), (3, "A b c d e", None, "y"), (9, None, "s", None), (8, "", "s", None), (None, "zz yy xx", "s", "q"), (7, "other words entirely here now", "s", "q")]
     df = spark.createDataFrame(rows, SCHEMA)
     found = {(r.id, r.component_id) for r in simhash.near_duplicates(df).collect()}
