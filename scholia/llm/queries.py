@@ -63,7 +63,8 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scholia.llm.mixing import mix
 
     found = mix(table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.size("draws") * F.col("size")).alias("taken"))
+    drawn = lambda part: F.array_join(F.transform("draws", lambda d: d[part].cast("string")), ",")
+    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.size("draws") * F.col("size")).alias("taken"), drawn("shard").alias("shards"), drawn("position").alias("positions"))
 
 
 def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

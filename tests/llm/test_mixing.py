@@ -57,6 +57,36 @@ def test_query_meets_its_contract(spark, sf_dir):
         assert abs(target[s] - t) < 1e-6 and abs(taken[s] - t) <= longest[s] / 2 + 1
 
 
+def test_draws_fill_the_shards_and_blocks_do_not_change_the_totals(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "w " * (1 + i % 7), "abc"[i % 3], None) for i in range(600)], SCHEMA)
+    for least, most in ((mixing.LEAST_ROWS, mixing.BLOCK_ROWS), (1, 2)):
+        monkeypatch.setattr(mixing, "LEAST_ROWS", least)
+        monkeypatch.setattr(mixing, "BLOCK_ROWS", most)
+        got = mixing.mix(df).collect()
+        shards = {}
+        for r in got:
+            for d in r.draws:
+                shards[d.shard] = shards.get(d.shard, 0) + 1
+        assert set(shards) == set(range(mixing.SHARDS))
+        for s in "abc":
+            own = [r for r in got if r.source == s]
+            assert abs(sum(len(r.draws) * r.size for r in own) - own[0].target) <= 4
+
+
+def test_query_tells_shards_and_positions(spark, sf_dir):
+    from scholia.llm.queries import op8_mix
+
+    for r in op8_mix(spark, sf_dir).collect():
+        shards, positions = ([x for x in s.split(",") if x] for s in (r.shards, r.positions))
+        assert len(shards) == len(positions) == (r.taken // r.size if r.size else 0) and all(0 <= int(x) < mixing.SHARDS for x in shards)
+
+
+def test_names_used_inside_do_not_clash(spark):
+    df = spark.createDataFrame([(1, "a b", "s", 7, 8, 9, 10)], "doc_id long, text string, source string, __key int, __nth int, draw int, row int").withColumn("a.b", F.lit(1)).withColumn("stretch", F.lit(2))
+    out = mixing.take(df, draw_col="at")
+    assert out.columns == [*df.columns, "at"] and [tuple(r)[:-1] for r in out.collect()] == [tuple(df.first())]
+
+
 def test_nulls_repeats_empty_and_clashing_columns(spark):
     rows = [(1, "a b c", None, "x"), (1, "a b c", None, "x"), (None, "d e", "s", "y"), (3, None, "s", "z"), (4, "", "z", None), (5, "w " * 50_000, "t", None)]
     df = spark.createDataFrame(rows, SCHEMA)
