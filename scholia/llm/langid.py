@@ -21,9 +21,10 @@ from scholia.llm.common import one_blas_thread, text_slices, text_slices_at
 UNKNOWN = "und"
 WINDOW = 256
 WIDTHS = (2, 3, 4)
-#: At most about this many labelled texts per language are fetched for fitting, and this many windows of each.
-SAMPLE_TEXTS = 600
-SAMPLE_WINDOWS = 2
+#: Windows overlap by what the widest filter needs, so that it sees every place of a text.
+STRIDE = WINDOW - max(WIDTHS) + 1
+#: About this many distinct windows per language, from any place of any text, are fetched for fitting.
+SAMPLE_WINDOWS = 1200
 _CHUNK = 64
 
 
@@ -76,18 +77,24 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def cut(raw: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of all texts in rows, the text that each comes from, and its number of bytes."""
-    counts = np.array([max(1, -(-len(b) // window)) for b in raw])
-    flat = np.frombuffer(b"".join(b.ljust(int(n) * window, b"\0") for b, n in zip(raw, counts, strict=True)), np.uint8)
+def cut(raw: list[bytes], window: int = WINDOW, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of all texts in rows, the text that each comes from, and the number of bytes that it adds to the ones before."""
+    lengths = np.array([len(b) for b in raw], np.int64)
+    counts = 1 + np.maximum(0, -(-(lengths - window) // stride))
+    ends = np.cumsum((counts - 1) * stride + window)
+    flat = np.zeros(ends[-1] if len(ends) else 0, np.uint8)
+    starts = ends - ((counts - 1) * stride + window)
+    for b, at in zip(raw, starts.tolist(), strict=True):
+        flat[at : at + len(b)] = np.frombuffer(b, np.uint8)
     owner = np.repeat(np.arange(len(raw)), counts)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    sizes = np.array([len(b) for b in raw])[owner]
-    return flat.reshape(-1, window), owner, np.clip(sizes - nth * window, 1, window).astype(np.float32)
+    first = starts[owner] + nth * stride
+    new = np.where(nth == 0, np.minimum(lengths[owner], window), np.minimum(lengths[owner] - nth * stride, window) - (window - stride))
+    return np.lib.stride_tricks.sliding_window_view(flat, window)[first] if len(first) else flat.reshape(0, window), owner, np.maximum(new, 1).astype(np.float32)
 
 
-def train(texts: list[str], langs: list[str], seed: int = 7, dims: int = 6, per_width: int = 12, epochs: int = 8, rate: float = 0.01) -> ByteConvNet:
-    """Fit the network with Adam on up to ``SAMPLE_WINDOWS`` windows of each text, spread over its length."""
+def train(windows: list[bytes], langs: list[str], seed: int = 7, dims: int = 6, per_width: int = 12, epochs: int = 8, rate: float = 0.01) -> ByteConvNet:
+    """Fit the network with Adam on labelled windows, each of at most ``WINDOW`` bytes."""
     one_blas_thread()
     labels = sorted(set(langs))
     rng = np.random.default_rng(seed)
@@ -106,13 +113,7 @@ def train(texts: list[str], langs: list[str], seed: int = 7, dims: int = 6, per_
     net.embed[0] = 0
     if len(labels) < 1:
         return net
-    xs, ys = [], []
-    for t, lang in zip(texts, langs, strict=True):
-        w = cut([t.encode("utf-8", "replace")])[0]
-        for i in sorted({int(k) for k in np.linspace(0, len(w) - 1, SAMPLE_WINDOWS)}):
-            xs.append(w[i])
-            ys.append(labels.index(lang))
-    x, y = np.array(xs), np.array(ys)
+    x, y = cut(windows)[0], np.array([labels.index(k) for k in langs])
     # Rare languages weigh as much as common ones.
     weight = (len(y) / (len(labels) * np.bincount(y, minlength=len(labels))))[y].astype(np.float32)
     params = [net.embed, net.filters, net.bias, net.out, net.out_bias]
@@ -154,26 +155,26 @@ def fold(id_col: str = "doc_id", parts: int = 4) -> F.Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def fit(docs: DataFrame, label_col: str = "lang", text_col: str = "text", sample: int = SAMPLE_TEXTS) -> ByteConvNet:
-    """Fit on about ``sample`` texts of each label, chosen by the hash of the text; null labels and texts don't count.
+def fit(docs: DataFrame, label_col: str = "lang", text_col: str = "text", sample: int = SAMPLE_WINDOWS) -> ByteConvNet:
+    """Fit on about ``sample`` distinct windows of each label, from anywhere in the texts; null labels and texts don't count.
 
-    Rates come from counts over all rows, so the sample is bounded and the same in every run.
+    A window is chosen by a hash of its text's hash and its place, at a rate from the number of windows of the label in
+    all rows; windows of copies are fetched once, so copies can't swell the sample. Each label has one window at least.
     """
     rows = docs.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.where("label is not null and text is not null and text <> ''")
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    n = F.greatest(F.lit(1), F.ceil((F.octet_length("text") - WINDOW) / STRIDE) + 1)
+    rows = rows.where("label is not null and text is not null and text <> ''").select("label", F.col("text").cast("binary").alias("raw"), n.cast("int").alias("n"), F.xxhash64("text").alias("h"))
+    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.sum("n").alias("n")).collect()}
     if not counts:
         return train([], [])
     rate = F.coalesce(*[F.when(F.col("label") == k, F.lit(min(1.0, sample / n))) for k, n in sorted(counts.items())])
-    chance = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    got = sorted((r.label, r.text) for r in rows.where(chance < rate).withColumn("text", _thinned(F.col("text"))).collect())
-    return train([t for _, t in got], [k for k, _ in got])
-
-
-def _thinned(text: F.Column, most: int = 4096) -> F.Column:
-    """For fitting only: of a longer text, its first and last part."""
-    half = most // 2
-    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, half), F.substring(text, -half, half))).otherwise(text)
+    chance = lambda i: F.pmod(F.xxhash64("h", i), F.lit(1 << 30)) / float(1 << 30)
+    places = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: chance(i) < rate)
+    window = lambda i: F.substring("raw", i * STRIDE + 1, F.lit(WINDOW))
+    chosen = rows.select("label", F.explode(F.transform(places, window)).alias("window")).distinct()
+    one = rows.groupBy("label").agg(F.min_by(window(F.lit(0)), "h").alias("window"))
+    got = sorted((r["label"], bytes(r["window"])) for r in chosen.unionByName(one).distinct().collect())
+    return train([w for _, w in got], [k for k, _ in got])
 
 
 def predict(docs: DataFrame, net: ByteConvNet, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,6 +1,62 @@
+import numpy as np
+
 from scholia.llm import langid
 
 
+def small(seed=3):
+    return langid.train([b"the cat and the dog", "été où ça".encode()] * 8, ["en", "fr"] * 8, seed, dims=3, per_width=2, epochs=1)
+
+
+def test_gradients_agree_with_differences():
+    net = small()
+    for name in ("embed", "filters", "bias", "out", "out_bias"):
+        setattr(net, name, getattr(net, name).astype(np.float64))
+    mask = (net.filters != 0).astype(float)
+    x, y, weight = langid.cut([b"the dog and", "où ça été".encode(), b"a dog"])[0], np.array([0, 1, 0]), np.array([1.0, 2.0, 0.5])
+
+    def loss():
+        top = np.maximum(net.pooled(x)[2] + net.bias, 0)
+        return float(-(np.log(langid.softmax(top @ net.out + net.out_bias))[np.arange(3), y] * weight).mean())
+
+    params = [net.embed, net.filters, net.bias, net.out, net.out_bias]
+    for p, g in zip(params, langid._gradients(net, x, y, weight, mask), strict=True):
+        for at in {int(np.abs(g).argmax()), g.size // 2, 0}:
+            old, got = p.flat[at], []
+            for step in (1e-6, -1e-6):
+                p.flat[at] = old + step
+                got.append(loss())
+            p.flat[at] = old
+            if (mask.flat[at] if p is net.filters else at >= net.embed.shape[1] or p is not net.embed):
+                assert abs((got[0] - got[1]) / 2e-6 - g.flat[at]) < 1e-5
+
+
+def test_prediction_is_the_mean_over_all_windows():
+    net = small()
+    for text in ("the dog", "où " * 100, "x" * 256, "y" * 257, "the cat été " * 300, "é" * 5000):
+        raw, at, total = text.encode(), 0, np.zeros(2)
+        while True:
+            part = raw[at : at + langid.WINDOW]
+            new = len(part) - (langid.WINDOW - langid.STRIDE if at else 0)
+            total += net.probabilities(np.frombuffer(part.ljust(langid.WINDOW, b"\0"), np.uint8)[None])[0] * max(new, 1)
+            if at + langid.WINDOW >= len(raw):
+                break
+            at += langid.STRIDE
+        (label,), (score,) = net.predict([text])
+        assert label == net.labels[int(total.argmax())] and abs(score - total.max() / total.sum()) < 1e-5
+
+
+def test_sample_takes_windows_from_everywhere_and_copies_once(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(langid, "train", lambda windows, langs: taken.append(list(zip(windows, langs, strict=True))))
+    unlike = "".join(f"{i:07d} " for i in range(40_000))
+    rows = [(i, "same text again and again", "en") for i in range(3000)] + [(9, unlike, "de"), (8, "kurz", "nl"), (7, None, "nl"), (6, "x", None), (5, "", "fr")]
+    langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumnRenamed("doc_id", "h"), sample=100)
+    got = taken[0]
+    assert len(got) == len(set(got)) and sum(k == "en" for _, k in got) == 1 and sum(k == "nl" for _, k in got) == 1
+    at = sorted(int(w.split()[1]) for w, k in got if k == "de")
+    assert 60 < len(at) < 140 and at[len(at) // 2] > 10_000 and at[-1] > 35_000
+
+
 def test_query_covers_all_rows_and_is_accurate_on_the_held_out_fold(spark, sf_dir):
     from scholia.llm.queries import op2_language
 
@@ -14,7 +70,7 @@ def test_query_covers_all_rows_and_is_accurate_on_the_held_out_fold(spark, sf_di
 
 
 def test_edge_texts_nulls_and_clashing_columns(spark):
-    net = langid.train(["the cat and the dog went home " * 9, "le chat et le chien vont ensemble " * 9] * 20, ["en", "fr"] * 20)
+    net = langid.train([b"the cat and the dog went home " * 8, b"le chat et le chien vont ensemble " * 7] * 20, ["en", "fr"] * 20)
     long = "le chat et le chien vont ensemble " * 20_000
     rows = [(1, None, "a"), (2, "", "a"), (3, "12 34 !?", None), (None, "the cat and the dog", "b"), (5, long, "b"), (5, long, "b")]
     df = spark.createDataFrame(rows, "doc_id long, text string, id string")
