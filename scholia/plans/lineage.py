@@ -35,3 +35,13 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Remove the table behind what ``written`` returned, once nothing will read it again."""
+    spark = df.sparkSession
+    base = f"{spark.sparkContext.getCheckpointDir()}/tables/"
+    for folder in {f[: f.rindex("/")] for f in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        if path.toUri().getPath().startswith(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base).toUri().getPath()):
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
