@@ -3,7 +3,7 @@
 The lexicon keeps the terms whose document frequency lies in a band: a term in more than ``MOST`` of all texts
 says little, one in fewer than ``LEAST`` of them may be a typing error. Terms are told apart by 64-bit hashes.
 With D distinct terms in an average text the lexicon has at most D / LEAST entries, however many texts there
-are, so it can travel with the plan.
+are, so it can travel with the plan, as a hash set that each term is looked up in.
 
 A text's distinct lexicon terms are sorted and hashed once for each of ``SUBSETS`` random subsets of the
 lexicon. Two densities are used: in the first half of the subsets each term belongs to one of SUBSETS / 2
@@ -44,11 +44,11 @@ def lexicon(docs: DataFrame, text_col: str = "text", least: float = LEAST, most:
     return sorted(r.term for r in band.select("term").collect())
 
 
-def lexicon_terms(found: F.Column, lexicon_hashes: list[int]) -> F.Column:
-    """The lexicon's terms among ``found``, in the lexicon's sorted order."""
+def lexicon_terms(found: str, lexicon_hashes: list[int]) -> F.Column:
+    """The lexicon's terms in the array column ``found``, sorted."""
     if not lexicon_hashes:
         return F.array().cast("array<bigint>")
-    return F.array_intersect(F.split(F.lit(",".join(map(str, lexicon_hashes))), ",").cast("array<bigint>"), found)
+    return F.expr(f"array_sort(filter(`{found}`, t -> t in ({', '.join(f'{h}L' for h in lexicon_hashes)})))")
 
 
 def _printed(used: F.Column) -> F.Column:
@@ -69,7 +69,7 @@ def with_fingerprint(rows: DataFrame, text: F.Column, lexicon_hashes: list[int],
 
     A text without terms has only zeros. Steps are columns of their own, so none is computed twice.
     """
-    rows = rows.withColumn("__terms", terms(text)).withColumn("__own", lexicon_terms(F.col("__terms"), lexicon_hashes))
+    rows = rows.withColumn("__terms", terms(text)).withColumn("__own", lexicon_terms("__terms", lexicon_hashes))
     rows = rows.withColumn("__used", F.when(F.size("__own") > 0, F.col("__own")).otherwise(F.array_sort("__terms")))
     return rows.withColumn(name, _printed(F.col("__used"))).drop("__terms", "__own", "__used")
 
@@ -101,7 +101,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     empty. Rows are sorted within buckets of neighbouring ids, and a copy of each bucket's first row closes
     the bucket above, so texts move once and nothing is sorted as a whole.
     """
-    words = lexicon(docs, text_col)
+    spark, words = docs.sparkSession, lexicon(docs, text_col)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
     bucket = F.coalesce(F.floor(F.col("id") / BUCKET_IDS), F.lit(-(1 << 62))).cast("long")
@@ -110,9 +110,12 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # First row of each bucket in the order of the task: largest id, then smallest hash.
     rank = F.struct(F.col("id"), -F.col("h").cast("decimal(20,0)"))
     firsts = durable(rows.groupBy("bucket").agg(F.max_by(F.struct("id", "h"), rank).alias("first")))
-    up = Window.orderBy("bucket")
-    above = F.coalesce(F.lead("bucket").over(up), F.first("bucket").over(up))
-    firsts = firsts.select("first.id", "first.h", above.alias("above")).alias("f")
+    # The bucket above each: within stretches of the order of buckets, and from one stretch to the next.
+    firsts = durable(firsts.repartitionByRange("bucket").withColumn("stretch", F.spark_partition_id()))
+    lows = sorted((r.low, r.stretch) for r in firsts.groupBy("stretch").agg(F.min("bucket").alias("low")).collect())
+    after = spark.createDataFrame([(p, lows[(i + 1) % len(lows)][0]) for i, (_, p) in enumerate(lows)], "stretch int, after long")
+    above = F.coalesce(F.lead("bucket").over(Window.partitionBy("stretch").orderBy("bucket")), F.col("after"))
+    firsts = firsts.join(F.broadcast(after), "stretch").select("first.id", "first.h", above.alias("above")).alias("f")
     small = firsts if firsts.count() > MOST_BROADCAST else F.broadcast(firsts)
     closing = rows.alias("r").join(small, F.col("r.id").eqNullSafe(F.col("f.id")) & (F.col("r.h") == F.col("f.h")))
     closing = closing.select("r.id", "r.text", "r.h", F.col("f.above").alias("bucket"), F.lit(1).alias("closing"))
