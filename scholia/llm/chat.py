@@ -161,30 +161,31 @@ def _format(batches: Iterator[pa.RecordBatch], typed: bool) -> Iterator[pa.Recor
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """Read the output of format_turns back: one row per conversation with digests of its turns and of its loss text.
+    """Read the output of format_turns back: one row per conversation with digests of its turns and of its loss text,
+    and the number of attachments and of the tokens that their placeholders expand to.
 
     A SHA-256 over a conversation is sequential, so its pieces pass through one task, in order; they
     are hashed as they come and never held together.
     """
-    ordered = formatted.select("conv_id", "position", "piece", "loss_start", "loss_end").repartition("conv_id").sortWithinPartitions("conv_id", "position")
-    return ordered.mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    ordered = formatted.select("conv_id", "position", "piece", "loss_start", "loss_end", F.size("attachments").alias("placed"), F.aggregate("attachments", F.lit(0).cast("long"), lambda n, x: n + x["tokens"]).alias("expanded")).repartition("conv_id").sortWithinPartitions("conv_id", "position")
+    return ordered.mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_attachments long, attachment_tokens long")
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_attachments", "attachment_tokens"]
 
     def done(rows: list[list]) -> pa.RecordBatch:
-        cols = list(zip(*[(r[0], r[1], r[2].hexdigest(), r[3], r[4].hexdigest(), r[5]) for r in rows], strict=True))
+        cols = list(zip(*[(r[0], r[1], r[2].hexdigest(), r[3], r[4].hexdigest(), *r[5:]) for r in rows], strict=True))
         return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n.endswith("256") else pa.int64()) for c, n in zip(cols, names, strict=True)], names)
 
     now = None
     for batch in batches:
         rows = []
-        for conv, piece, a, b in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "piece", "loss_start", "loss_end")), strict=True):
+        for conv, piece, a, b, placed, expanded in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "piece", "loss_start", "loss_end", "placed", "expanded")), strict=True):
             if now is None or now[0] != conv:
                 if now is not None:
                     rows.append(now)
-                now = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                now = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
             for role, text, _ in parse_turns(piece):
                 now[1] += 1
                 now[2].update(f"{role}\n{text}\n".encode())
@@ -193,6 +194,8 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 now[3] += len(lost)
                 now[4].update(lost.encode())
             now[5] += len(piece)
+            now[6] += placed
+            now[7] += expanded
         if rows:
             yield done(rows)
     if now is not None:

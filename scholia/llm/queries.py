@@ -96,6 +96,6 @@ escaped as (select *, replace(replace(text, chr(92), chr(92) || chr(92)), '<|',
   replace(replace(replace(role, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|'), chr(10), chr(92) || 'n') as r from rows)
 select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
   coalesce(sum(case when role = 'assistant' then length(text) end), 0)::bigint as loss_chars, sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn nulls first, role, text), '')) as loss_sha256,
-  sum(length('<|im_start|>') + length(r) + 1 + length(e) + length('<|im_end|>') + 1)::bigint as formatted_chars
+  sum(length('<|im_start|>') + length(r) + 1 + length(e) + length('<|im_end|>') + 1)::bigint as formatted_chars, 0 as n_attachments, 0 as attachment_tokens
 from escaped group by conv_id""",
 }
