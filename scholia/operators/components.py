@@ -16,9 +16,9 @@ def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", max_r
     of n nodes needs about log n rounds. Every round's edges are checkpointed.
     """
     u, v = F.col(src), F.col(dst)
-    edges = edges.where(u.isNotNull() & v.isNotNull())
-    loops = edges.where(u == v).select(u.alias("node")).distinct()
-    e = durable(edges.where(u != v).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct())
+    # Kept at once, so that what gives the edges runs a single time.
+    own = durable(edges.where(u.isNotNull() & v.isNotNull()).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct())
+    loops, e = own.where("u = v").select(F.col("u").alias("node")), own.where("u <> v")
     before = _signature(e)
     for _ in range(max_rounds):
         if before[0] == 0:
