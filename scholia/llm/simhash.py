@@ -32,9 +32,9 @@ RADIUS = 2
 SHINGLE = 3
 SEED = 42
 #: Nodes above this many fingerprints are split, by so many further bits.
-LEAF, STEP = 32, 6
+LEAF, STEP = 256, 6
 #: Neighbours of a leaf that are dropped together, and pairs of leaves that are compared at a time.
-RUN, _PAIRS = 8, 512
+RUN, _PAIRS = 8, 128
 _BLOCK = 1 << 16
 
 
