@@ -20,13 +20,14 @@ GUARD_BYTES, RECENT_S = 300 * 1024, 45 * 60
 def decisions(messages: DataFrame, by: str = "conv_id", order: str = "turn", words: tuple = DECISION_WORDS, most: int = 10) -> DataFrame:
     """``(by, n, text)``: what users decided: distinct texts by first place, at most ``most`` a conversation."""
     said = messages.where(F.col("role").isin("user", "human") & (F.length("text") >= 10) & F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower("text"), w)))
-    short = F.trim(F.regexp_replace(F.substring("text", 1, 200), "\n", " "))
-    first = said.groupBy(by, short.alias("text")).agg(F.min(order).alias("at"))
+    short = fn.strip(F.regexp_replace(F.substring("text", 1, 200), "\n", " "))
+    first = said.groupBy(by, short.alias("text")).agg(F.min(order).alias("at")).where("text <> ''")
     return first.withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy("at", "text"))).where(F.col("n") <= most).select(by, "n", "text")
 
 
 def tail(messages: DataFrame, by: str = "conv_id", order: str = "turn", most: int = 200) -> DataFrame:
-    nth = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(order)))
+    # Rows of one place are told apart by all they hold.
+    nth = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(order), *[F.col(f"`{c}`") for c in messages.columns if c not in (by, order)]))
     return messages.withColumn("__nth", nth).where(F.col("__nth") <= most).drop("__nth")
 
 
