@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from scholia.functions import notes as fn
 from scholia.operators.graph import Graph
+from scholia.plans.lineage import durable
+
+#: Fixed value: how the banner of a replaced entry begins.
+BANNER = "> **⚠ superseded"
 
 
 def index_diff(scanned: DataFrame, stored: DataFrame, only: DataFrame | None = None) -> DataFrame:
@@ -59,41 +63,105 @@ def rewrite_links(entries: DataFrame, moved: DataFrame) -> DataFrame:
     return cut.join(links, "relpath", "left").select("relpath", F.array_join(pieces, "").alias("content"))
 
 
+def _place(text: F.Column) -> tuple[F.Column, F.Column]:
+    """A text's lines and after how many of them a link goes: the last link line, else a related heading; 0 without either."""
+    lines = F.split(fn.newlines(text), "\n")
+    last = F.aggregate(F.transform(lines, lambda x, i: F.when(x.rlike(fn.TYPED_LINK), i + 1).otherwise(0)), F.lit(0), lambda a, x: F.greatest(a, x))
+    heading = F.array_position(F.transform(lines, lambda x: x.rlike(r"^##\s*(関連|Related)\s*$")), True).cast("int")
+    under = F.when(F.get(lines, heading) == "", heading + 1).otherwise(heading)
+    return lines, F.when(last > 0, last).when(heading > 0, under).otherwise(0)
+
+
+def _with_lines(text: F.Column, added: F.Column) -> F.Column:
+    lines, at = _place(text)
+    after = F.when(at < F.size(lines), F.slice(lines, at + 1, F.size(lines))).otherwise(F.array(F.lit("")))
+    return F.array_join(F.concat(F.slice(lines, F.lit(1), at), added, after), "\n")
+
+
 def link_add_plan(requests: DataFrame, g: Graph, entries: DataFrame) -> DataFrame:
-    """``(src, dst, kind, ok, error, new_text)`` for rows ``(src, dst, kind, reason)``. Apply only if every row is ok.
+    """``(src, dst, kind, ok, error, line)`` for rows ``(src, dst, kind, reason)``; ``link_texts`` makes the texts. Apply only if every row is ok.
 
-    A link goes after the last link line, else under a related heading; a target already linked changes nothing.
+    ``line`` is null where nothing is added: on an error, and where the target is linked already.
     """
-    q = requests.join(entries.select(F.col("relpath").alias("src"), F.col("content").alias("text")), "src", "left")
+    q = requests.join(entries.select(F.col("relpath").alias("src"), (_place(F.col("content"))[1] > 0).alias("place")), "src", "left")
     q = q.join(g.nodes.select(F.col("id").alias("dst"), F.col("title").alias("title"), F.lit(True).alias("known")), "dst", "left")
     has = g.edges.where("kind <> 'superseded_by'").select("src", "dst", F.lit(True).alias("has")).distinct()
     q = q.join(has, ["src", "dst"], "left")
-    lines = F.split("text", "\n")
-    last = F.aggregate(F.transform(lines, lambda x, i: F.when(x.rlike(r"^\s*-\s+(see|ref|amends|extends):\s*\["), i + 1).otherwise(0)), F.lit(0), lambda a, x: F.greatest(a, x))
-    heading = F.array_position(F.transform(lines, lambda x: x.rlike(r"^##+\s+(関連|Related)\s*$")), True).cast("int")
-    under = F.when(F.get(lines, heading) == "", heading + 1).otherwise(heading)
-    at = F.when(last > 0, last).when(heading > 0, under).otherwise(0)
-    error = F.when(F.col("text").isNull(), "no such source").when(F.col("known").isNull(), "no such target").when(F.col("src") == F.col("dst"), "self link").when(F.col("title") == "", "target has no title").when(F.col("title").rlike(r"[\[\]]"), "target title holds brackets").when((at == 0) & F.col("has").isNull(), "no place for a link")
+    error = F.when(F.col("place").isNull(), "no such source").when(F.col("known").isNull(), "no such target").when(F.col("src") == F.col("dst"), "self link").when(F.col("title") == "", "target has no title").when(F.col("title").rlike(r"[\[\]]"), "target title holds brackets").when(~F.col("place") & F.col("has").isNull(), "no place for a link")
     line = F.concat(F.lit("- "), "kind", F.lit(": ["), "title", F.lit("]("), "dst", F.lit(")"), F.when(F.coalesce("reason", F.lit("")) != "", F.concat(F.lit(" — "), "reason")).otherwise(""))
-    added = F.array_join(F.concat(F.slice(lines, F.lit(1), at), F.array(line), F.slice(lines, at + 1, F.size(lines))), "\n")
-    new = F.when(error.isNotNull(), None).when(F.col("has"), F.col("text")).otherwise(added)
-    return q.select("src", "dst", "kind", error.isNull().alias("ok"), error.alias("error"), new.alias("new_text"))
+    return q.select("src", "dst", "kind", error.isNull().alias("ok"), error.alias("error"), F.when(error.isNull() & F.col("has").isNull(), line).alias("line"))
+
+
+def _added(plan: DataFrame) -> DataFrame:
+    """``(relpath, added)``: each source's new lines by target; of several requests for one target the first kind counts."""
+    one = plan.where("line is not null").groupBy("src", "dst").agg(F.min(F.struct("kind", "line"))["line"].alias("line"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("dst", "line"))), lambda x: x["line"])
+    return one.groupBy(F.col("src").alias("relpath")).agg(lines.alias("added"))
+
 
+def link_texts(entries: DataFrame, plan: DataFrame) -> DataFrame:
+    """``(relpath, new_text)`` of the entries that a ``link_add_plan`` changes, each with all of its new links."""
+    return entries.join(_added(plan), "relpath").select("relpath", _with_lines(F.col("content"), F.col("added")).alias("new_text"))
 
-def supersede_plan(requests: DataFrame, g: Graph, chains: DataFrame) -> DataFrame:
-    """``(old, new, ok, error)`` for rows ``(old, new)``: what replacing entries would run into.
+
+def _back_links(requests: DataFrame, g: Graph, entries: DataFrame, reason: str) -> DataFrame:
+    asked = requests.select(F.col("new").alias("src"), F.col("old").alias("dst"), F.lit("amends").alias("kind"), F.lit(reason).alias("reason"))
+    return link_add_plan(asked, g, entries)
+
+
+def supersede_plan(requests: DataFrame, g: Graph, chains: DataFrame, entries: DataFrame) -> DataFrame:
+    """``(old, new, ok, error)`` for rows ``(old, new)``, repeats once: what replacing entries would run into; ``superseded_texts`` makes the texts.
 
     ``chains`` are the graph's successors; a replacement whose own chain leads back to the old entry closes a circle.
+    Within one batch an entry is replaced once, by the smallest of its replacements, and never by one that is replaced itself.
     """
     nodes = g.nodes.select("id", "title")
-    nxt = g.edges.where("kind = 'superseded_by'").select(F.col("src").alias("old"), F.col("dst").alias("has"))
+    heads = fn.with_metadata(entries, "graph").select(F.col("relpath").alias("old"), (F.size("meta") > 0).alias("headed"), F.coalesce(fn.value("superseded_by"), F.lit("")).alias("has"))
     back = chains.select(F.col("id").alias("new"), F.col("successor").alias("old"), F.lit(True).alias("circle"))
-    q = requests.join(nodes.toDF("old", "old_title"), "old", "left").join(nodes.toDF("new", "new_title"), "new", "left").join(nxt, "old", "left").join(back, ["old", "new"], "left")
+    asked = requests.select("old", "new").distinct()
+    links = _back_links(asked, g, entries, "").select(F.col("src").alias("new"), F.col("dst").alias("old"), F.col("error").alias("unlinked"))
+    q = asked.join(nodes.toDF("old", "old_title"), "old", "left").join(nodes.toDF("new", "new_title"), "new", "left").join(heads, "old", "left").join(back, ["old", "new"], "left").join(links, ["old", "new"], "left")
     error = F.when(F.col("old_title").isNull(), "no such entry").when(F.col("new_title").isNull(), "no such replacement").when(F.col("old") == F.col("new"), "replaces itself")
-    error = error.when(F.col("has").isNotNull() & (F.col("has") != F.col("new")), "has another successor").when(F.col("circle"), "closes a circle").when(F.col("new_title").rlike(r"[\[\]]") | F.col("old_title").rlike(r"[\[\]]"), "title holds brackets")
+    error = error.when(F.col("new_title") == "", "replacement has no title").when(F.col("new_title").rlike(r"[\[\]]"), "replacement's title holds brackets").when(F.col("circle"), "closes a circle")
+    error = error.when(~F.col("headed"), "no metadata").when((F.col("has") != "") & (F.col("has") != F.col("new")), "has another successor")
+    q = durable(q.select("old", "new", error.when(F.col("unlinked").isNotNull(), F.concat(F.lit("back-link: "), "unlinked")).alias("error")))
+    first = q.where("error is null").groupBy("old").agg(F.min("new").alias("first"))
+    q = q.join(first, "old", "left").join(first.select(F.col("old").alias("new"), F.lit(True).alias("leaves")), "new", "left")
+    error = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("first") != F.col("new"), "has another successor").when(F.col("leaves"), "replacement is replaced itself")
     return q.select("old", "new", error.isNull().alias("ok"), error.alias("error"))
 
 
+def _marked(text: F.Column, new: F.Column, title: F.Column, date: str) -> F.Column:
+    """The text with status and successor as a pair of its metadata and a banner below it; what is there already stays."""
+    end = F.locate("\n---", text, 4)
+    head, rest = F.substring(text, F.lit(1), end - 1), F.substring(text, end, F.length(text))
+    pair = F.array(F.lit("status: superseded"), F.concat(F.lit("superseded_by: "), new))
+    kept = F.filter(F.split(head, "\n"), lambda x: ~F.startswith(x, F.lit("superseded_by:")))
+    is_status = lambda x: F.startswith(x, F.lit("status:"))
+    placed = F.flatten(F.transform(kept, lambda x: F.when(is_status(x), pair).otherwise(F.array(x))))
+    stated = (fn.value("status") == "superseded") & (fn.value("superseded_by") == new)
+    head = F.when(stated, head).otherwise(F.array_join(F.when(F.exists(kept, is_status), placed).otherwise(F.concat(kept, pair)), "\n"))
+    line_end = F.locate("\n", rest, 2)
+    closing = F.when(line_end > 0, F.substring(rest, F.lit(1), line_end)).otherwise(F.concat(rest, F.lit("\n")))
+    body = F.when(line_end > 0, F.substring(rest, line_end + 1, F.length(rest))).otherwise("")
+    banner = F.concat(F.lit(f"\n{BANNER} ({date})** — current: ["), title, F.lit("]("), new, F.lit(")\n"))
+    return F.concat(head, closing, F.when(F.contains(text, F.lit(BANNER)), "").otherwise(banner), body)
+
+
+def superseded_texts(plan: DataFrame, g: Graph, entries: DataFrame, date: str, reason: str = "") -> DataFrame:
+    """``(relpath, new_text)`` of the entries that a ``supersede_plan`` changes: replaced ones marked, replacements linked back.
+
+    A piece that is there already is left alone, so a plan applied in part can be applied again, and one applied whole gives no rows.
+    """
+    good = plan.where("ok").select("old", "new")
+    marks = good.join(g.nodes.select(F.col("id").alias("new"), "title"), "new").select(F.col("old").alias("relpath"), F.col("new").alias("successor"), F.col("title").alias("successor_title"))
+    rows = entries.select("relpath", fn.newlines(F.col("content")).alias("content")).join(marks, "relpath", "left").join(_added(_back_links(good, g, entries, reason)), "relpath", "left")
+    rows = fn.with_metadata(rows.where("successor is not null or added is not null"), "graph")
+    rows = rows.withColumn("text", F.when(F.col("successor").isNotNull(), _marked(F.col("content"), F.col("successor"), F.col("successor_title"), date)).otherwise(F.col("content")))
+    rows = rows.withColumn("text", F.when(F.col("added").isNotNull(), _with_lines(F.col("text"), F.col("added"))).otherwise(F.col("text")))
+    return rows.where("text <> content").select("relpath", F.col("text").alias("new_text"))
+
+
 def commit_decision(gates: DataFrame) -> DataFrame:
     """``(repo, result)`` by ordered gates (enabled, in_tree, busy, n_changes, n_findings, mode)."""
     blocked = (F.col("n_findings") > 0) & (F.col("mode") == "block")

@@ -539,23 +539,76 @@ def commit_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.commit_decision(gates)
 
 
+#: Tails with ``added`` (d, line, id of the target) put after the last link line, and the text around them.
+_LINKED = """, last as (select d, max(pos) as pos from lines where t <> -4 group by d),
+    grown as (select x.d, string_agg(x.line, chr(10) order by x.pos, x.k) as tail from (
+      select d, pos * 2.0 as pos, '' as k, line from line_text union all select d, 198.0, '', line from secrets where line is not null
+      union all select a.d, last.pos * 2.0 + 1, a.id, a.line from added a join last using (d)) x where x.d in (select d from added) group by x.d),
+    linked as (select c.d, c.id, c.head, left(c.body, length(c.body) - length(t.tail) - 1) || g.tail || chr(10) as body from content c join tails t using (d) join grown g using (d))"""
+
+_LINK_ADD = """, r as (select a.d, a.id as src, b.id as dst, b.title, b.d as t from e a join e b on b.d = a.d + 3 where a.d % 10 = 4), has as (select distinct d, t from edges where kind <> 'superseded_by'),
+    asked as (select *, exists (select 1 from has where has.d = r.d and has.t = r.t) as linked, r.d in (select d from lines where t <> -4) as place from r)"""
+
+
+def _link_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = corpus.numbered(spark, sf_dir).select("d", "relpath")
+    return n.where("d % 10 = 4").select((F.col("d") + 3).alias("t"), F.col("relpath").alias("src")).join(n.toDF("t", "dst"), "t").select("src", "dst", F.lit("see").alias("kind"), F.lit("").alias("reason"))
+
+
+@query("link_add_plan", _LINK_ADD + " select src, dst, title <> '' and (linked or place) as ok from asked")
+def link_add_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = corpus.entries(spark, sf_dir)
+    return sync.link_add_plan(_link_requests(spark, sf_dir), graph.build(e), e).select("src", "dst", "ok")
+
+
 @query(
-    "link_add_plan",
-    """, r as (select a.d, a.id as src, b.id as dst, b.title, b.d as t from e a join e b on b.d = a.d + 3 where a.d % 10 = 4), has as (select distinct d, t from edges where kind <> 'superseded_by'),
-    place as (select d from lines union select d from e where d % 100 = 333)
-    select src, dst, title <> '' and (exists (select 1 from has where has.d = r.d and has.t = r.t) or r.d in (select d from lines)) as ok from r""",
+    "link_add_texts",
+    _LINK_ADD + ", added as (select d, dst as id, '- see: [' || title || '](' || dst || ')' as line from asked where title <> '' and place and not linked)" + _LINKED + " select id as relpath, sha256(head || body) as sha256 from linked",
 )
-def link_add_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, n = corpus.entries(spark, sf_dir), corpus.numbered(spark, sf_dir).select("d", "relpath")
-    asked = n.where("d % 10 = 4").select((F.col("d") + 3).alias("t"), F.col("relpath").alias("src")).join(n.toDF("t", "dst"), "t").select("src", "dst", F.lit("see").alias("kind"), F.lit("").alias("reason"))
-    return sync.link_add_plan(asked, graph.build(e), e).select("src", "dst", "ok")
+def link_add_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = corpus.entries(spark, sf_dir)
+    plan = sync.link_add_plan(_link_requests(spark, sf_dir), graph.build(e), e)
+    return sync.link_texts(e, plan).select("relpath", F.sha2("new_text", 256).alias("sha256"))
 
 
-@query("supersede_plan", _CHAIN + ", r as (select a.id as old, b.id as new, a.d as x, b.d as y, a.succ from e a join e b on b.d = a.d - a.d % 20 + 10) select old, new, not (x = y or coalesce(succ >= 0 and succ <> y, false) or exists (select 1 from chain where a = y and b = x)) as ok from r")
+_SUPERSEDE = (
+    _CHAIN
+    + """, has as (select distinct d, t from edges where kind <> 'superseded_by'), r as (select a.id as old, b.id as new, a.d as x, b.d as y, a.succ, a.title as old_title, b.title as new_title from e a join e b on b.d = a.d - a.d % 20 + 10),
+    asked as (select *, exists (select 1 from has where has.d = y and has.t = x) as linked, y in (select d from lines where t <> -4) as place from r),
+    judged as (select *, x <> y and new_title <> '' and not exists (select 1 from chain where a = y and b = x) and coalesce(succ = y, true) and (linked or (place and old_title <> '')) as ok from asked)"""
+)
+
+
+def _supersede_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = corpus.numbered(spark, sf_dir).select("d", "relpath")
+    return n.select((F.col("d") - F.col("d") % 20 + 10).alias("t"), F.col("relpath").alias("old")).join(n.toDF("t", "new"), "t").select("old", "new")
+
+
+@query("supersede_plan", _SUPERSEDE + " select old, new, ok from judged")
 def supersede_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g, n = _graph(spark, sf_dir), corpus.numbered(spark, sf_dir).select("d", "relpath")
-    asked = n.select((F.col("d") - F.col("d") % 20 + 10).alias("t"), F.col("relpath").alias("old")).join(n.toDF("t", "new"), "t").select("old", "new")
-    return sync.supersede_plan(asked, g, graph.successors(g)).select("old", "new", "ok")
+    e = corpus.entries(spark, sf_dir)
+    g = graph.build(e)
+    return sync.supersede_plan(_supersede_requests(spark, sf_dir), g, graph.successors(g), e).select("old", "new", "ok")
+
+
+@query(
+    "supersede_texts",
+    _SUPERSEDE
+    + ", added as (select y as d, old as id, '- amends: [' || old_title || '](' || old || ') — consolidated' as line from judged where ok and not linked)"
+    + _LINKED
+    + """, marked as (select e.id, '---' || chr(10) || case when e.title = '' then '' else 'title: ' || e.title || chr(10) end || case when created = '' then '' else 'created: ' || created || chr(10) end
+      || case when status = '' then '' when status = 'superseded' and e.succ = y then 'status: superseded' || chr(10) else 'status: superseded' || chr(10) || 'superseded_by: ' || new || chr(10) end || 'type: ' || type || chr(10)
+      || case when status = 'superseded' and e.succ = y then 'superseded_by: ' || new || chr(10) else '' end || 'tags: ' || array_to_string(tags, ' ') || chr(10)
+      || case when status = '' then 'status: superseded' || chr(10) || 'superseded_by: ' || new || chr(10) else '' end
+      || '---' || chr(10) || chr(10) || '> **⚠ superseded (2026-09-01)** — current: [' || new_title || '](' || new || ')' || chr(10) || chr(10) || body as text
+      from judged j join e on e.d = j.x join content c on c.d = j.x where ok)
+    select id as relpath, sha256(text) as sha256 from marked union all select id, sha256(head || body) from linked""",
+)
+def supersede_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = corpus.entries(spark, sf_dir)
+    g = graph.build(e)
+    plan = sync.supersede_plan(_supersede_requests(spark, sf_dir), g, graph.successors(g), e)
+    return sync.superseded_texts(plan, g, e, "2026-09-01", "consolidated").select("relpath", F.sha2("new_text", 256).alias("sha256"))
 
 
 _SAID = ", said as (select conv_id, turn, role, case when role = 'user' and turn % 3 = 0 then text || ' please decide' else text end as text from conversations)"

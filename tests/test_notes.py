@@ -70,20 +70,56 @@ def test_lineage(spark):
     assert {r.ancestor for r in graph.ancestors(g).where(F.col("id") == n["C"]).collect()} == {n["A"], n["B"]}
     assert graph.would_cycle(g, n["A"], n["A"]) and graph.would_cycle(g, n["C"], n["A"]) and not graph.would_cycle(g, n["A"], n["C"])
     asked = spark.createDataFrame([(n["C"], n["A"]), (n["A"], n["E"]), (n["A"], n["B"]), (n["C"], n["E"]), ("x", n["A"])], "old string, new string")
-    plan = {(r.old, r.new): r.error for r in sync.supersede_plan(asked, g, graph.successors(g)).collect()}
-    assert list(plan.values()).count(None) == 2 and plan[n["C"], n["A"]] == "closes a circle" and plan[n["A"], n["E"]] == "has another successor"
+    plan = {(r.old, r.new): r.error for r in sync.supersede_plan(asked, g, graph.successors(g), entries(spark, files)).collect()}
+    assert [k for k, error in plan.items() if error is None] == [(n["C"], n["E"])] and plan[n["A"], n["B"]] == "back-link: no place for a link" and plan[n["C"], n["A"]] == "closes a circle" and plan[n["A"], n["E"]] == "has another successor"
 
 
 def test_link_writer(spark):
     files = {A: note("A", body="text\n\n## Related\n\nmore\n"), B: note("B", body="- see: [C](x.md)\nend"), C: note("[odd]"), D: note("D", body="nothing")}
     e = entries(spark, files)
     asked = spark.createDataFrame([(A, B, "see", "why"), (B, A, "ref", ""), (A, C, "see", ""), (D, A, "see", ""), (A, A, "see", ""), (A, "zz", "see", "")], "src string, dst string, kind string, reason string")
-    got = {(r.src, r.dst): r for r in sync.link_add_plan(asked, graph.build(e), e).collect()}
-    assert got[A, B].new_text == note("A", body=f"text\n\n## Related\n\n- see: [B]({B}) — why\nmore\n")
-    assert got[B, A].new_text.endswith(f"- see: [C](x.md)\n- ref: [A]({A})\nend")
+    plan = sync.link_add_plan(asked.unionByName(asked.where(F.col("reason") == "why")), graph.build(e), e)
+    got, texts = {(r.src, r.dst): r for r in plan.collect()}, {r.relpath: r.new_text for r in sync.link_texts(e, plan).collect()}
+    assert texts == {A: note("A", body=f"text\n\n## Related\n\n- see: [B]({B}) — why\nmore\n"), B: note("B", body=f"- see: [C](x.md)\n- ref: [A]({A})\nend")}
+    both = sync.link_add_plan(spark.createDataFrame([(B, D, "see", ""), (B, A, "ref", "")], "src string, dst string, kind string, reason string"), graph.build(e), e)
+    assert sync.link_texts(e, both).first().new_text == note("B", body=f"- see: [C](x.md)\n- ref: [A]({A})\n- see: [D]({D})\nend")
     assert [got[k].error for k in ((A, C), (D, A), (A, A), (A, "zz"))] == ["target title holds brackets", "no place for a link", "self link", "no such target"]
 
 
+def test_replacement_writer(spark):
+    files = {
+        A: note("Topic A", body=f"- see: [B]({B})\n"), B: note("Topic B", body=f"- see: [A]({A})\n"), C: note("Topic C", "#t", status="", body="text"), D: note("Section D", body="Body.\n\n## 関連"),
+        "e.md": note("", body=f"- see: [A]({A})\n"), "f.md": "no metadata", "g.md": note("[G]", body=f"- see: [A]({A})\n"),
+    }
+
+    def plan(now, *pairs):
+        e = entries(spark, now)
+        g = graph.build(e)
+        made = sync.supersede_plan(spark.createDataFrame(pairs, "old string, new string"), g, graph.successors(g), e)
+        return {(r.old, r.new): r.error for r in made.collect()}, {r.relpath: r.new_text for r in sync.superseded_texts(made, g, e, "2026-09-01", "r").collect()}
+
+    banner = lambda title, path: f"---\n\n> **⚠ superseded (2026-09-01)** — current: [{title}]({path})\n"
+    errors, texts = plan(files, (A, D), (A, D), (C, D))
+    assert set(errors.values()) == {None} and set(texts) == {A, C, D}
+    assert texts[A] == f"---\ntitle: Topic A\nstatus: superseded\nsuperseded_by: {D}\n" + banner("Section D", D) + f"\n- see: [B]({B})\n"
+    assert texts[C] == f"---\ntitle: Topic C\ntags: #t\nstatus: superseded\nsuperseded_by: {D}\n" + banner("Section D", D) + "\ntext"
+    assert texts[D] == files[D] + f"\n- amends: [Topic A]({A}) — r\n- amends: [Topic C]({C}) — r\n"
+    # Applied whole nothing is left to do; applied in part only the missing piece is made.
+    done = files | texts
+    assert plan(done, (A, D), (C, D)) == ({(A, D): None, (C, D): None}, {})
+    assert plan(done | {D: files[D]}, (A, D), (C, D))[1] == {D: texts[D]}
+    assert plan(done, (D, A))[0] == {(D, A): "closes a circle"} and plan(done, (A, B)) == ({(A, B): "has another successor"}, {})
+    # A link of any kind counts as the back-link.
+    assert set(plan(files, (A, B))[1]) == {A}
+    refused = plan(files, (A, C), (A, "e.md"), (A, "g.md"), ("f.md", B), ("e.md", B), ("g.md", B), (A, A), ("zz", A), (A, "zz"))
+    assert refused[1] == {} and refused[0] == {
+        (A, C): "back-link: no place for a link", (A, "e.md"): "replacement has no title", (A, "g.md"): "replacement's title holds brackets", ("f.md", B): "no metadata", ("e.md", B): "back-link: target has no title",
+        ("g.md", B): "back-link: target title holds brackets", (A, A): "replaces itself", ("zz", A): "no such entry", (A, "zz"): "no such replacement",
+    }
+    # Within a batch: one replacement each, and none that is replaced itself.
+    assert plan(files, (A, B), (A, D), (B, D))[0] == {(A, B): "replacement is replaced itself", (A, D): "has another successor", (B, D): None}
+
+
 def test_metadata_profiles(spark):
     text = "---\r\ntitle: \"'Q'\"\ntitle: last\nmy-key: v\nstatus: 'x'\ntags: #Foo #fooBar #日本-x\n----\n\n\nbody --- #no"
     df = entries(spark, {"d/n.md": text})
