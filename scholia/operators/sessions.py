@@ -25,6 +25,21 @@ def decisions(messages: DataFrame, by: str = "conv_id", order: str = "turn", wor
     return first.withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy("at", "text"))).where(F.col("n") <= most).select(by, "n", "text")
 
 
+def transcript(lines: DataFrame) -> DataFrame:
+    """Rows with a JSON ``line`` as messages: ``role`` and ``text`` in place of the line, other columns kept.
+
+    Content is a string, or blocks whose texts are joined by a blank; the type stands for an absent role.
+    Lines that are no JSON object, or hold neither form of content, are left out.
+    """
+    read = lambda content: F.from_json("line", f"role string, type string, content {content}")
+    rows = lines.withColumn("__plain", read("string")).withColumn("__parts", read("array<string>")["content"])
+    parts = F.filter(F.transform("__parts", lambda x: F.get_json_object(x, "$.text")), lambda x: x != "")
+    text = F.when(F.col("__parts").isNotNull(), F.array_join(parts, " ")).otherwise(F.col("__plain.content"))
+    role = F.when(F.coalesce(F.col("__plain.role"), F.lit("")) != "", F.col("__plain.role")).otherwise(F.col("__plain.type"))
+    kept = [c for c in lines.columns if c not in ("line", "role", "text")]
+    return rows.select(*[F.col(f"`{c}`") for c in kept], role.alias("role"), text.alias("text")).where("text is not null")
+
+
 def tail(messages: DataFrame, by: str = "conv_id", order: str = "turn", most: int = 200) -> DataFrame:
     # Rows of one place are told apart by all they hold.
     nth = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(order), *[F.col(f"`{c}`") for c in messages.columns if c not in (by, order)]))

@@ -35,11 +35,15 @@ def upserted(stored: DataFrame, fresh: DataFrame, diff: DataFrame) -> DataFrame:
 
 
 def mirror_actions(source: DataFrame, target: DataFrame, suffix: str) -> DataFrame:
-    """``(path, action, to_path)`` of a copy-only mirror of ``(path, sha256)``: copy, skip or shadow; nothing is overwritten."""
-    met = source.select("path", F.col("sha256").alias("s")).join(target.select("path", F.col("sha256").alias("t")), "path", "left")
-    action = F.when(F.col("t").isNull(), "copy").when(F.col("s") == F.col("t"), "skip").otherwise("shadow")
+    """``(path, action, to_path)`` of a copy-only mirror of ``(path, sha256)``: copy, skip or shadow; no other file is overwritten.
+
+    A source that differs from its target goes beside it; where that shadow is there and equal, the source is skipped.
+    """
     shadow = F.regexp_replace("path", r"^(.*?[^/])(\.[^./]*)?$", f"$1-from-{suffix}$2")
-    return met.select("path", action.alias("action"), F.when(action == "shadow", shadow).when(action == "copy", F.col("path")).alias("to_path"))
+    there = target.select("path", F.col("sha256").alias("t"))
+    met = source.select("path", F.col("sha256").alias("s"), shadow.alias("shadow")).join(there, "path", "left").join(there.toDF("shadow", "u"), "shadow", "left")
+    action = F.when(F.col("t").isNull(), "copy").when((F.col("s") == F.col("t")) | F.col("s").eqNullSafe(F.col("u")), "skip").otherwise("shadow")
+    return met.select("path", action.alias("action"), F.when(action == "shadow", F.col("shadow")).when(action == "copy", F.col("path")).alias("to_path"))
 
 
 def migrate_plan(paths: DataFrame) -> DataFrame:

@@ -522,10 +522,12 @@ def index_upsert_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.upserted(stored, scanned, sync.index_diff(scanned, stored))
 
 
-@query("mirror_actions", ", s as (select * from e where d % 13 <> 3) select id as path, case when d % 7 = 2 then 'copy' when d % 11 = 4 then 'shadow' else 'skip' end as action, case when d % 7 = 2 then id when d % 11 = 4 then regexp_replace(id, '\\.md$', '-from-wt.md') end as to_path from s")
+@query("mirror_actions", ", s as (select * from e where d % 13 <> 3) select id as path, case when d % 7 = 2 then 'copy' when d % 11 = 4 and d % 2 = 1 then 'shadow' else 'skip' end as action, case when d % 7 = 2 then id when d % 11 = 4 and d % 2 = 1 then regexp_replace(id, '\\.md$', '-from-wt.md') end as to_path from s")
 def mirror_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned, stored = _snapshots(spark, sf_dir)
-    return sync.mirror_actions(scanned.withColumnRenamed("relpath", "path"), stored.withColumnRenamed("relpath", "path"), "wt")
+    # Every second note was shadowed before.
+    shadows = scanned.where("cast(regexp_extract(relpath, '([0-9]+)[.]md$', 1) as long) % 2 = 0").select(F.regexp_replace("relpath", r"\.md$", "-from-wt.md").alias("relpath"), "sha256")
+    return sync.mirror_actions(scanned.withColumnRenamed("relpath", "path"), stored.select("relpath", "sha256").unionByName(shadows).withColumnRenamed("relpath", "path"), "wt")
 
 
 @query("migrate_plan", "select name as old_path, substring(name, 1, 4) || '/' || substring(name, 5, 2) || '/' || name as new_path from e where d % 89 <> 7")

@@ -17,11 +17,13 @@ def index_upkeep(load: Callable[[], DataFrame | None], store: Callable[[DataFram
     """A foreachBatch function that brings an index up to date with a micro-batch of ``(relpath, content)``.
 
     Only new and changed entries are parsed and written; a batch is a scoped run, so it removes nothing. ``load``
-    gives the stored index and ``store`` writes the next version, which makes a repeated batch harmless.
+    gives the stored index and ``store`` writes the next version, which makes a repeated batch harmless. Of several
+    versions of a note in one batch the one with the largest ``modified_at`` counts, if there is such a column, then the largest text.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        fresh = notes.parsed(batch.groupBy("relpath").agg(F.last("content").alias("content")))
+        place = [c for c in ("modified_at", "content") if c in batch.columns]
+        fresh = notes.parsed(batch.groupBy("relpath").agg(F.max(F.struct(*place))["content"].alias("content")))
         stored = load()
         if stored is None:
             store(fresh, number)

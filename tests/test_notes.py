@@ -120,6 +120,26 @@ def test_replacement_writer(spark):
     assert plan(files, (A, B), (A, D), (B, D))[0] == {(A, B): "replacement is replaced itself", (A, D): "has another successor", (B, D): None}
 
 
+def test_transcript(spark):
+    rows = [
+        '{"role": "user", "content": "[we] plan it"}', '{"type": "human", "content": [{"text": "we should"}, {"kind": "image"}, "loose", {"text": ""}, {"text": "change it"}]}', '{"role": "assistant", "content": "please"}',
+        "no json", "", None, '{"role": "user"}', '{"role": "user", "content": []}', '["x"]',
+    ]
+    lines = spark.createDataFrame([(1, i, x, "own") for i, x in enumerate(rows)], "conv_id int, turn int, line string, text string")
+    said = sessions.transcript(lines)
+    assert said.columns == ["conv_id", "turn", "role", "text"]
+    assert [(r.turn, r.role, r.text) for r in said.orderBy("turn").collect()] == [(0, "user", "[we] plan it"), (1, "human", "we should change it"), (2, "assistant", "please"), (7, "user", "")]
+    assert [r.text for r in sessions.decisions(said).orderBy("n").collect()] == ["[we] plan it", "we should change it"]
+    assert sessions.transcript(lines.limit(0)).count() == 0
+
+
+def test_mirror(spark):
+    make = lambda rows: spark.createDataFrame(rows, "path string, sha256 string")
+    target = make([("b.md", "1"), ("c.md", "0"), ("d.md", "0"), ("d-from-w.md", "1"), ("e/f", "0"), ("e/f-from-w", "0")])
+    got = {r.path: (r.action, r.to_path) for r in sync.mirror_actions(make([(p, "1") for p in ("a.md", "b.md", "c.md", "d.md", "e/f")]), target, "w").collect()}
+    assert got == {"a.md": ("copy", "a.md"), "b.md": ("skip", None), "c.md": ("shadow", "c-from-w.md"), "d.md": ("skip", None), "e/f": ("shadow", "e/f-from-w")}
+
+
 def test_metadata_profiles(spark):
     text = "---\r\ntitle: \"'Q'\"\ntitle: last\nmy-key: v\nstatus: 'x'\ntags: #Foo #fooBar #日本-x\n----\n\n\nbody --- #no"
     df = entries(spark, {"d/n.md": text})
