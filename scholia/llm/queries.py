@@ -81,7 +81,16 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_turns(rows.unionByName(own), typed=False))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_language": op2_language, "op3_imatch": op3_imatch, "op4_licenses": op4_licenses, "op5_lm": op5_lm, "op6_pii": op6_pii, "op7_bpe": op7_bpe, "op8_mix": op8_mix, "op9_vectors": op9_vectors, "op10_chat": op10_chat}
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from scholia.llm.align import align
+
+    found = align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_language": op2_language, "op3_imatch": op3_imatch, "op4_licenses": op4_licenses, "op5_lm": op5_lm, "op6_pii": op6_pii, "op7_bpe": op7_bpe, "op8_mix": op8_mix, "op9_vectors": op9_vectors, "op10_chat": op10_chat, "op12_align": op12_align}
 ORACLE_SQL: dict[str, str] = {
     "op9_vectors": """
 with recursive unit as (select vec_id, embedding::double[] as v from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
