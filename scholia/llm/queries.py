@@ -90,7 +90,14 @@ def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_language": op2_language, "op3_imatch": op3_imatch, "op4_licenses": op4_licenses, "op5_lm": op5_lm, "op6_pii": op6_pii, "op7_bpe": op7_bpe, "op8_mix": op8_mix, "op9_vectors": op9_vectors, "op10_chat": op10_chat, "op12_align": op12_align}
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scholia.llm.resample import resample
+
+    found = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_language": op2_language, "op3_imatch": op3_imatch, "op4_licenses": op4_licenses, "op5_lm": op5_lm, "op6_pii": op6_pii, "op7_bpe": op7_bpe, "op8_mix": op8_mix, "op9_vectors": op9_vectors, "op10_chat": op10_chat, "op12_align": op12_align, "op13_resample": op13_resample}
 ORACLE_SQL: dict[str, str] = {
     "op9_vectors": """
 with recursive unit as (select vec_id, embedding::double[] as v from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
@@ -107,4 +114,18 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
   coalesce(sum(case when role = 'assistant' then length(text) end), 0)::bigint as loss_chars, sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn nulls first, role, text), '')) as loss_sha256,
   sum(length('<|im_start|>') + length(r) + 1 + length(e) + length('<|im_end|>') + 1)::bigint as formatted_chars, 0 as n_attachments, 0 as attachment_tokens
 from escaped group by conv_id""",
+    "op13_resample": r"""
+with crc_table as (select list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: xor(c >> 1, (c & 1) * 3988292384))) as t),
+worded as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+wanted as (select unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as w from benchmark),
+each as (select r, unnest(ws) as w from worded),
+hexed as (select w, hex(w) as h from (select w from each union select w from wanted)),
+bucket as (select w, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(h) // 2), lambda k: ('0x' || substring(h, 2 * k + 1, 2))::bigint)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 as b from hexed, crc_table),
+own as (select b, count(*) as s from each join bucket using (w) group by b), target as (select b, count(*) as t from wanted join bucket using (w) group by b),
+gain as (select b, floor(1000 * ln((coalesce(t, 0) + 1)::double * ((select count(*) from each) + 10000) / ((coalesce(s, 0) + 1)::double * ((select count(*) from wanted) + 10000))))::bigint as g from own full join target using (b)),
+sums as (select r, count(*) as n, sum(g)::bigint as total from each join bucket using (w) join gain using (b) group by r),
+weighed as (select doc_id, coalesce(n, 0) as n_features, coalesce((total - ((total % n) + n) % n) // n, 0)::bigint as weight, ('0x' || substring(sha256('2024:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint as h from worded left join sums using (r)),
+noisy as (select doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296.0::double)))::bigint as score from weighed),
+ranked as (select *, row_number() over (partition by n_features >= 20 order by score desc, doc_id nulls last, n_features) as k from noisy)
+select doc_id, n_features, weight, score, case when n_features >= 20 and k <= (select count(*) from noisy where n_features >= 20) * 10 // 100 then k end as rank from ranked""",
 }
