@@ -81,6 +81,14 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_turns(rows.unionByName(own), typed=False))
 
 
+def op11_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from scholia.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
+
+
 def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -97,7 +105,7 @@ def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_language": op2_language, "op3_imatch": op3_imatch, "op4_licenses": op4_licenses, "op5_lm": op5_lm, "op6_pii": op6_pii, "op7_bpe": op7_bpe, "op8_mix": op8_mix, "op9_vectors": op9_vectors, "op10_chat": op10_chat, "op12_align": op12_align, "op13_resample": op13_resample}
+QUERIES = {"op1_simhash": op1_simhash, "op2_language": op2_language, "op3_imatch": op3_imatch, "op4_licenses": op4_licenses, "op5_lm": op5_lm, "op6_pii": op6_pii, "op7_bpe": op7_bpe, "op8_mix": op8_mix, "op9_vectors": op9_vectors, "op10_chat": op10_chat, "op11_pack": op11_pack, "op12_align": op12_align, "op13_resample": op13_resample}
 ORACLE_SQL: dict[str, str] = {
     "op9_vectors": """
 with recursive unit as (select vec_id, embedding::double[] as v from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
