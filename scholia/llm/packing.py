@@ -14,13 +14,16 @@ few regions, and the driver sees only counts.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +34,11 @@ CAPACITY, END_ID = 4096, 1
 REGION, ISLANDS, ROUNDS, POPULATION, CHILDREN = 2048, 3, 3, 4, 12
 #: Bins filled less than this may be given up for another level.
 WELL_FILLED = 0.995
-TABLE_WORDS = 400_000
-_STOPS = ".,;:!?"
+TABLE_WORDS = 1_000_000
+#: Letters of the Latin blocks (but one whose lower case is two characters), then signs of ASCII, without apostrophes as those may begin a word.
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ȿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: How the byte-level model spells bytes that have no printable character.
+_SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or 174 <= b))}
 
 
 @lru_cache(maxsize=2)
@@ -49,27 +55,48 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.table: dict[str, bytes] = {"": b""}
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers, without the end mark."""
-        parts = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.table.__getitem__, parts))
-        except KeyError:
+        self.model = self.library.model
+        self.table: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text, without the end mark; distinct parts of these texts are looked up once."""
+        split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        parts = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.table.get, parts))
+        new = [i for i, raw in enumerate(found) if raw is None]
+        if new:
             if len(self.table) > TABLE_WORDS:
-                self.table = {"": b""}
-            self._learn(set(parts).difference(self.table))
-            return b"".join(map(self.table.__getitem__, parts))
-
-    def _learn(self, parts: set[str]) -> None:
-        # A stop after a word of Latin letters and digits is a token's beginning, so such parts are put together from two.
-        split = {p for p in parts if p[-1] in _STOPS and p[:-1].isalnum() and max(p) < "ɐ"}
-        new = list((parts - split | {p[:-1] for p in split} | {p[-1] for p in split}).difference(self.table))
-        for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.table[p] = np.array(e.ids, "<u4").tobytes()
-        for p in split:
-            self.table[p] = self.table[p[:-1]] + self.table[p[-1]]
+                # What these texts hold stays: frequent parts are among it.
+                self.table, self.words = {p: raw for p, raw in zip(parts, found, strict=True) if raw is not None}, {}
+            self._learn([parts[i] for i in new])
+            for i in new:
+                found[i] = self.table[parts[i]]
+        ids = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        n, starts = sizes[at], (np.cumsum(sizes) - sizes)[at]
+        ends = np.cumsum(n)
+        flat = ids[np.repeat(starts - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return [flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+    def _learn(self, parts: list[str]) -> None:
+        # A run of letters is one word of the model, and so is a run of signs after it: nothing normalises these letters but lower case.
+        rest, words, table = [], self.words, self.table
+        for p in parts:
+            if m := _SIMPLE.fullmatch(p):
+                table[p] = b"".join([words[w] if w in words else self._word(w) for w in (m[1].lower(), m[2]) if w])
+            else:
+                rest.append(p)
+        for p, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            table[p] = np.array(e.ids, "<u4").tobytes()
+
+    def _word(self, w: str) -> bytes:
+        shown = w if w.isascii() else w.encode().decode("latin-1").translate(_SHOWN)
+        raw = self.words[w] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        return raw
 
 
 _PIECE = "row long, id long, piece int, start long, length int, crc long"
@@ -78,18 +105,19 @@ _PIECE = "row long, id long, piece int, start long, length int, crc long"
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """``(row, id, piece, start, length, crc)``: each text's ids and the end mark in pieces of at most ``capacity``."""
     names = [x.split()[0] for x in _PIECE.split(", ")]
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
-            for part in text_slices(batch, "text", 4 << 20):
+            for part in text_slices(batch, "text"):
                 out: list[tuple] = []
-                for row, i, text in zip(*(part.column(c).to_pylist() for c in ("row", "id", "text")), strict=True):
-                    ids = own.encode(text or "") + end
-                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        raw = ids[at : at + 4 * capacity]
-                        out.append((row, i, k, at // 4, len(raw) // 4, zlib.crc32(raw)))
+                encoded = own.encode(part.column("text"))
+                for row, i, ids in zip(part.column("row").to_pylist(), part.column("id").to_pylist(), encoded, strict=True):
+                    ids = np.concatenate([ids, end])
+                    for k, at in enumerate(range(0, len(ids), capacity)):
+                        own_ids = ids[at : at + capacity]
+                        out.append((row, i, k, at, len(own_ids), zlib.crc32(own_ids.tobytes())))
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 

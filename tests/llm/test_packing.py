@@ -3,6 +3,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 from tokenizers import Tokenizer
 
@@ -44,7 +45,12 @@ def test_random_parts_equal_the_library():
     parts = ["Hello", "wörld.", "don't", " ", "  ", "\n", "\t", "\x1c", "\x85", "É", "é.", "ǅ", "İx.", "ΑΣ", "ΑΣ.", "日本", "½.", "²,", "1234.", "😀!", "<|endoftext|>", "<|startoftext|>.", "...", ".'s", "'s", "'LL", "a.b", "a_b.", "\u0301", "e\u0301.", "\u3000", "\u200b", "x"]
     for _ in range(3000):
         text = "".join(rng.choice(parts) + rng.choice(["", "", " "]) for _ in range(rng.randrange(12)))
-        assert np.frombuffer(own.encode(text), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids, text
+        assert own.encode(pa.array([text]))[0].tolist() == lib.encode(text, add_special_tokens=False).ids, text
+
+
+    for c in [*range(32, 0x250), *range(0x250, 0x3000, 37)]:
+        for text in (f"a{chr(c)}", f"{chr(c)}!?", f"{chr(c)}{chr(c)}%", f"{chr(c)}1."):
+            assert own.encode(pa.array([text]))[0].tolist() == lib.encode(text, add_special_tokens=False).ids, text
 
 
 def test_crossover_keeps_every_piece_once_and_finds_a_perfect_packing():
