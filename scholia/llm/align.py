@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import string
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -35,16 +36,22 @@ from scholia.llm.bpe import pieces
 from scholia.llm.common import text_slices
 from scholia.plans.lineage import dropped, written
 
-TABLE_UNITS = 300_000
+TABLE_UNITS = 200_000
+#: New units are aligned so many at a time.
+ADD_UNITS = 20_000
 #: Pairs of ids that are broadcast with their counts; the rest is joined by a shuffle.
 FREQUENT = 1 << 17
 #: A pair is (id of A) * 2**15 + (id of B); with this flag it is a group of the fast path and holds A's id only.
 _SHIFT, _FAST = 15, 1 << 31
 #: White space that the quick split below does not handle: other than a blank or line end, two in a row, or at the end.
 _ODD = re.compile(r"[^\S \n]|[ \n][ \n]|[ \n]\Z")
-_QUICK = re.compile(r" ?[^\W\d_]+(?=[.,;:!?])| ?[^ \n]+|\n")
+#: Latin letters before a sign of ASCII, else all up to a blank or line end.
+_QUICK = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[!-/:-@\[-`{-~])| ?[^ \n]+|\n")
+_WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
 _CUTS = regex.compile(r"(?V1)(?<=\P{White_Space})(?=[ \n])|(?<=\P{White_Space}\n)(?=\P{White_Space})")
-_STOPS = ".,;:!?"
+_SIGNS = frozenset(string.punctuation)
+#: How the byte-level model spells bytes that have no printable character.
+_SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or 174 <= b))}
 
 
 @lru_cache(maxsize=2)
@@ -74,7 +81,7 @@ class Aligner:
         #: The identity map: for each id of A the id of B with the same bytes, else -1.
         self.same = np.array([known.get(x, -1) for x in self.a_bytes], np.int64)
         # The quick split holds as long as no piece of B goes over its cuts.
-        crossing = any(p.lstrip("▁").find("▁") >= 0 or "\n" in p or any(x.isalnum() and y in _STOPS for x, y in zip(p, p[1:], strict=False)) for i, p in enumerate(spelled) if not special[i])
+        crossing = any(p.lstrip("▁").find("▁") >= 0 or "\n" in p or any(x.isalpha() and y in _SIGNS for x, y in zip(p, p[1:], strict=False)) for i, p in enumerate(spelled) if not special[i])
         self.whole = crossing
         self.a_len, self.b_len = np.array([len(x) for x in self.a_bytes]), np.array([len(x) for x in self.b_bytes])
         spell = lambda n, end: np.array([f"{i}{end}" for i in range(n)], object)
@@ -92,6 +99,15 @@ class Aligner:
             return [text]
         return _CUTS.split(text) if _ODD.search(text) else _QUICK.findall(text)
 
+    def _a_ids(self, units: list[str]) -> list[list[int]]:
+        # A blank and Latin letters are one word of the model; the library splits all else.
+        tokens = self.a.model.tokenize
+        found = [[t.id for t in tokens(u.encode().decode("latin-1").translate(_SHOWN))] if _WORD.fullmatch(u) else None for u in units]
+        rest = [i for i, ids in enumerate(found) if ids is None]
+        for i, e in zip(rest, self.a.encode_batch_fast([units[i] for i in rest], add_special_tokens=False), strict=True):
+            found[i] = e.ids
+        return found
+
     def _b_ids(self, units: list[str]) -> list[list[int]]:
         # B puts a blank before what it encodes; where the unit has none, a line end takes it and both go.
         led = [u[0] == " " for u in units]
@@ -102,8 +118,7 @@ class Aligner:
         """Align new units, all at once: their bytes follow each other, so ends of tokens are places in one sequence."""
         if not units:
             return
-        a_ids = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
-        b_ids = self._b_ids(units)
+        a_ids, b_ids = self._a_ids(units), self._b_ids(units)
         a_bytes, b_bytes = self.a_bytes.__getitem__, self.b_bytes.__getitem__
         good = np.ones(len(units), bool)
         for i, (u, x, y) in enumerate(zip(units, a_ids, b_ids, strict=True)):
@@ -180,7 +195,9 @@ class Aligner:
         return counts, digests, keys, times
 
     def _learn(self, units: list[list[str]]) -> None:
-        self.add(list(set(chain.from_iterable(units)).difference(self.table)))
+        new = list(set().union(*units).difference(self.table))
+        for i in range(0, len(new), ADD_UNITS):
+            self.add(new[i : i + ADD_UNITS])
 
 
 def _lists(owner: np.ndarray, n: int, values: np.ndarray) -> pa.Array:
