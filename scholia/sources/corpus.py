@@ -83,11 +83,14 @@ _SECRETS = """case d % 29
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(relpath, content)`` of every document, rendered as a Markdown note with metadata, links and sections."""
-    rows = numbered(spark, sf_dir)
-    # Targets' paths come from their ids; their sources from a join, as a name holds its source.
+    whole = numbered(spark, sf_dir)
+    # Targets' paths come from their ids; their sources from a join, as a name holds its source. Texts stay out of these
+    # joins and meet their links once, at the end.
+    rows = whole.drop("text")
     names = rows.select(F.col("d").alias("to"), F.col("relpath").alias("to_path"))
     for kind in ("see_to", "extends_to", "amends_to", "near_to", "succ"):
         rows = rows.join(names.select(F.col("to").alias(kind), F.col("to_path").alias(f"{kind}_path")), kind, "left")
+    rows = rows.join(whole.select("d", "text"), "d")
     link = lambda kind, to: f"concat('- {kind}: [Document ', {to}, '](', {to}_path, ')')"
     linked = "d % 50 <> 49"
     body = r"""if(length(text) > 1200, array_join(flatten(transform(split(text, '\n'), (l, i) -> if(i % 3 = 2, array(l, concat('## Part ', (i + 1) div 3)), array(l)))), '\n'), text)"""
