@@ -26,9 +26,8 @@ class HashedWords:
     def __call__(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dims))
         for i, t in enumerate(texts):
-            for w in t.lower().split():
-                h = zlib.crc32(w.encode())
-                out[i, h % self.dims] += 1 if h >> 31 else -1
+            h = np.fromiter(map(zlib.crc32, map(str.encode, t.lower().split())), np.int64)
+            out[i] = np.bincount(h % self.dims, np.where(h >> 31, 1.0, -1.0), self.dims)
         return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)).astype(np.float32)
 
 

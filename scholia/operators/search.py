@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import re
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholia.functions.notes import with_metadata
 from scholia.plans.lineage import durable
 
+if TYPE_CHECKING:
+    from scholia.plans.index import StoredIndex
+
 #: Rank constant, most files a term may hit, nearest chunks, snippet width.
 RRF_K, HIT_LIMIT, NEAREST, SNIPPET = 60, 50, 40, 160
 
@@ -123,6 +128,21 @@ def search(entries: DataFrame, notes: DataFrame, vectors: DataFrame, query: str,
     return best.select("relpath", "title", F.round("score", 5).alias("score"), "status", "tags", snippet(F.col("body"), query, nouns).alias("snippet"))
 
 
+def search_index(index: StoredIndex, entries: DataFrame, query: str, vector: list[float], top: int = 8, nouns: list[str] | None = None, refresh: bool = True, **filters) -> DataFrame:
+    """As ``search``, from a stored index's metadata and vectors; ``entries`` are the texts as they are now.
+
+    Unless ``refresh`` is off, new and changed entries are brought into the index first. Removed ones stay in it and can be
+    found by their vectors until a full refresh; their snippet is empty. Texts are read for terms and for the snippets of the hits.
+    """
+    if refresh:
+        index.refresh_stale(entries)
+    known = index.entries().withColumn("body", F.lit(""))
+    best = durable(search(entries, known, index.chunks(), query, vector, top, nouns, **filters).drop("snippet"))
+    # At most ``top`` rows.
+    texts = with_metadata(entries.join(F.broadcast(best.select("relpath")), "relpath", "left_semi")).select("relpath", "body")
+    return best.join(texts, "relpath", "left").select(*best.columns, snippet(F.coalesce("body", F.lit("")), query, nouns).alias("snippet"))
+
+
 def prompt_hits(entries: DataFrame, metadata: DataFrame, terms: list[str], statuses: list[str] | None = None, top: int = 5) -> DataFrame:
     """``(relpath, score, label)`` of the best entries of allowed statuses (none: all); a missing status is active."""
     allowed = metadata.withColumn("status", F.coalesce(F.nullif("status", F.lit("")), F.lit("active")))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.functions import notes as fn
+from scholia.functions.privacy import leaks
 from scholia.operators.graph import Graph
 from scholia.plans.lineage import durable
 
@@ -175,11 +176,59 @@ def commit_decision(gates: DataFrame) -> DataFrame:
 
 def commit_message(changes: DataFrame) -> DataFrame:
     """``(repo, message)``: the first ten paths, in order, by their last two parts, and how many more there are."""
-    first = F.array_sort(F.array_distinct(F.collect_list("path")))
-    own = changes.groupBy("repo").agg(first.alias("p"))
-    names = F.transform(F.slice("p", 1, 10), lambda p: F.array_join(F.slice(F.split(p, "/"), F.greatest(F.size(F.split(p, "/")) - 1, F.lit(1)), F.lit(2)), "/"))
-    more = F.when(F.size("p") > 10, F.concat(F.lit(" …and "), F.size("p") - 10, F.lit(" more"))).otherwise("")
-    return own.select("repo", F.concat(F.array_join(names, ", "), more).alias("message"))
+    paths = changes.select("repo", "path").distinct()
+    first = paths.withColumn("nth", F.row_number().over(Window.partitionBy("repo").orderBy("path"))).where("nth <= 10")
+    parts = F.split("path", "/")
+    short = F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), F.lit(2)), "/")
+    named = first.groupBy("repo").agg(F.array_sort(F.collect_list(F.struct("nth", short.alias("name")))).alias("p"))
+    more = F.when(F.col("n") > 10, F.concat(F.lit(" …and "), F.col("n") - 10, F.lit(" more"))).otherwise("")
+    counts = paths.groupBy("repo").agg(F.count("*").alias("n"))
+    return named.join(counts, "repo").select("repo", F.concat(F.array_join(F.transform("p", lambda x: x["name"]), ", "), more).alias("message"))
+
+
+#: Equal files are numbered within so many parts of their paths, so that no task has to number all copies of one file.
+COPY_PARTS = 64
+
+
+def _nth_copy(files: DataFrame) -> DataFrame:
+    """``files`` ``(path, sha256)`` with ``nth``, their number among those of equal content: by a hash of the path, then the path."""
+    dealt = files.withColumn("deal", F.conv(F.substring(F.md5("path"), 1, 4), 16, 10).cast("int") % COPY_PARTS)
+    counts = dealt.groupBy("sha256", "deal").agg(F.count("*").alias("n"))
+    # At most COPY_PARTS rows of one content.
+    above = counts.select("sha256", "deal", (F.sum("n").over(Window.partitionBy("sha256").orderBy("deal")) - F.col("n")).alias("above"))
+    within = F.row_number().over(Window.partitionBy("sha256", "deal").orderBy("path"))
+    return dealt.join(above, ["sha256", "deal"]).select("path", "sha256", (F.col("above") + within).alias("nth"))
+
+
+def change_set(before: DataFrame, after: DataFrame, prefixes: list[str] | None = None) -> DataFrame:
+    """``(path, status, other)`` of two snapshots ``(path, sha256)`` of a tree, one row per path that changed.
+
+    Status ``A``, ``M`` or ``D``; a removed and an added file of equal content are a rename, both rows ``R`` with each
+    other's path in ``other``. Of several equal files the nth removed one goes with the nth added one; what is left over
+    stays removed or added. Renames are told over the whole tree; then only paths with one of ``prefixes`` are kept.
+    """
+    met = before.select("path", F.col("sha256").alias("old")).join(after.select("path", F.col("sha256").alias("new")), "path", "full_outer")
+    met = durable(met.where(~F.col("old").eqNullSafe(F.col("new"))))
+    lost, came = (_nth_copy(met.where(f"{gone} is null").select("path", F.col(has).alias("sha256"))) for gone, has in (("new", "old"), ("old", "new")))
+    pairs = durable(lost.withColumnRenamed("path", "a").join(came.withColumnRenamed("path", "b"), ["sha256", "nth"]).select("a", "b"))
+    partner = pairs.select(F.col("a").alias("path"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("path"), F.col("a").alias("other")))
+    status = F.when(F.col("other").isNotNull(), "R").when(F.col("new").isNull(), "D").when(F.col("old").isNull(), "A").otherwise("M")
+    out = met.join(partner, "path", "left").select("path", status.alias("status"), "other")
+    return out if prefixes is None else out.where(F.exists(F.array(*map(F.lit, prefixes)), lambda p: F.startswith(F.col("path"), p)))
+
+
+def commit_plan(changes: DataFrame, files: DataFrame, mode: Column) -> DataFrame:
+    """``(repo, n_changes, n_findings, result, message)`` from a change set with its ``repo`` and the tree's ``(path, content)``.
+
+    Findings are those of a leak scan over changed files that are there. ``mode`` tells from ``repo`` whether they block.
+    Repositories without changes have no row.
+    """
+    paths = changes.select("repo", "path").distinct()
+    scanned = files.join(paths, "path").select(F.concat_ws("\n", "repo", "path").alias("relpath"), "content")
+    findings = leaks(scanned).groupBy(F.substring_index("relpath", "\n", 1).alias("repo")).agg(F.count("*").alias("n_findings"))
+    gates = paths.groupBy("repo").agg(F.count("*").alias("n_changes")).join(findings, "repo", "left").withColumn("n_findings", F.coalesce("n_findings", F.lit(0)))
+    gates = durable(gates.select("*", mode.alias("mode"), F.lit(True).alias("enabled"), F.lit(True).alias("in_tree"), F.lit(False).alias("busy")))
+    return gates.select("repo", "n_changes", "n_findings").join(commit_decision(gates), "repo").join(commit_message(changes), "repo")
 
 
 def stale(scanned: DataFrame, stored: DataFrame) -> DataFrame:

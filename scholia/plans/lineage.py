@@ -37,6 +37,12 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def own_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder name in the shared folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{kind}/{uuid.uuid4().hex}"
+
+
 def dropped(df: DataFrame) -> None:
     """Remove the table behind what ``written`` returned, once nothing will read it again."""
     spark = df.sparkSession

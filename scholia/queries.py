@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from scholia.functions import notes, privacy
 from scholia.operators import graph, review, search, sessions, sync
 from scholia.oracle.base import sql
+from scholia.plans.index import STATES, StoredIndex
+from scholia.plans.lineage import own_folder, written
 from scholia.sources import corpus
+from scholia.streaming import events
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -522,6 +525,148 @@ def index_upsert_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.upserted(stored, scanned, sync.index_diff(scanned, stored))
 
 
+#: A note's number, from its name.
+_D = "cast(regexp_extract(relpath, '([0-9]+)[.]md$', 1) as bigint)"
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """As _snapshots, with texts: what is on disk now, and what was when the index was made."""
+    rows = written(corpus.entries(spark, sf_dir))
+    old = rows.where(f"{_D} % 7 <> 2").select("relpath", F.when(F.expr(f"{_D} % 11 = 4"), F.concat("content", F.lit("old"))).otherwise(F.col("content")).alias("content"))
+    return rows.where(f"{_D} % 13 <> 3"), old
+
+
+_SECTIONS = """, held as (select e.d, 1 + coalesce((select count(*) from (select k, regexp_replace(array_to_string(list_slice(ls, 3 * k + 1, 3 * k + 3), chr(10)) || case when k = len(ls) // 3 then chr(10) || chr(10) || tail else '' end, '^\\s+|\\s+$', '', 'g') as section
+  from (select unnest(range(1, len(ls) // 3 + 1)) as k)) where section <> ''), 0) * (length(e.text) > 1200)::int as n_chunks from e join split using (d) join tails using (d))"""
+
+
+@query("stored_index_rows", _STATES + _SECTIONS + " select s.id as relpath, case when title = '' then regexp_replace(e.name, '\\.md$', '') else title end as title, e.status, sha256(head || body) as sha256, n_chunks, n_chunks as n_vectors from states s join content using (d) join e using (d) join held using (d) where state in ('added', 'changed', 'unchanged')")
+def stored_index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stored index holds after it was made of the old texts and refreshed with the present ones."""
+    now, old = _texts(spark, sf_dir)
+    index = StoredIndex(spark, own_folder(spark, "index"))
+    index.refresh(old)
+    index.refresh(now)
+    kept = index.chunks().groupBy("relpath").agg(F.count("*").alias("n_chunks"), F.count_if(F.size("embedding") == 64).alias("n_vectors"))
+    return index.entries().join(kept, "relpath").select("relpath", "title", "status", "sha256", "n_chunks", "n_vectors")
+
+
+def _counts(spark: SparkSession, found: list[tuple[int, dict]]) -> DataFrame:
+    rows = [(step, name, n) for step, counts in found for name, n in counts.items()]
+    return spark.createDataFrame(rows, "step int, name string, n long")
+
+
+@query(
+    "stored_index_counts",
+    _STATES + _SECTIONS + """, steps as (select 1 as step, d, id, case when d % 7 <> 2 then 'added' end as state from e union all select 2, d, id, state from states)
+    select step, state as name, count(*) as n from steps where state is not null group by all
+    union all select step, 'embedded_chunks', sum(n_chunks)::bigint from steps join held using (d) where state in ('added', 'changed') group by step
+    union all select step, 'parts_written', count(distinct ('0x' || substring(md5(id), 1, 6))::int % 64) from steps where state <> 'unchanged' group by step
+    union all select 1, x, 0 from (select unnest(['changed', 'removed', 'unchanged'])) t(x) union all select s, 'version', s from (select unnest([1, 2])) t(s)""",
+)
+def stored_index_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What making and refreshing the index did: entries by state, chunks embedded and parts written."""
+    now, old = _texts(spark, sf_dir)
+    index = StoredIndex(spark, own_folder(spark, "index"))
+    return _counts(spark, [(1, index.refresh(old)), (2, index.refresh(now))])
+
+
+@query(
+    "stored_index_batches",
+    _SECTIONS + """, batch as (select 0 as step, d, id, 'added' as state from e where d % 3 <> 1 union all select 1, d, id, case when d % 3 = 1 then 'added' when d % 500 = 2 then 'changed' else 'unchanged' end from e where d % 250 in (1, 2)),
+    labels as (select step, x as name from (select unnest([0, 1, 2])) s(step), (select unnest(['added', 'changed', 'removed', 'unchanged', 'embedded_chunks', 'parts_written'])) t(x)),
+    tallied as (select step, state as name, count(*) as n from batch group by all
+      union all select step, 'embedded_chunks', sum(n_chunks)::bigint from batch join held using (d) where state <> 'unchanged' group by step
+      union all select step, 'parts_written', count(distinct ('0x' || substring(md5(id), 1, 6))::int % 64) from batch where state <> 'unchanged' group by step)
+    select step, name, coalesce(n, 0) as n from labels left join tallied using (step, name) union all select s, 'version', least(s + 1, 2) from (select unnest([0, 1, 2])) t(s)""",
+)
+def stored_index_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two micro-batches and a repetition of the second, as a stream would hand them over: only parts with changed keys are written, and nothing by the repetition."""
+    rows, found = written(corpus.entries(spark, sf_dir)), []
+    run = events.stored_index_upkeep(StoredIndex(spark, own_folder(spark, "index")), lambda number, counts: found.append((len(found), counts)))
+    later = rows.where(f"{_D} % 250 in (1, 2)").select("relpath", F.when(F.expr(f"{_D} % 500 = 2"), F.concat("content", F.lit("new"))).otherwise(F.col("content")).alias("content"))
+    for batch, number in ((rows.where(f"{_D} % 3 <> 1"), 0), (later, 1), (later, 1)):
+        run(batch, number)
+    return _counts(spark, found)
+
+
+@query("lazy_refresh", _STATES + " select s.id as relpath, case when state = 'removed' then sha256(head || body || case when d % 11 = 4 then 'old' else '' end) else sha256(head || body) end as sha256, state = 'removed' as deleted from states s join content using (d) where state is not null")
+def lazy_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index after the refresh that precedes a search: new and changed entries are up to date, deleted ones are still found."""
+    now, old = _texts(spark, sf_dir)
+    index = StoredIndex(spark, own_folder(spark, "index"))
+    index.refresh(old)
+    index.refresh_stale(now)
+    there = now.select("relpath", F.lit(False).alias("deleted"))
+    return index.entries().select("relpath", "sha256").join(there, "relpath", "left").select("relpath", "sha256", F.coalesce("deleted", F.lit(True)).alias("deleted"))
+
+
+def _vectors_of_entries(spark: SparkSession, sf_dir: str):
+    """The given vectors as those of whole entries with the same number."""
+    given = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("d"), "embedding")
+    return lambda chunks: chunks.where("chunk_id = 'full'").withColumn("d", F.expr(_D)).join(given, "d").drop("d")
+
+
+@query("stored_index_search", _BEST + " select b.id as relpath, case when title = '' then regexp_replace(e.name, '\\.md$', '') else title end as title, round(score, 5) as score, array_to_string(tags, ' ') as tags from best8 b join e using (d)")
+def stored_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """hybrid_search_filtered over a stored index, refreshed before the search; only the texts are read for terms and snippets."""
+    texts = written(corpus.entries(spark, sf_dir))
+    index = StoredIndex(spark, own_folder(spark, "index"), embed=_vectors_of_entries(spark, sf_dir))
+    found = search.search_index(index, texts, QUERY, _query_vector(spark, sf_dir), status="active", created_from="2026-01-05")
+    return found.select("relpath", "title", "score", joined("tags").alias("tags"))
+
+
+_BUCKET = "('0x' || substring(md5(path), 1, 4))::int % 64"
+_CHANGES = (
+    ", texts as (select d, id, sha256(head || body) as new, sha256(head || body || 'old') as old from content), "
+    "was as (select d, case when d % 17 = 5 then replace(id, '2026/', '2025/') else id end as path, case when d % 11 = 4 then old else new end as sha from texts where d % 7 <> 2), "
+    "are as (select d, id as path, new as sha from texts where d % 13 <> 3), "
+    "met as (select coalesce(was.path, are.path) as path, was.sha as old, are.sha as new from was full join are on was.path = are.path), "
+    f"lost as (select path, old as sha, row_number() over (partition by old order by {_BUCKET}, path) as k from met where new is null), "
+    f"came as (select path, new as sha, row_number() over (partition by new order by {_BUCKET}, path) as k from met where old is null), "
+    "pairs as (select lost.path as a, came.path as b from lost join came using (sha, k)), "
+    "changes as (select path, 'R' as status, b as other from lost join pairs on a = path union all select path, 'R', a from came join pairs on b = path "
+    "union all select path, 'D', null from lost where path not in (select a from pairs) union all select path, 'A', null from came where path not in (select b from pairs) "
+    "union all select path, 'M', null from met where old <> new), "
+    "own as (select * from changes where starts_with(path, '2026/0') or starts_with(path, '2025/1'))"
+)
+_PREFIXES = ["2026/0", "2025/1"]
+
+
+def _trees(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The work tree as it was and as it is: as _texts, and every 17th note lay in another year's folder."""
+    now, old = _texts(spark, sf_dir)
+    moved = F.when(F.expr(f"{_D} % 17 = 5"), F.replace("relpath", F.lit("2026/"), F.lit("2025/"))).otherwise(F.col("relpath"))
+    return old.select(moved.alias("path"), "content"), now.select(F.col("relpath").alias("path"), "content")
+
+
+def _changed(was: DataFrame, are: DataFrame) -> DataFrame:
+    hashed = lambda t: t.select("path", F.sha2("content", 256).alias("sha256"))
+    return sync.change_set(hashed(was), hashed(are), _PREFIXES)
+
+
+@query("change_set", _CHANGES + " select path, status, other from own")
+def change_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _changed(*_trees(spark, sf_dir))
+
+
+@query(
+    "commit_plan",
+    _CHANGES
+    + """, files as (select *, split_part(path, '/', 2) as repo from own), leaks as (select f.repo, count(*) as n from files f join texts t on t.id = f.path where f.status <> 'D' and f.path in (select path from are) and t.d % 29 in (7, 8, 9, 10) group by f.repo),
+    numbered as (select repo, path, row_number() over (partition by repo order by path) as k, count(*) over (partition by repo) as n from files),
+    said as (select repo, n, string_agg(array_to_string(list_slice(string_split(path, '/'), -2, -1), '/'), ', ' order by k) as names from numbered where k <= 10 group by repo, n)
+    select s.repo, n as n_changes, coalesce(l.n_findings, 0) as n_findings, case when s.repo::int % 4 <> 3 and coalesce(l.n_findings, 0) > 0 then 'blocked' else 'committed' end as result, names || case when n > 10 then ' …and ' || (n - 10) || ' more' else '' end as message
+    from said s left join (select repo, n as n_findings from leaks) l using (repo)""",
+)
+def commit_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commits by folder of the month: gates counted from the change set and from a leak scan of the changed files that are there; every fourth folder only warns."""
+    was, are = _trees(spark, sf_dir)
+    changes = _changed(was, are).withColumn("repo", F.split("path", "/")[1])
+    mode = F.when(F.col("repo").cast("int") % 4 == 3, "warn").otherwise("block")
+    return sync.commit_plan(changes, are, mode)
+
+
 @query("mirror_actions", ", s as (select * from e where d % 13 <> 3) select id as path, case when d % 7 = 2 then 'copy' when d % 11 = 4 and d % 2 = 1 then 'shadow' else 'skip' end as action, case when d % 7 = 2 then id when d % 11 = 4 and d % 2 = 1 then regexp_replace(id, '\\.md$', '-from-wt.md') end as to_path from s")
 def mirror_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned, stored = _snapshots(spark, sf_dir)

@@ -11,6 +11,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from scholia.functions import notes, privacy
 from scholia.operators import sessions, sync
+from scholia.plans.index import StoredIndex
+from scholia.plans.lineage import durable
 
 
 def index_upkeep(load: Callable[[], DataFrame | None], store: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
@@ -34,6 +36,22 @@ def index_upkeep(load: Callable[[], DataFrame | None], store: Callable[[DataFram
     return run
 
 
+def stored_index_upkeep(index: StoredIndex, report: Callable[[int, dict], None] | None = None) -> Callable[[DataFrame, int], None]:
+    """As index_upkeep, for a stored index: a batch rewrites only the parts of its changed keys, and a repeated batch nothing.
+
+    ``report`` gets each batch's number and counts.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        place = [c for c in ("modified_at", "content") if c in batch.columns]
+        last = durable(batch.groupBy("relpath").agg(F.max(F.struct(*place))["content"].alias("content")))
+        counts = index.refresh(last, last.select("relpath"), number)
+        if report:
+            report(number, counts)
+
+    return run
+
+
 def write_event_stages(entries: DataFrame) -> dict[str, DataFrame]:
     """What follows a write, in order: redaction, leak scan of the redacted text, link check."""
     clean = privacy.redact(entries).select("relpath", F.col("text").alias("content"), "hits")
