@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.functions import notes as fn
+from scholia.plans.lineage import durable
 
 #: Words that mark a decision.
 DECISION_WORDS = (
@@ -52,6 +53,30 @@ def mentioned_paths(lines: DataFrame, pattern: str = r'"file_path"\s*:\s*"([^"]+
     return found.where(~F.col("path").rlike("^(/tmp|/dev)"))
 
 
+#: How a written file and a read entry are named in a transcript's lines.
+FILE_PATH, ENTRY_PATH = r'"file_path"\s*:\s*"([^"]+)"', r'(\.claude/knowledge/entries/[^\s"]+\.md)'
+
+
+def compaction_checkpoint(lines: DataFrame, at: Column, by: str = "session", order: str = "n", most: int = 200) -> DataFrame:
+    """``(session, at, decisions, files, entries)`` of the last ``most`` lines ``(session, n, line)`` of each transcript.
+
+    Files are written paths without temporary ones, entries are knowledge entries named in any line, both distinct and
+    sorted; decisions as ``decisions`` gives them. ``checkpoint_files`` and ``session_state`` make the texts. A session of
+    which nothing is found has empty lists. What is gathered for a session is bounded by its last lines.
+    """
+    last = durable(tail(lines.select(F.col(by).alias("session"), F.col(order).alias("n"), "line"), "session", "n", most))
+
+    def named(pattern: str, name: str) -> DataFrame:
+        found = last.select("session", F.explode(F.regexp_extract_all("line", F.lit(pattern), 1)).alias("x")).where(~F.col("x").rlike("^(/tmp|/dev)")).distinct()
+        return found.groupBy("session").agg(F.array_sort(F.collect_list("x")).alias(name))
+
+    said = decisions(transcript(last), "session", "n")
+    said = said.groupBy("session").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]).alias("decisions"))
+    out = last.select("session").distinct().join(said, "session", "left").join(named(FILE_PATH, "files"), "session", "left").join(named(ENTRY_PATH, "entries"), "session", "left")
+    none = F.array().cast("array<string>")
+    return out.select("session", at.alias("at"), *[F.coalesce(c, none).alias(c) for c in ("decisions", "files", "entries")])
+
+
 def todo_progress(lists: DataFrame) -> DataFrame:
     """``(id, progress)`` of rows ``(id, content)``."""
     count = lambda mark: F.regexp_count("content", F.lit(rf"(?m)^\s*- \[{mark}\]"))

@@ -53,16 +53,27 @@ def migrate_plan(paths: DataFrame) -> DataFrame:
     return flat.select(F.col("path").alias("old_path"), F.concat(F.substring("path", 1, 4), F.lit("/"), F.substring("path", 5, 2), F.lit("/"), "path").alias("new_path"))
 
 
-def rewrite_links(entries: DataFrame, moved: DataFrame) -> DataFrame:
-    """``(relpath, content)`` with every Markdown link to a moved file's base name changed to its new path.
+def link_map(moved: DataFrame, present: DataFrame | None = None) -> DataFrame:
+    """``(name, new_path)``: where links to a base name lead after a move of ``(old_path, new_path)``.
+
+    ``present`` ``(path)`` are files that lie in folders already: they come before planned moves of the same name. Of
+    several files of one name and rank the smallest path counts.
+    """
+    ranked = moved.select("new_path", F.lit(1).alias("rank"))
+    if present is not None:
+        ranked = ranked.unionByName(present.where(F.contains("path", F.lit("/"))).select(F.col("path").alias("new_path"), F.lit(0).alias("rank")))
+    return ranked.groupBy(fn.file_name(F.col("new_path")).alias("name")).agg(F.min(F.struct("rank", "new_path"))["new_path"].alias("new_path"))
+
+
+def rewrite_links(entries: DataFrame, moved: DataFrame, present: DataFrame | None = None) -> DataFrame:
+    """``(relpath, content)`` with every Markdown link to a base name of ``link_map`` changed to its path there.
 
     Links are numbered, looked up by base name and put back between the texts around them.
     """
     link = r"\]\(([^)\s]*\.md)(#[^)]*)?\)"
     cut = entries.select("relpath", F.split("content", link, -1).alias("between"), F.regexp_extract_all("content", F.lit(link), 0).alias("found"))
     each = cut.select("relpath", F.posexplode("found").alias("i", "m")).select("relpath", "i", F.regexp_extract("m", link, 1).alias("path"), F.regexp_extract("m", link, 2).alias("anchor"))
-    names = moved.select(fn.file_name(F.col("new_path")).alias("name"), "new_path").dropDuplicates(["name"])
-    each = each.withColumn("name", fn.file_name(F.col("path"))).join(names, "name", "left")
+    each = each.withColumn("name", fn.file_name(F.col("path"))).join(link_map(moved, present), "name", "left")
     links = each.groupBy("relpath").agg(F.array_sort(F.collect_list(F.struct("i", F.concat(F.lit("]("), F.coalesce("new_path", "path"), "anchor", F.lit(")")).alias("t")))).alias("links"))
     pieces = F.transform("between", lambda b, i: F.concat(b, F.coalesce(F.get("links", i)["t"], F.lit(""))))
     return cut.join(links, "relpath", "left").select("relpath", F.array_join(pieces, "").alias("content"))

@@ -781,6 +781,53 @@ def transcript_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.tail(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role"), most=3)
 
 
+_LINES = _SAID + """, tools as (select conv_id, turn, '/' || case when conv_id % 7 = 3 then 'tmp' else 'work' end || '/p' || conv_id % 5 || '/f' || turn % 4 || '.md' as path, case when conv_id % 3 = 0 then '.claude/knowledge/entries/2026/01/e' || turn % 3 || '.md' end as entry from conversations where turn % 2 = 1),
+    placed as (select conv_id, 2 * turn as k, role, text, null as path, null as entry from said union all select conv_id, 2 * turn + 1, null, null, path, entry from tools),
+    kept as (select * from (select *, row_number() over (partition by conv_id order by k desc) as nth from placed) where nth <= 200),
+    d1 as (select conv_id, trim(replace(substring(text, 1, 200), chr(10), ' ')) as t, min(k) as first_k from kept where role in ('user', 'human') and length(text) >= 10 and regexp_matches(lower(text), 'decide|plan|approach|strategy|change|let''s|we should|i want|please') group by 1, 2),
+    d2 as (select conv_id, string_agg('- ' || t, chr(10) order by first_k, t) as body from (select *, row_number() over (partition by conv_id order by first_k, t) as n from d1 where t <> '') where n <= 10 group by conv_id),
+    f2 as (select conv_id, string_agg('- ' || path, chr(10) order by path) as body from (select distinct conv_id, path from kept where path not like '/tmp%') group by conv_id),
+    e2 as (select conv_id, string_agg('- ' || entry, chr(10) order by entry) as body from (select distinct conv_id, entry from kept where entry is not null) group by conv_id)"""
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as transcripts: a line for each message, and one for a written file after every second."""
+    said = _said(spark, sf_dir)
+    messages = said.select("conv_id", (2 * F.col("turn")).alias("n"), F.to_json(F.struct("role", F.col("text").alias("content"))).alias("line"))
+    path = F.expr("concat('/', if(conv_id % 7 = 3, 'tmp', 'work'), '/p', conv_id % 5, '/f', turn % 4, '.md')")
+    entry = F.expr("if(conv_id % 3 = 0, concat('.claude/knowledge/entries/2026/01/e', turn % 3, '.md'), null)")
+    tools = said.where("turn % 2 = 1").select("conv_id", (2 * F.col("turn") + 1).alias("n"), F.to_json(F.struct(F.lit("tool").alias("type"), path.alias("file_path"), entry.alias("read"))).alias("line"))
+    return messages.unionByName(tools)
+
+
+@query(
+    "compaction_checkpoint",
+    _LINES + """ select c.conv_id as session, '---' || chr(10) || 'created: 2026-09-01 10:00' || chr(10) || 'status: active' || chr(10) || '---' || chr(10)
+    || coalesce(chr(10) || '## Decisions' || chr(10) || chr(10) || d2.body || chr(10), '') || coalesce(chr(10) || '## Modified files' || chr(10) || chr(10) || f2.body || chr(10), '') || coalesce(chr(10) || '## Referenced entries' || chr(10) || chr(10) || e2.body || chr(10), '') as content
+    from (select distinct conv_id from kept) c left join d2 using (conv_id) left join f2 using (conv_id) left join e2 using (conv_id) where coalesce(d2.body, f2.body, e2.body) is not null""",
+)
+def compaction_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checkpoint files of all sessions, from the last 200 lines of each transcript."""
+    found = sessions.compaction_checkpoint(_lines(spark, sf_dir), F.lit("2026-09-01 10:00:00").cast("timestamp"), "conv_id")
+    return sessions.checkpoint_files(found)
+
+
+@query(
+    "migrate_links",
+    """, target as (select d, case when d % 5 = 0 then '2026/sub/' || name when d % 89 <> 7 then substring(name, 1, 4) || '/' || substring(name, 5, 2) || '/' || name end as path from e),
+    moved_line as (select l.d, l.pos, case when l.t < 0 or t.path is null then x.line when l.near then '  - ref: [Near](' || t.path || ')' else '- ' || l.kind || ': [Document ' || l.t || '](' || t.path || ')' end as line
+      from lines l join line_text x using (d, pos) left join target t on t.d = l.t),
+    moved_tail as (select d, string_agg(line, chr(10) order by pos) as tail from (select d, pos, line from moved_line union all select d, 99, line from secrets where line is not null) group by d)
+    select c.id as relpath, sha256(c.head || left(c.body, length(c.body) - length(t.tail) - 1) || coalesce(m.tail, '') || chr(10)) as sha256 from content c join tails t using (d) left join moved_tail m using (d)""",
+)
+def migrate_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links after all dated notes moved to the folder of their month; every fifth note lies in a folder already, which comes first."""
+    e = written(corpus.entries(spark, sf_dir))
+    flat = e.select(notes.file_name(F.col("relpath")).alias("path"))
+    present = e.where(f"{_D} % 5 = 0").select(F.concat(F.lit("2026/sub/"), notes.file_name(F.col("relpath"))).alias("path"))
+    return sync.rewrite_links(e, sync.migrate_plan(flat), present).select("relpath", F.sha2("content", 256).alias("sha256"))
+
+
 @query("todo_progress", "select d as id, case when d % 4 = 0 then 'no tasks' else (d % 4) || '/' || (d % 4 + d % 3 + d % 2) || ' completed' || case when d % 3 > 0 then ', current: step ' || d else '' end end as progress from e")
 def todo_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = r"if(d % 4 = 0, 'nothing', concat(repeat('- [x] done\n', cast(d % 4 as int)), repeat(concat('- [~] step ', d, '\n'), cast(d % 3 as int)), repeat('- [ ] open\n', cast(d % 2 as int))))"
