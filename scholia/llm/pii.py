@@ -3,8 +3,14 @@
 The patterns give the base spans exactly. The network, trained in numpy on generated labelled text, adds spans
 that the patterns miss (such as phone numbers without a country code). It reads windows of ``WINDOW`` characters
 that overlap by half; each is decoded by Viterbi, every character's tag is taken from the window where it
-lies most centrally, and the tags are then read as one sequence over the whole text. Each of the four kinds
-contains a digit or an at sign, so windows without either decode to no span and are not computed.
+lies most centrally, and the tags are then read as one sequence over the whole text.
+
+Windows that cannot change the result are left out. A run of tags becomes a span only if, without signs at its
+ends, it holds an at sign and no blank (email), or a digit and nothing but the signs of numbers (the others). Such
+a run lies within a *reach*: the unbroken stretch of such characters around an at sign or a digit, and the signs
+on either side up to the next letter or digit. Tags of every reach and of the letters that end it are computed.
+A run that goes beyond a reach holds such a letter as well as the character that broke the stretch, so it is
+no span, wherever the computed tags stop. Spans are thus the same as with all windows (``everything``).
 """
 
 from __future__ import annotations
@@ -85,8 +91,39 @@ def char_ids(text: str) -> np.ndarray:
     return np.where((points >= 9) & (points <= 13), 96, ids).astype(np.uint8)
 
 
-_TRIGGER = np.zeros(_CHARS, bool)
-_TRIGGER[[ord(c) - 31 for c in "0123456789@"]] = True
+_AT = ord("@") - 31
+_DIGIT = np.zeros(_CHARS, bool)
+_DIGIT[ord("0") - 31 : ord("9") - 30] = True
+_NUMERIC = _DIGIT.copy()
+_NUMERIC[[ord(c) - 31 for c in "+() .-/"]] = True
+
+
+@lru_cache(maxsize=1)
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """Whether each code point is a blank, and whether it is a letter or digit, as ``str`` says."""
+    all_ = [chr(c) for c in range(0x110000)]
+    return np.fromiter(map(str.isspace, all_), bool, len(all_)), np.fromiter(map(str.isalnum, all_), bool, len(all_))
+
+
+def reaches(text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last place of the reach of each at sign and digit, with the letters that end it; some coincide."""
+    starts, ends = [], []
+    at, digit = np.flatnonzero(ids == _AT), np.flatnonzero(_DIGIT[ids])
+    if len(at) or len(digit):
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        blank, alnum = _classes()
+        solid = np.flatnonzero(alnum[points])
+        for places, breaks in ((at, blank[points] if len(at) else None), (digit, ~_NUMERIC[ids] if len(digit) else None)):
+            if len(places):
+                stops = np.append(np.flatnonzero(breaks), len(ids))
+                after = np.searchsorted(stops, places)
+                before = np.where(after > 0, stops[after - 1], -1)
+                pairs = np.unique(np.stack([before, stops[after]]), axis=1)
+                left, right = np.searchsorted(solid, pairs[0], "right"), np.searchsorted(solid, pairs[1])
+                edged = np.concatenate([[0], solid, [len(ids) - 1]])
+                starts.append(edged[left])
+                ends.append(edged[right + 1])
+    return (np.concatenate(starts), np.concatenate(ends)) if starts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -211,26 +248,30 @@ class Tagger:
                 out[at : at + chunk, t] = tag
         return out
 
-    def tags(self, texts: list[str]) -> list[np.ndarray | None]:
-        """Tags of whole texts, reconciled over their windows; None where no window has a digit or at sign."""
+    def tags(self, texts: list[str], everything: bool = False) -> list[np.ndarray | None]:
+        """Tags reconciled over the windows of whole texts: of all reaches, or of ``everything``; None where none is computed."""
         found: list[np.ndarray | None] = [None] * len(texts)
-        windows, places = [], []
+        windows, places, q = [], [], STRIDE // 2
         for i, text in enumerate(texts):
             ids = char_ids(text)
             n_blocks = max(2, -(-len(ids) // STRIDE))
-            hit = np.flatnonzero(_TRIGGER[ids]) // STRIDE
-            if not len(hit):
+            if everything:
+                active = np.arange(n_blocks - 1)
+            else:
+                starts, ends = reaches(text, ids)
+                edges = np.zeros(n_blocks, np.int64)
+                np.add.at(edges, np.clip((starts - q) // STRIDE, 0, n_blocks - 2), 1)
+                np.add.at(edges, np.clip((ends - q) // STRIDE, 0, n_blocks - 2) + 1, -1)
+                active = np.flatnonzero(np.cumsum(edges))
+            if not len(active):
                 continue
-            has = np.zeros(n_blocks, bool)
-            has[hit] = True
             padded = np.zeros(n_blocks * STRIDE, np.uint8)
             padded[: len(ids)] = ids
-            active = np.flatnonzero(has[:-1] | has[1:])
             windows.append(np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[active * STRIDE])
             places.append((i, active, n_blocks, len(ids)))
         if not windows:
             return found
-        decoded, at, q = self.decode(np.concatenate(windows)), 0, STRIDE // 2
+        decoded, at = self.decode(np.concatenate(windows)), 0
         for i, active, n_blocks, n in places:
             tags = np.zeros(n_blocks * STRIDE, np.int8)
             for w, got in zip(active * STRIDE, decoded[at : at + len(active)], strict=True):
@@ -241,10 +282,10 @@ class Tagger:
             found[i] = tags[:n]
         return found
 
-    def spans(self, texts: list[str]) -> list[list[tuple[str, int, int]]]:
+    def spans(self, texts: list[str], everything: bool = False) -> list[list[tuple[str, int, int]]]:
         """Spans read from the tags, kept if they hold what their kind needs at least."""
         out = []
-        for text, tags in zip(texts, self.tags(texts), strict=True):
+        for text, tags in zip(texts, self.tags(texts, everything), strict=True):
             own = []
             if tags is not None and tags.any():
                 kind = np.where(tags > 0, (tags + 1) // 2, 0)

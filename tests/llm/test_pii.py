@@ -69,6 +69,44 @@ def test_network_finds_held_out_spans_and_joins_windows(tagger):
     assert found >= 90
 
 
+def test_spans_are_those_of_all_windows(tagger):
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyzäé"
+    some = lambda least, most: "".join(rng.choice(letters) for _ in range(rng.randint(least, most)))
+    signs = ["  ", "\n", "...", " - ", "((", "\u3000", "、", "+", "/", "—" * 40, " " * 70, "." * 60]
+    texts = []
+    for _ in range(400):
+        texts.append(f"{some(0, 300)} {'.'.join(some(5, 25) for _ in range(3))}@exämple.com {some(0, 200)}")
+        parts = [rng.choice([some(1, 90), rng.choice(signs), "555-123-4567", "(030) 123 4567", "0301/1234567", "1.2.3.4", "12", "a@b", f"{some(20, 74)}@{some(3, 60)}.org", "4111 1111 1111 1111", "@", "٣", "漢字"]) for _ in range(rng.randrange(25))]
+        texts.append(rng.choice(["", " "]).join(parts))
+    every = tagger.spans(texts, everything=True)
+    assert tagger.spans(texts) == every
+    assert sum(any(k == "email" for k, *_ in spans) for spans in every[::2]) > 200
+    assert tagger.spans(["", "7", "@", "no digit at all " * 50]) == [[], [], [], []]
+
+
+def test_network_finds_planted_spans_outside_the_patterns(tagger):
+    """Forms written for this test by rules of their own, among plain words and look-alikes that are no personal data."""
+    rng = random.Random(31)
+    words = "please call our office about the order before noon or write to the desk when it is closed again".split()
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    forms = [lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"{d(3)}-{d(3)}-{d(4)}", lambda: f"{d(3)}.{d(3)}.{d(4)}", lambda: f"0{d(3)}/{d(7)}"]
+    alike = [lambda: f"{rng.randint(1900, 2030)}-{d(2)}-{d(2)}", lambda: d(6), lambda: f"{d(1)}.{d(2)}", lambda: f"{d(2)}:{d(2)}", lambda: f"#{d(4)}"]
+    right = found = planted = 0
+    for _ in range(300):
+        text, spans = "", set()
+        for _ in range(rng.randrange(10, 60)):
+            roll = rng.random()
+            part = rng.choice(forms)() if roll < 0.05 else rng.choice(alike)() if roll < 0.1 else rng.choice(words)
+            if roll < 0.05:
+                spans.add(("phone", len(text), len(text) + len(part)))
+            text += part + " "
+        ((_, got),) = pii.all_spans([text], tagger)
+        right, found, planted = right + len(spans & set(got)), found + len(got), planted + len(spans)
+    print(f"planted {planted}, found {found}, right {right}")
+    assert right / planted >= 0.9 and right / found >= 0.9
+
+
 def test_query_equals_plain_patterns(spark, sf_dir):
     from scholia.llm.queries import op6_pii
 
