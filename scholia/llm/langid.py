@@ -7,12 +7,14 @@ means over all its windows, weighted by their bytes, so whole texts count whatev
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 #: Windows overlap by what the widest filter needs, so that it sees every place of a text.
 STRIDE = WINDOW - max(WIDTHS) + 1
+#: A letter other than a digit or underscore.
+_LETTER = re.compile(r"[^\W\d_]")
 #: About this many distinct windows per language, from any place of any text, are fetched for fitting.
 SAMPLE_WINDOWS = 1200
 _CHUNK = 64
@@ -155,11 +159,26 @@ def fold(id_col: str = "doc_id", parts: int = 4) -> F.Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def fit(docs: DataFrame, label_col: str = "lang", text_col: str = "text", sample: int = SAMPLE_WINDOWS) -> ByteConvNet:
+def gibberish(windows: list[bytes], n: int, seed: int = 11) -> list[bytes]:
+    """``n`` windows that are no language: drawn windows whose letters change places, or are drawn anew from all letters seen."""
+    rng = np.random.default_rng(seed)
+    seen = sorted({c for w in windows for c in _LETTER.findall(w.decode("utf-8", "ignore"))})
+    made = []
+    for i in range(n if seen else 0):
+        text = windows[int(rng.integers(len(windows)))].decode("utf-8", "ignore")
+        letters = _LETTER.findall(text)
+        letters = [letters[k] for k in rng.permutation(len(letters))] if i % 2 else [seen[k] for k in rng.integers(0, len(seen), len(letters))]
+        left = iter(letters)
+        made.append(_LETTER.sub(lambda _, left=left: next(left), text).encode("utf-8")[:WINDOW])
+    return made
+
+
+def fit(docs: DataFrame, label_col: str = "lang", text_col: str = "text", sample: int = SAMPLE_WINDOWS, reject: bool = False) -> ByteConvNet:
     """Fit on about ``sample`` distinct windows of each label, from anywhere in the texts; null labels and texts don't count.
 
     A window is chosen by a hash of its text's hash and its place, at a rate from the number of windows of the label in
     all rows; windows of copies are fetched once, so copies can't swell the sample. Each label has one window at least.
+    With ``reject`` the network also learns ``und`` from ``sample`` windows of gibberish made of those fetched.
     """
     rows = docs.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text"))
     n = F.greatest(F.lit(1), F.ceil((F.octet_length("text") - WINDOW) / STRIDE) + 1)
@@ -174,6 +193,8 @@ def fit(docs: DataFrame, label_col: str = "lang", text_col: str = "text", sample
     chosen = rows.select("label", F.explode(F.transform(places, window)).alias("window")).distinct()
     one = rows.groupBy("label").agg(F.min_by(window(F.lit(0)), "h").alias("window"))
     got = sorted((r["label"], bytes(r["window"])) for r in chosen.unionByName(one).distinct().collect())
+    if reject:
+        got += [(UNKNOWN, w) for w in gibberish([w for _, w in got], sample)]
     return train([w for _, w in got], [k for k, _ in got])
 
 
@@ -190,16 +211,32 @@ def predict(docs: DataFrame, net: ByteConvNet, id_col: str = "doc_id", text_col:
     return rows.mapInArrow(run, "id long, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, net: ByteConvNet, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """Rows of ``docs`` whose whole text has a language with a score of ``least`` or more; columns stay."""
+def stays(label: str, score: float, n_bytes: int, least: float, gibberish: float) -> bool:
+    """Whether a text passes; ``und`` with a score above 0 comes from a network that was fitted to reject.
+
+    A text shorter than a window is too little to be called gibberish and stays.
+    """
+    if label != UNKNOWN:
+        return score >= least
+    return score > 0 and (score < gibberish or n_bytes < WINDOW)
+
+
+def keep_identified(docs: DataFrame, net: ByteConvNet, text_col: str = "text", least: float = 0.5, gibberish: float = 0.95) -> DataFrame:
+    """Rows of ``docs`` that pass; columns stay.
+
+    A whole text's language needs a score of ``least``; ``und`` goes from a score of ``gibberish``, if the text fills a
+    window; null texts and texts without a letter go.
+    """
     schema = docs.schema
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices_at(batch, at, 2 << 20):
-                labels, scores = net.predict(part.column(at).to_pylist())
-                good = [k != UNKNOWN and s >= least for k, s in zip(labels, scores, strict=True)]
+                texts = part.column(at)
+                labels, scores = net.predict(texts.to_pylist())
+                sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+                good = [stays(k, s, n, least, gibberish) for k, s, n in zip(labels, scores, sizes, strict=True)]
                 yield part.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(run, schema)
