@@ -82,3 +82,19 @@ def test_edge_texts_nulls_and_clashing_columns(spark):
     assert langid.predict(df.limit(0), net).count() == 0
     nothing = langid.fit(spark.createDataFrame([(1, "x", None)], "doc_id long, text string, lang string"))
     assert [r.lang_pred for r in langid.predict(df, nothing).collect()] == ["und"] * 6
+
+
+def test_a_network_fitted_to_reject_drops_gibberish_and_keeps_texts(spark, sf_dir):
+    """Random letters go; documents held out, short texts and those whose language is told stay."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    net = langid.fit(docs.where(langid.fold() != 2), reject=True)
+    assert langid.UNKNOWN in net.labels
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(rng.integers(2, 10))))
+    odd = [" ".join(word() for _ in range(n)) for n in (60, 100, 400) for _ in range(20)]
+    rows = [(i, t) for i, t in enumerate([*odd, "xq zvw", None, "", "12 !", "_ 3"])]
+    kept = {r.doc_id for r in langid.keep_identified(spark.createDataFrame(rows, "doc_id long, text string"), net, least=0.24).collect()}
+    assert len(odd) in kept and not kept & set(range(len(odd) + 1, len(rows))) and len(kept) <= 0.1 * len(odd) + 1
+    clean = docs.where(langid.fold() == 2)
+    assert langid.keep_identified(clean, net, least=0.24).count() >= 0.995 * clean.count()
+    assert langid.gibberish([], 5) == [] and langid.gibberish([b"12"], 5) == []

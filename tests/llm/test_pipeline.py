@@ -19,10 +19,12 @@ def test_every_stage_on_its_own_input_and_the_whole(spark, sf_dir):
         assert name == "tokens" or seen[-1].columns == columns
     raw, spoken, unique, masked, mixed, tokens = [df.collect() for df in seen]
 
-    net = langid.fit(docs)
+    net = langid.fit(docs, reject=True)
     labels, scores = net.predict([r.text for r in raw])
-    assert {r.doc_id for r in spoken} == {r.doc_id for r, k, s in zip(raw, labels, scores, strict=True) if k != "und" and s >= corpus_pipeline.LEAST_RATIO / len(net.labels)}
-    assert len(spoken) > 0.97 * len(raw)
+    least = corpus_pipeline.LEAST_RATIO / (len(net.labels) - 1)
+    passes = lambda r, k, s: s >= least if k != "und" else s > 0 and (s < corpus_pipeline.GIBBERISH or len(r.text.encode()) < langid.WINDOW)
+    assert {r.doc_id for r in spoken} == {r.doc_id for r, k, s in zip(raw, labels, scores, strict=True) if passes(r, k, s)}
+    assert len(spoken) > 0.995 * len(raw)
 
     # By definition: of texts linked over pairs of a similarity of 0.8 or more of their five-word shingles one stays.
     assert {r.doc_id for r in unique} == brute_kept([(r.doc_id, r.text) for r in sorted(spoken, key=lambda r: r.doc_id)])
@@ -50,6 +52,16 @@ def test_every_stage_on_its_own_input_and_the_whole(spark, sf_dir):
     assert sorted(map(tuple, whole)) == sorted((r.doc_id, r.ids_sha256) for r in tokens)
 
 
+def test_language_stage_drops_planted_gibberish(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(rng.integers(2, 10))))
+    odd = spark.createDataFrame([(-1 - i, " ".join(word() for _ in range(120))) for i in range(30)], "doc_id long, text string")
+    both = docs.unionByName(odd, allowMissingColumns=True)
+    kept = [r.doc_id for r in corpus_pipeline.identify_language(spark, both, sf_dir).select("doc_id").collect()]
+    assert sum(i < 0 for i in kept) <= 2 and sum(i >= 0 for i in kept) > 0.995 * docs.count()
+
+
 def test_stages_stand_empty_tables_nulls_and_clashing_columns(spark, sf_dir):
     rows = [(1, "the cat and the dog went home again", "en", "s", 35, 1), (1, "the cat and the dog went home again", "en", "s", 35, 1), (2, None, None, None, None, 2), (3, "", "en", None, 0, 3), (None, "le chat et le chien sont a@b.fr ici", "fr", "t", 36, 4)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, __key int").withColumn("row", F.lit(1)).withColumn("draw", F.lit("x")).withColumn("h", F.lit(2))
