@@ -192,10 +192,79 @@ def successors(g: Graph) -> DataFrame:
         steps *= 2
 
 
+def _doubled(links: DataFrame) -> DataFrame:
+    """``(id, ptr, root, dist, n)`` for links ``(id, next)``, at most one per id, over the ids at either end.
+
+    Each round an entry takes over what its pointer's entry knows, so pointers reach twice as far: ``root`` is the last
+    entry reached, ``dist`` the links walked, ``n`` the entries that walk into this one, itself included. One row per entry
+    is kept, and the number of rounds is the logarithm of the longest chain. Rounds end once no pointer is left, or as many
+    as the round before: then those left run into a circle, since a longer chain would have ended some of its pointers.
+    """
+    ids = links.select("id").union(links.select("next")).distinct()
+    now = ids.join(links, "id", "left").select("id", F.col("next").alias("ptr"), F.coalesce("next", "id").alias("root"), F.col("next").isNotNull().cast("long").alias("dist"), F.lit(1).cast("long").alias("n"))
+    now, before = durable(now), -1
+    while (left := now.where("ptr is not null").count()) not in (0, before):
+        before = left
+        ahead = now.select(F.col("id").alias("ptr"), F.col("ptr").alias("p"), F.col("root").alias("r"), F.col("dist").alias("d"))
+        into = now.where("ptr is not null").groupBy(F.col("ptr").alias("id")).agg(F.sum("n").alias("more"))
+        step = now.join(ahead, "ptr", "left").join(into, "id", "left")
+        now = durable(step.select("id", F.col("p").alias("ptr"), F.coalesce("r", "root").alias("root"), (F.col("dist") + F.coalesce("d", F.lit(0))).alias("dist"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")))
+    return now
+
+
+def _circled(links: DataFrame, into: DataFrame) -> DataFrame:
+    """``(id, next, circle)`` for the members of circles; ``into`` are the links of entries that run into one, ``circle`` is its smallest id."""
+    far, steps, n = durable(into.select("id", F.col("next").alias("ptr"))), 1, into.count()
+    # After as many steps as there are entries every walk is on its circle, and every member is where some walk stands.
+    while steps < n:
+        far = durable(far.join(far.select(F.col("id").alias("ptr"), F.col("ptr").alias("p")), "ptr").select("id", F.col("p").alias("ptr")))
+        steps *= 2
+    on = durable(links.join(far.select(F.col("ptr").alias("id")).distinct(), "id", "left_semi"))
+    least, steps, n = durable(on.select("id", F.col("next").alias("ptr"), F.least("id", "next").alias("low"))), 1, on.count()
+    while steps < n:
+        ahead = least.select(F.col("id").alias("ptr"), F.col("ptr").alias("p"), F.col("low").alias("l"))
+        least = durable(least.join(ahead, "ptr").select("id", F.col("p").alias("ptr"), F.least("low", "l").alias("low")))
+        steps *= 2
+    return durable(on.join(least.select("id", F.col("low").alias("circle")), "id"))
+
+
+def _replacements(g: Graph) -> DataFrame:
+    return durable(g.edges.where("kind = 'superseded_by' and src <> dst").select(F.col("src").alias("id"), F.col("dst").alias("next")).distinct())
+
+
+def _circles(links: DataFrame, walked: DataFrame) -> DataFrame | None:
+    into = durable(links.join(walked.where("ptr is not null").select("id"), "id", "left_semi"))
+    return None if into.isEmpty() else _circled(links, into)
+
+
+def chains(g: Graph) -> DataFrame:
+    """``(id, current, n_ancestors)``: the last entry of each entry's chain before it repeats, and how many entries lead to it.
+
+    Only one row per entry is kept, however long the chains are: circles are found first and opened, what is left is a
+    forest whose roots are ends of chains and members of circles.
+    """
+    links = _replacements(g)
+    walked = _doubled(links)
+    circles = _circles(links, walked)
+    if circles is None:
+        found = walked.select("id", F.col("root").alias("current"), (F.col("n") - 1).alias("older"))
+    else:
+        on = circles.select(F.col("id").alias("root"), "circle")
+        open_ = _doubled(links.join(circles.select("id"), "id", "left_anti"))
+        trees = links.select("id").union(links.select("next")).distinct().join(open_, "id", "left").select("id", F.coalesce("root", "id").alias("root"), F.coalesce("n", F.lit(1)).alias("n"))
+        trees = durable(trees.join(on, "root", "left"))
+        whole = trees.where("id = root and circle is not null").groupBy("circle").agg(F.sum("n").alias("all"))
+        # A walk goes round its circle to the entry before the one where it came in.
+        last = circles.select(F.col("next").alias("root"), F.col("id").alias("last"))
+        joined = trees.join(whole, "circle", "left").join(last, "root", "left")
+        older = F.when((F.col("id") == F.col("root")) & F.col("circle").isNotNull(), F.col("all") - 1).otherwise(F.col("n") - 1)
+        found = joined.select("id", F.coalesce("last", "root").alias("current"), older.alias("older"))
+    return g.nodes.select("id").join(found, "id", "left").select("id", F.coalesce("current", "id").alias("current"), F.coalesce("older", F.lit(0)).alias("n_ancestors"))
+
+
 def current(g: Graph) -> DataFrame:
     """``(id, current)``: the last entry of each entry's chain, itself without one."""
-    last = successors(g).groupBy("id").agg(F.max_by("successor", "step").alias("last"))
-    return g.nodes.select("id").join(last, "id", "left").select("id", F.coalesce("last", "id").alias("current"))
+    return chains(g).select("id", "current")
 
 
 def ancestors(g: Graph) -> DataFrame:
@@ -205,14 +274,15 @@ def ancestors(g: Graph) -> DataFrame:
 
 def cycles(g: Graph) -> DataFrame:
     """``(id, cycle)`` for every member of a circle of replacements; the circle is written from its smallest id."""
-    nxt = g.edges.where("kind = 'superseded_by'").select(F.col("src").alias("successor"), F.col("dst").alias("id"))
-    walked = successors(g)
-    members = walked.join(walked.join(nxt, ["id", "successor"], "left_semi").select("id"), "id", "left_semi")
-    path = F.transform(F.array_sort(F.collect_list(F.struct("step", "successor"))), lambda x: x["successor"])
-    # The smallest member is on the circle, so one start is enough.
-    found = members.groupBy("id").agg(F.min("successor").alias("least"), path.alias("path")).where("id < least")
-    found = found.select(F.concat(F.array("id"), "path").alias("path"))
-    return found.select(F.explode("path").alias("id"), F.array_join(F.array_append("path", F.col("path")[0]), " → ").alias("cycle"))
+    links = _replacements(g)
+    circles = _circles(links, _doubled(links))
+    if circles is None:
+        return g.nodes.select("id", F.lit("").alias("cycle")).limit(0)
+    # Opened behind its smallest id, a circle is a chain: the way that is left to that id gives each member its place.
+    left = _doubled(circles.where("id <> circle").select("id", "next")).select("id", "dist")
+    placed = circles.join(left, "id").groupBy("circle").agg(F.array_sort(F.collect_list(F.struct((-F.when(F.col("id") != F.col("circle"), F.col("dist"))).alias("place"), "id"))).alias("path"))
+    path = F.concat(F.array("circle"), F.filter(F.transform("path", lambda x: x["id"]), lambda i: i != F.col("circle")))
+    return placed.select(path.alias("path")).select(F.explode("path").alias("id"), F.array_join(F.array_append("path", F.col("path")[0]), " → ").alias("cycle"))
 
 
 def would_cycle(g: Graph, old: str, new: str) -> bool:

@@ -155,9 +155,7 @@ _CHAIN = ", chain as (select * from (with recursive r(a, b, path) as (select d,
 
 @query("lineage_current", _CHAIN + " select e.id, coalesce((select k.id from chain c join names k on k.d = c.b where c.a = e.d order by steps desc limit 1), e.id) as current, (select count(*) from chain c where c.b = e.d) as n_ancestors from e")
 def lineage_current(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = _graph(spark, sf_dir)
-    older = graph.ancestors(g).groupBy("id").agg(F.count("*").alias("n"))
-    return graph.current(g).join(older, "id", "left").select("id", "current", F.coalesce("n", F.lit(0)).alias("n_ancestors"))
+    return graph.chains(_graph(spark, sf_dir))
 
 
 _CYCLES = ", cyc as (select least(a.id, b.id) as lo, greatest(a.id, b.id) as hi, a.id from e join names a on a.d = e.d join names b on b.d = e.succ where e.d % 200 in (140, 150))"
