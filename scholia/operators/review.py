@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.functions import notes as fn
@@ -89,6 +89,18 @@ def summary(notes: DataFrame, g: Graph) -> DataFrame:
     return by_status.select(F.concat(F.lit("status_"), "s").alias("metric"), "value").unionByName(mean)
 
 
+def leaders(notes: DataFrame, g: Graph, most: int = 10) -> DataFrame:
+    """``(metric, place, name, n)``: the entries that most links lead to and the tags used most, ``most`` of each; ties by name."""
+    linked = g.inner_edges().groupBy(F.col("dst").alias("name")).agg(F.count("*").alias("n"))
+    used = notes.select(F.explode("tags").alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+
+    def top(rows: DataFrame, metric: str) -> DataFrame:
+        few = rows.orderBy(F.desc("n"), "name").limit(most)
+        return few.select(F.lit(metric).alias("metric"), F.row_number().over(Window.orderBy(F.desc("n"), "name")).alias("place"), "name", "n")
+
+    return top(linked, "most_linked").unionByName(top(used, "most_used_tag"))
+
+
 def repairs(g: Graph, lost: DataFrame) -> DataFrame:
     """``(id, target, proposal)``: for a broken target, the only entry of the same file name elsewhere."""
     names = g.nodes.groupBy(fn.file_name(F.col("id")).alias("name")).agg(F.min("id").alias("proposal"), F.count("*").alias("n")).where("n = 1")

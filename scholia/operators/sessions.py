@@ -110,9 +110,12 @@ def link_lines(entries: DataFrame) -> DataFrame:
     return own.select("relpath", "lineno", "text", "target", F.col("issue").isNotNull().alias("annotated"), F.coalesce(F.concat(F.lit("#"), "issue"), F.lit("")).alias("issue"))
 
 
-def link_check(entries: DataFrame, root: str = "/base/a/b/entries") -> DataFrame:
-    """Links of link_lines whose target neither the own folder nor the root has: ``(relpath, lineno, target, state)``."""
-    files = entries.select(F.concat(F.lit(root + "/"), "relpath").alias("path"))
+def link_check(entries: DataFrame, root: str = "/base/a/b/entries", files: DataFrame | None = None) -> DataFrame:
+    """Links of link_lines whose target neither the own folder nor the root has: ``(relpath, lineno, target, state)``.
+
+    ``files``: the ``relpath`` of all that is there, if that is more than ``entries``; distinct.
+    """
+    files = (entries if files is None else files).select(F.concat(F.lit(root + "/"), "relpath").alias("path"))
     links = link_lines(entries)
     near = fn.normal_path(F.concat(F.lit(root + "/"), fn.folder(F.col("relpath")), F.lit("/"), "target"))
     links = links.withColumn("p1", near).withColumn("p2", fn.normal_path(F.concat(F.lit(root + "/"), "target")))
@@ -130,11 +133,20 @@ def is_generated_worktree(path: F.Column) -> F.Column:
     return path.rlike(r"/\.claude/worktrees/(agent-[0-9a-f]{16,}|wf_[A-Za-z0-9-]+-[0-9]+)(/|$)")
 
 
+def entry_path(path: Column) -> Column:
+    """An entry's path below the folder of entries; null for a path outside it or of another kind of file."""
+    below = F.regexp_extract(path, r"^(?:.*?)/\.claude/knowledge/entries/(.+\.md)$", 1)
+    return F.nullif(below, F.lit(""))
+
+
 def change_lines(events: DataFrame) -> DataFrame:
     """``(session, ts, line)`` of write and edit events; temporary files and the log's own files leave none."""
     cut = lambda c: F.regexp_replace(F.substring(F.coalesce(c, F.lit("")), 1, 80), "\n", " ")
-    line = F.when(F.col("tool") == "Write", F.concat(F.lit("- wrote "), "path")).when(F.col("tool") == "Edit", F.concat(F.lit("- edited "), "path", F.lit(": "), cut(F.col("old")), F.lit(" → "), cut(F.col("new"))))
-    own = ~F.col("path").rlike(r"^(/tmp|/dev)") & ~F.col("path").rlike(r"(^|/)context-[^/]*\.md$")
+    # The form of a line.
+    head = lambda tool: F.concat(F.lit("- `"), F.date_format("ts", "HH:mm"), F.lit(f"` **{tool}** `"), "path", F.lit("`"))
+    edit = F.concat(head("Edit"), F.lit(" — `"), cut(F.col("old")), F.lit("` → `"), cut(F.col("new")), F.lit("`"))
+    line = F.when(F.col("tool") == "Write", head("Write")).when(F.col("tool") == "Edit", edit)
+    own = ~F.col("path").rlike(r"^(/tmp|/dev)") & ~F.col("path").rlike(r"(^|/)context-[^/]*\.md$") & (F.col("path") != "")
     return events.where(own).select("session", "ts", line.alias("line")).where("line is not null")
 
 

@@ -426,6 +426,16 @@ def review_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.summary(_notes(spark, sf_dir), _graph(spark, sf_dir))
 
 
+@query(
+    "review_leaders",
+    """, linked as (select k.id as name, count(*) as n from edges join names k on k.d = edges.t group by all), used as (select tag as name, count(*) as n from (select unnest(tags) as tag from e) group by tag),
+    ranked as (select 'most_linked' as metric, row_number() over (order by n desc, name) as place, name, n from linked union all select 'most_used_tag', row_number() over (order by n desc, name), name, n from used)
+    select metric, place::int as place, name, n from ranked where place <= 10""",
+)
+def review_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.leaders(_notes(spark, sf_dir), _graph(spark, sf_dir))
+
+
 @query("review_related", "select id as relpath, len(list_intersect(tags, ['#m3', '#p5', '#lang-fr'])) as shared from e where status not in ('deprecated', 'superseded') and len(list_intersect(tags, ['#m3', '#p5', '#lang-fr'])) > 0")
 def review_related(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.related(_notes(spark, sf_dir), ["#m3", "#p5", "#lang-fr"])
@@ -838,6 +848,46 @@ def context_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.guard(e.select("session", "size", (F.col("m") % 3 == 0).alias("already_blocked"), F.when(F.col("m") % 5 == 0, 60).alias("last_write_age_s")))
 
 
+@query(
+    "guard_first_blocks",
+    """, seen as (select user_id as session, case when event_type = 'purchase' then 'write' else 'grow' end as kind, epoch_us(ts) as us, event_id % 1000 * 40 as bytes from events where user_id is not null and ts is not null),
+    gone as (select *, sum(bytes) over before as size, max(case when kind = 'write' then us end) over before as wrote, count(*) over before as n_events from seen
+      window before as (partition by session order by us, kind desc, bytes rows unbounded preceding)),
+    due as (select *, row_number() over (partition by session order by n_events) as k from gone where size >= 307200 and (wrote is null or us - wrote > 2700000000))
+    select session, size::bigint as size, n_events from due where k = 1""",
+)
+def guard_first_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each user's log is blocked, with purchases as writes; ``streaming.events.guard_stream`` gives the same of a stream."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("user_id as session", "ts", "if(event_type = 'purchase', 'write', 'grow') as kind", "event_id % 1000 * 40 as bytes")
+    return events.first_blocks(e).select("session", "size", "n_events")
+
+
+@query(
+    "write_stages",
+    _MASKED + """, split2 as (select d, id, case when d % 3 = 1 then 1 else 0 end as batch from e),
+    lost as (select l.d, count(*) as n from lines l where t in (-2, -3) or l.d % 3 <> 1 and t >= 0 and t % 3 = 1 group by l.d)
+    select b.batch, b.id as relpath, sha256(replace(t, 'KEEP', '‹redacted›')) as text_sha, coalesce(lost.n, 0) as n_lost,
+    '- `' || lpad(((b.d // 60) % 24)::varchar, 2, '0') || ':' || lpad((b.d % 60)::varchar, 2, '0') || '` **Write** `/base/.claude/knowledge/entries/' || b.id || '`' as line
+    from split2 b join masked m on m.d = b.d left join lost on lost.d = b.d""",
+)
+def write_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All notes as write events of two runs of a stream, each followed by redaction, log and link check; links to notes of the second run are lost in the first."""
+    told = corpus.entries(spark, sf_dir).withColumn("d", F.expr(_D))
+    at = F.expr("concat('2026-01-05T', lpad(d div 60 % 24, 2, '0'), ':', lpad(d % 60, 2, '0'), ':00')")
+    said = F.struct(F.lit("s").alias("session_id"), at.alias("timestamp"), F.lit("Write").alias("tool_name"), F.struct(F.concat(F.lit("/base/.claude/knowledge/entries/"), "relpath").alias("file_path"), "content").alias("tool_input"))
+    told = written(told.select("d", F.to_json(said).alias("value")))
+    source, place = own_folder(spark, "events"), own_folder(spark, "stream")
+    stages = events.WriteStages(spark, own_folder(spark, "stages"))
+    for part in ("d % 3 <> 1", "d % 3 = 1"):
+        told.where(part).select("value").write.mode("append").option("compression", "gzip").text(source)
+        stages.start(events.event_source(spark, source), place).awaitTermination()
+    name = F.expr("regexp_extract(line, 'entries/(.*)`$', 1)")
+    lines = stages.read("log").select("batch", name.alias("relpath"), "line")
+    lost = stages.read("links").groupBy("relpath").agg(F.count("*").alias("n"))
+    texts = stages.read("redacted").select("batch", "relpath", F.sha2("content", 256).alias("text_sha"))
+    return texts.join(lines, ["batch", "relpath"]).join(lost, "relpath", "left").select("batch", "relpath", "text_sha", F.coalesce("n", F.lit(0)).alias("n_lost"), "line")
+
+
 @query("page_links", "select page_id, len(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) as n from pages")
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.size(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), 1)).alias("n"))

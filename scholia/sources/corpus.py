@@ -3,39 +3,86 @@
 from __future__ import annotations
 
 import os
+import stat
 from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scholia.plans.lineage import written
+
 #: A note that describes the folder and is never an entry.
 EXCLUDED = "CLAUDE.md"
 
 
-def scan_folder(spark: SparkSession, root: str, errors: str = "replace") -> DataFrame:
-    """All ``*.md`` files under ``root`` but the excluded name, in text mode; hidden and empty files included.
+_LISTED = "path string, folder boolean, size long, us long"
+
+
+def list_folder(spark: SparkSession, root: str) -> DataFrame:
+    """``(relpath, size, modified_at)`` of every file below ``root``, hidden and empty ones included; links to folders aren't followed.
 
-    The driver lists the names; tasks read the files, so ``root`` must be visible to every executor.
+    Folders are listed by tasks, one level a job: the driver learns only how many there are. ``root`` must be visible to every
+    executor. A file that goes away while it is listed has null size and time; a folder that can't be read fails the job.
     """
-    found = []
-    for folder, _, names in os.walk(root):
-        found += [(os.path.relpath(os.path.join(folder, n), root), os.path.join(folder, n)) for n in names if n.endswith(".md") and n != EXCLUDED]
+    root = os.path.abspath(root)
+
+    def listed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for folder in (f for part in parts for f in part["path"]):
+            with os.scandir(folder) as found:
+                while rows := [_described(e) for e in islice(found, 10_000)]:
+                    yield pd.DataFrame(rows, columns=["path", "folder", "size", "us"]).astype({"size": "Int64", "us": "Int64"})
+
+    level, n, levels = spark.createDataFrame([(root,)], "path string"), 1, []
+    while n:
+        found = written(level.repartition(min(n, 2_000)).mapInPandas(listed, _LISTED))
+        levels.append(found.where("not folder"))
+        level = found.where("folder").select("path")
+        n = level.count()
+    files = reduce(DataFrame.unionAll, levels)
+    return files.select(F.expr(f"substring(path, {len(root.rstrip('/')) + 2})").alias("relpath"), "size", F.timestamp_micros("us").alias("modified_at"))
+
+
+def _described(entry: os.DirEntry) -> tuple:
+    if entry.is_dir(follow_symlinks=False):
+        return entry.path, True, None, None
+    try:
+        about = entry.stat()
+    except OSError:
+        return entry.path, False, None, None
+    # A link to a folder is neither.
+    return entry.path, None if stat.S_ISDIR(about.st_mode) else False, about.st_size, about.st_mtime_ns // 1000
+
+
+def entry_files(files: DataFrame) -> DataFrame:
+    """Those of ``list_folder`` that are entries: ``*.md`` but the excluded name."""
+    return files.where(F.col("relpath").endswith(".md") & (F.substring_index("relpath", "/", -1) != EXCLUDED))
+
+
+def newest_write(files: DataFrame) -> DataFrame:
+    """``(modified_at)``, one row: when an entry was last written, null if there is none."""
+    return entry_files(files).agg(F.max("modified_at").alias("modified_at"))
+
+
+def scan_folder(spark: SparkSession, root: str, errors: str = "replace") -> DataFrame:
+    """``(relpath, content, modified_at)`` of all entries below ``root``, read in text mode by tasks; hidden and empty files included."""
+    root = os.path.abspath(root)
+    found = entry_files(list_folder(spark, root))
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            texts = []
-            for path in part["path"]:
-                with open(path, encoding="utf-8", errors=errors) as f:
-                    texts.append(f.read())
-            stamps = pd.to_datetime([int(os.path.getmtime(p) * 1e6) for p in part["path"]], unit="us")
-            yield pd.DataFrame({"relpath": part["relpath"], "content": texts, "modified_at": stamps})
-
-    schema = "relpath string, content string, modified_at timestamp"
-    if not found:
-        return spark.createDataFrame([], schema)
-    listed = spark.createDataFrame(sorted(found), "relpath string, path string")
-    return listed.repartition(max(1, len(found) // 200)).mapInPandas(read, schema)
+            for at in range(0, len(part), 200):
+                some = part.iloc[at : at + 200]
+                texts = []
+                for name in some["relpath"]:
+                    with open(os.path.join(root, name), encoding="utf-8", errors=errors) as f:
+                        texts.append(f.read())
+                yield pd.DataFrame({"relpath": some["relpath"].to_numpy(), "content": texts, "us": some["us"].to_numpy()})
+
+    rows = found.select("relpath", F.unix_micros("modified_at").alias("us")).repartition(min(max(1, found.count() // 200), 20_000))
+    return rows.mapInPandas(read, "relpath string, content string, us long").select("relpath", "content", F.timestamp_micros("us").alias("modified_at"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Small notes with known answers: metadata profiles, graph fixtures, writers, privacy, sessions, snapshots."""
 
+import os
 import re
 import string
 
@@ -211,8 +212,8 @@ def test_sessions(spark):
     assert sessions.active_task(lines, spark.createDataFrame([("t/one",), ("t/two",)], "path string")).first().path == "t/one"
     paths = spark.createDataFrame([("/r/.claude/worktrees/agent-0123456789abcdef",), ("/r/.claude/worktrees/wf_a-1/x",), ("/r/.claude/worktrees/agent-123",), ("/r/worktrees/agent-0123456789abcdef",)], "p string")
     assert [r[0] for r in paths.select(sessions.is_generated_worktree(F.col("p"))).collect()] == [True, True, False, False]
-    events = spark.createDataFrame([("s", 1, "Write", "/a/b", None, None), ("s", 2, "Edit", "/a/b", "x\ny", "z"), ("s", 3, "Write", "/tmpx", None, None), ("s", 4, "Read", "/a", None, None)], "session string, ts int, tool string, path string, old string, new string")
-    assert [r.line for r in sessions.change_lines(events).orderBy("ts").collect()] == ["- wrote /a/b", "- edited /a/b: x y → z"]
+    events = spark.createDataFrame([("s", 1, "Write", "/a/b", None, None), ("s", 2, "Edit", "/a/b", "x\ny", "z"), ("s", 3, "Write", "/tmpx", None, None), ("s", 4, "Read", "/a", None, None)], "session string, ts int, tool string, path string, old string, new string").withColumn("ts", F.timestamp_seconds("ts"))
+    assert [r.line for r in sessions.change_lines(events).orderBy("ts").collect()] == ["- `00:00` **Write** `/a/b`", "- `00:00` **Edit** `/a/b` — `x y` → `z`"]
     found = sessions.mentioned_paths(spark.createDataFrame([('{"file_path": "/w/a.py"} {"file_path":"/tmp/x"}',)], "line string"))
     assert [r.path for r in found.collect()] == ["/w/a.py"]
 
@@ -260,6 +261,23 @@ def test_folder_scan_keeps_hidden_empty_and_odd_files(spark, tmp_path):
     assert {r.relpath: r.content for r in corpus.scan_folder(spark, str(tmp_path)).collect()} == {"a b.md": "x\ny", "_h/z.md": "", ".c/日.md": "�"}
     (tmp_path / "empty").mkdir()
     assert corpus.scan_folder(spark, str(tmp_path / "empty")).count() == 0
+    assert corpus.newest_write(corpus.list_folder(spark, str(tmp_path / "empty"))).first().modified_at is None
+
+
+def test_folder_listing_of_many_files_and_newest_write(spark, tmp_path):
+    for i in range(40):
+        (tmp_path / f"d{i % 8}" / f"e{i}").mkdir(parents=True)
+        for k in range(500):
+            (tmp_path / f"d{i % 8}" / f"e{i}" / f"{k}.md").touch()
+    (tmp_path / "d0" / "loop").symlink_to(tmp_path)
+    (tmp_path / "gone.md").symlink_to(tmp_path / "nothing")
+    (tmp_path / "CLAUDE.md").write_text("newest, but no entry")
+    os.utime(tmp_path / "d3" / "e3" / "7.md", ns=(0, 4_000_000_000_123_456_000))
+    os.utime(tmp_path / "CLAUDE.md", ns=(0, 4_100_000_000_000_000_000))
+    files = corpus.list_folder(spark, str(tmp_path))
+    assert (files.count(), files.select("relpath").distinct().count(), corpus.entry_files(files).count()) == (20_002, 20_002, 20_001)
+    assert {(r.relpath, r.size) for r in files.where("size is null or size > 0").collect()} == {("CLAUDE.md", 20), ("gone.md", None)}
+    assert corpus.newest_write(files).select(F.unix_micros("modified_at")).first()[0] == 4_000_000_000_123_456
 
 
 def test_stats_and_json(spark, base):

@@ -1,6 +1,13 @@
+import json
+import random
+import zlib
+
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from scholia.functions import notes
+from scholia.operators import sessions
 from scholia.streaming import events
 
 
@@ -44,3 +51,73 @@ def test_write_stages_in_order(spark):
     got = events.write_event_stages(spark.createDataFrame([("a.md", "mail me@x.org\n/home/me/x [g](gone.md)")], "relpath string, content string"))
     assert got["redacted"].first().content.startswith("mail ‹redacted›")
     assert [r.kind for r in got["leaks"].collect()] == ["home-path"] and [r.target for r in got["links"].collect()] == ["gone.md"]
+
+
+def _guard_events():
+    """Events of 30 sessions over two days, with ties, nulls and sessions that never grow large."""
+    draw = random.Random(5)
+    base = 1_767_225_600
+    rows = [(f"s{draw.randrange(30)}", base + draw.randrange(0, 172_800, 60), draw.choice(["write", "grow", "grow", "grow", None]), draw.choice([0, 1, 30_000, 60_000, None])) for _ in range(900)]
+    return rows, base
+
+
+def test_late_and_unordered_events_give_what_the_batch_gives(spark, tmp_path):
+    rows, base = _guard_events()
+    rows.sort(key=lambda r: (r[1] // 7200, zlib.crc32(str(r).encode())))  # out of order within two hours
+    schema = "session string, at long, kind string, bytes long"
+    typed = lambda df: df.select("session", F.timestamp_seconds("at").alias("ts"), "kind", "bytes")
+    source, found = str(tmp_path / "in"), str(tmp_path / "out")
+    # Six files, each a run of its own that goes on from the checkpoint; the last moves the watermark past all others.
+    parts = [rows[i : i + 180] for i in range(0, 900, 180)] + [[("clock", base + 400_000, "grow", 0)]]
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = typed(spark.readStream.schema(schema).parquet(source))
+        q = events.guard_stream(stream, late="3 hours").writeStream.format("parquet").option("path", found).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    keys = lambda df: sorted((r.session, r.ts, r.size, r.n_events) for r in df.collect())
+    want = keys(events.first_blocks(typed(spark.createDataFrame(rows, schema))))
+    assert len(want) > 10 and keys(spark.read.parquet(found)) == want
+
+
+def test_guard_drops_late_events_and_forgets_silent_sessions(spark, tmp_path):
+    schema, source, found = "session string, ts timestamp, kind string, bytes long", str(tmp_path / "in"), str(tmp_path / "out")
+    runs = [
+        [("a", "2026-01-01 00:00:00", "grow", 400_000), ("b", "2026-01-01 00:00:00", "grow", 1)],
+        [("z", "2026-01-01 06:00:00", "grow", 0)],
+        [("b", "2026-01-01 01:00:00", "grow", 900_000)],  # too late
+        [("z", "2026-01-05 00:00:00", "grow", 0)],  # a and b are forgotten
+        [("a", "2026-01-05 00:00:00", "grow", 400_000), ("z", "2026-01-05 02:00:00", "grow", 0)],
+    ]
+    for part in runs:
+        spark.createDataFrame(part, "session string, at string, kind string, bytes long").select("session", F.col("at").cast("timestamp").alias("ts"), "kind", "bytes").coalesce(1).write.mode("append").parquet(source)
+        stream = events.guard_stream(spark.readStream.schema(schema).parquet(source), keep_s=86_400)
+        stream.writeStream.format("parquet").option("path", found).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination(120)
+    assert sorted((r.session, str(r.ts), r.n_events) for r in spark.read.parquet(found).collect()) == [("a", "2026-01-01 00:00:00", 1), ("a", "2026-01-05 00:00:00", 1)]
+
+
+def test_event_stages_keep_their_order_over_a_restart(spark, tmp_path, monkeypatch):
+    source = tmp_path / "in"
+    source.mkdir()
+    where = "/p/.claude/knowledge/entries/"
+    tell = lambda tool, path, at, **own: json.dumps({"session_id": "s", "timestamp": f"2026-01-01T{at}:00", "tool_name": tool, "tool_input": {"file_path": path, **own}})
+    (source / "0.json").write_text("\n".join([tell("Write", where + "a.md", "09:30", content="mail me@x.org [b](b.md) [c](c.md)"), tell("Write", where + "a.md", "09:00", content="old [x](x.md)"), tell("Edit", "/p/code.py", "10:00", old_string="a\nb", new_string="c"), tell("Write", "/tmp/x", "10:00", content="t"), tell("Read", where + "z.md", "10:00"), "no json", "[1]", ""]))
+    stages, broken = events.WriteStages(spark, str(tmp_path / "out")), []
+    whole = sessions.change_lines
+
+    def failing(df):
+        broken.append(1)
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(sessions, "change_lines", failing)
+    q = stages.start(events.event_source(spark, str(source)), str(tmp_path / "ck"))
+    with pytest.raises(StreamingQueryException):
+        q.awaitTermination(120)
+    assert broken and stages.read("redacted").count() == 1 and not (tmp_path / "out" / "log").exists()
+    monkeypatch.setattr(sessions, "change_lines", whole)
+    for part in ([], [tell("Write", where + "b.md", "11:00", content="[a](a.md) [c](c.md)")]):
+        if part:
+            (source / "1.json").write_text("\n".join(part))
+        stages.start(events.event_source(spark, str(source)), str(tmp_path / "ck")).awaitTermination(120)
+    assert {(r.relpath, r.content, r.batch) for r in stages.read("redacted").collect()} == {("a.md", "mail ‹redacted› [b](b.md) [c](c.md)", 0), ("b.md", "[a](a.md) [c](c.md)", 1)}
+    assert sorted(r.line for r in stages.read("log").collect()) == ["- `09:00` **Write** `" + where + "a.md`", "- `09:30` **Write** `" + where + "a.md`", "- `10:00` **Edit** `/p/code.py` — `a b` → `c`", "- `11:00` **Write** `" + where + "b.md`"]
+    assert {(r.relpath, r.target, r.batch) for r in stages.read("links").collect()} == {("a.md", "b.md", 0), ("a.md", "c.md", 0), ("b.md", "c.md", 1)}
