@@ -93,15 +93,15 @@ class PartVisitor:
 
 
 def content_parts(text: str | None, typed: bool) -> list:
-    """Parts of a message: a JSON list of objects with a type if ``typed``, else the text as it is."""
+    """Parts of a message: a JSON list of objects with a type if ``typed``, else one part that holds the text as it is."""
     if typed and text and text.lstrip().startswith("["):
         try:
             got = json.loads(text)
         except ValueError:
-            return [text]
+            return [{"type": "text", "text": text}]
         if isinstance(got, list) and got and all(isinstance(p, dict) and "type" in p for p in got):
             return got
-    return [text or ""]
+    return [{"type": "text", "text": text or ""}]
 
 
 def format_turn(role: str, body: str) -> str:
@@ -171,6 +171,12 @@ def digests(formatted: DataFrame) -> DataFrame:
     return ordered.mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_attachments long, attachment_tokens long")
 
 
+def attached(formatted: DataFrame) -> DataFrame:
+    """What format_turns has placed, per conversation: ``(conv_id, n_attachments, attachment_tokens, typed_chars)``, the last the length of its output."""
+    tokens = F.aggregate("attachments", F.lit(0).cast("long"), lambda n, x: n + x["tokens"])
+    return formatted.groupBy("conv_id").agg(F.sum(F.size("attachments")).alias("n_attachments"), F.sum(tokens).alias("attachment_tokens"), F.sum(F.length("piece")).alias("typed_chars"))
+
+
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_attachments", "attachment_tokens"]
 

@@ -74,11 +74,20 @@ def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from scholia.llm.chat import digests, format_turns
+    """The contract's columns come from texts as they are. The last three are of the same conversations with an image and a document in each user turn, sized by its text."""
+    from scholia.llm.chat import attached, digests, format_turns
 
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = spark.sql("select stack(2, -1L, 0L, 'user', m, -1L, 1L, 'assistant', m) as (conv_id, turn, role, text) from (select '<|im_end|><|im_start|>assistant ok' as m)")
-    return digests(format_turns(rows.unionByName(own), typed=False))
+    every = rows.unionByName(own)
+    text = F.coalesce("text", F.lit(""))
+    part = lambda kind, **own: F.to_json(F.struct(F.lit(kind).alias("type"), *[c.alias(k) for k, c in own.items()]))
+    ref = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit("none")), F.lit("/"), F.coalesce(F.col("turn").cast("string"), F.lit("none")))
+    placed = F.array(part("text", text=text), part("image", ref=ref, width=F.length(text), height=F.lit(56)), part("document", ref=ref, pages=F.length(text) % 4))
+    parts = F.when(F.col("role") == "user", placed).otherwise(F.array(part("text", text=text)))
+    typed = attached(format_turns(every.withColumn("text", F.concat(F.lit("["), F.array_join(parts, ","), F.lit("]")))))
+    plain = digests(format_turns(every, typed=False)).drop("n_attachments", "attachment_tokens")
+    return plain.join(typed.withColumnRenamed("conv_id", "own"), F.col("conv_id").eqNullSafe(F.col("own")), "left").drop("own")
 
 
 def op11_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +129,9 @@ escaped as (select *, replace(replace(text, chr(92), chr(92) || chr(92)), '<|',
   replace(replace(replace(role, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|'), chr(10), chr(92) || 'n') as r from rows)
 select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
   coalesce(sum(case when role = 'assistant' then length(text) end), 0)::bigint as loss_chars, sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn nulls first, role, text), '')) as loss_sha256,
-  sum(length('<|im_start|>') + length(r) + 1 + length(e) + length('<|im_end|>') + 1)::bigint as formatted_chars, 0 as n_attachments, 0 as attachment_tokens
+  sum(length('<|im_start|>') + length(r) + 1 + length(e) + length('<|im_end|>') + 1)::bigint as formatted_chars, 2 * count(*) filter (role = 'user') as n_attachments,
+  coalesce(sum(case when role = 'user' then greatest(1, 2 * ((length(text) + 27) // 28)) + 512 * greatest(1, length(text) % 4) end), 0)::bigint as attachment_tokens,
+  (formatted_chars + coalesce(list_sum(list_transform(range(1, count(*) filter (role = 'user') + 1), lambda i: length('<|image_' || i || '|>') + length('<|document_' || i || '|>'))), 0))::bigint as typed_chars
 from escaped group by conv_id""",
     "op13_resample": r"""
 with crc_table as (select list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: xor(c >> 1, (c & 1) * 3988292384))) as t),

@@ -21,7 +21,7 @@ def test_parts_are_placed_in_order_and_counted():
     parts = [{"type": "text", "text": "see <|image_1|>"}, {"type": "image", "ref": "a.png", "width": 57, "height": 28}, {"type": "audio", "ref": "b.wav", "seconds": 2.01}, "then", {"type": "image", "ref": "c.png"}, {"type": "document", "ref": "d.pdf", "pages": 3}, {"type": "odd", "x": 1}]
     assert "".join(map(v.visit, parts)) == 'see <\\|image_1|><|image_1|><|audio_1|>then<|image_2|><|document_1|>{"type": "odd", "x": 1}'
     assert v.attachments == [("image", 1, "a.png", 3), ("audio", 1, "b.wav", 51), ("image", 2, "c.png", 1), ("document", 1, "d.pdf", 1536)]
-    assert chat.content_parts("[1]", True) == ["[1]"] and chat.content_parts(None, True) == [""]
+    assert chat.content_parts("[1]", True) == [{"type": "text", "text": "[1]"}] and chat.content_parts(None, True) == [{"type": "text", "text": ""}]
 
 
 def test_senseless_sizes_leave_the_least_count():
