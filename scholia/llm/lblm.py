@@ -19,11 +19,13 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +39,12 @@ CONTEXT = 3
 ENDINGS, HASHED = 128, 31
 #: Words whose counts every worker holds, words with vectors of their own, and how often those occur at least.
 HEAD, OWN, LEAST_COUNT = 1 << 16, 1 << 13, 8
-#: Positions fetched for training, about.
-EXAMPLES = 800_000
+#: Positions fetched for the starting values, about; texts are drawn first, so many times as often.
+EXAMPLES, WIDER = 800_000, 16
+#: Positions of a step in a task, classes that they share as noise, and so many words for each block of a class's positions.
+STEP, CLASS_NOISE, WORD_NOISE, BLOCK = 1 << 13, 64, 16, 32
+#: Slices of the parameters that are summed apart, and tasks whose changes are summed at a time.
+SLICES, TASKS = 16, 32
 #: Distinct words that a task counts before it passes its counts on, or remembers.
 FLUSH = 500_000
 #: Tokens that are scored at a time, and scores that are held at a time, so that they stay in a core's cache.
@@ -100,6 +106,18 @@ def most_frequent(counts: DataFrame, most: int | None = None) -> list[tuple[str,
     return sorted(((r.word, r.n) for r in keyed.where(wanted).select("word", "n").collect()), key=lambda x: (-x[1], x[0]))
 
 
+class Met(dict):
+    """Numbers of words; that of a new word is found out once and remembered."""
+
+    def __init__(self, known: dict[bytes, int], number):
+        super().__init__(known)
+        self.number = number
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = found = self.number(word)
+        return found
+
+
 class Vocabulary:
     """Rows of the model: class by class its words and, last, the place of its rarer words; the end stands alone."""
 
@@ -157,6 +175,24 @@ class Vocabulary:
         padded = np.concatenate([np.full(CONTEXT, self.begin, np.int32), self.rows(words), np.array([self.end], np.int32)])
         return np.lib.stride_tricks.sliding_window_view(padded, CONTEXT + 1)
 
+    def text_windows(self, texts: list[list[bytes]]) -> np.ndarray:
+        """(context, word) rows of every token of some texts, one after the other; each text has its own beginning."""
+        met = self.met
+        if not isinstance(met, Met) or len(met) > FLUSH:
+            met = self.met = Met(self.row | {END.encode(): self.end}, lambda w: int(self.start[self.class_of(w.decode()) + 1]) - 1)
+        words = chain.from_iterable((*t, END.encode()) for t in texts)
+        target = np.fromiter(map(met.__getitem__, words), np.int32)
+        sizes = np.array([len(t) + 1 for t in texts], np.int64)
+        return self.spread(target, np.arange(len(target)) - np.repeat(np.cumsum(sizes) - sizes, sizes))
+
+    def spread(self, target: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Each row of ``target`` after the rows before it in its text; ``place`` counts a text's tokens."""
+        found = np.full((len(target), CONTEXT + 1), self.begin, np.int32)
+        found[:, -1] = target
+        for back in range(1, CONTEXT + 1):
+            found[back:, -1 - back] = np.where(place[back:] >= back, target[:-back], self.begin)
+        return found
+
     def windows_at(self, words: list[bytes], drawn: np.ndarray) -> np.ndarray:
         """The rows of ``windows`` at some places of a text; only their words are looked up."""
         if len(drawn) * (CONTEXT + 1) > len(words):
@@ -188,9 +224,13 @@ def vocabulary(counts: DataFrame, most: int | None = None) -> tuple[Vocabulary,
 def examples(docs: DataFrame, known, rate: float, text_col: str = "text", id_col: str = "id") -> np.ndarray:
     """(context, word) rows at a share ``rate`` of all positions, chosen by a hash of id, text and place.
 
-    ``known`` is the broadcast vocabulary.
+    ``known`` is the broadcast vocabulary. Texts are drawn before their positions, so that few of them are read.
     """
+    wide = min(1.0, rate * WIDER)
+    rate /= max(wide, 1e-300)
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.xxhash64(id_col, text_col).alias("h"))
+    if wide < 1:
+        rows = rows.where(F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < int(wide * (1 << 20)) + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = known.value
@@ -209,6 +249,10 @@ def examples(docs: DataFrame, known, rate: float, text_col: str = "text", id_col
     return np.concatenate([np.frombuffer(r.at, "<i4") for r in parts] or [np.zeros(0, np.int32)]).reshape(-1, CONTEXT + 1)
 
 
+#: The parameters of a model, in the order of its fields.
+PARAMETERS = ("r", "mix", "u", "u_bias", "q", "q_bias")
+
+
 @dataclass
 class LogBilinear:
     """Scores (sum over i of r[context i] @ mix[i]) . u[class] + class bias, and the same with q of a word in its class."""
@@ -219,6 +263,8 @@ class LogBilinear:
     u_bias: np.ndarray
     q: np.ndarray
     q_bias: np.ndarray
+    #: What AdaGrad has summed up for each row of these.
+    seen: dict[str, np.ndarray] = field(default_factory=dict)
 
     def tables(self) -> np.ndarray:
         """What each token adds to the prediction at each place of the context; a last column adds up to one, for the biases."""
@@ -266,9 +312,14 @@ def _log_softmax_at(h: np.ndarray, vectors: np.ndarray, bias: np.ndarray, at: np
     return out
 
 
+def _order(rows: np.ndarray, n_rows: int) -> np.ndarray:
+    """Stable order of row numbers; short ones are sorted by radix."""
+    return np.argsort(rows.astype(np.uint16) if n_rows <= 1 << 16 else rows, kind="stable")
+
+
 def _step(param: np.ndarray, seen: np.ndarray, rows: np.ndarray, grads: np.ndarray, rate: float) -> None:
     """One step of AdaGrad, a rate per row, on the rows that occur; gradients of repeated rows are summed."""
-    order = np.argsort(rows, kind="stable")
+    order = _order(rows, len(param))
     rows = rows[order]
     starts = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
     g = np.add.reduceat(grads[order], starts, axis=0)
@@ -296,13 +347,13 @@ def train(found: np.ndarray, vocab: Vocabulary, dims: int = 24, batch: int = 204
     cls_share, share = cls_weight / cls_weight.sum(), weight / cls_weight[vocab.cls]
     mix = np.repeat((np.eye(dims, dtype=np.float32) * 0.5)[None], CONTEXT, axis=0)
     net = LogBilinear(g(n_rows + 1, dims), mix, g(n_classes, dims), np.log(cls_share).astype(np.float32), g(n_rows, dims) * 0.3, np.log(share).astype(np.float32))
+    net.seen = seen = {k: np.full(len(getattr(net, k)), 1e-3, np.float32) for k in PARAMETERS}
     if not len(found):
         net.u[:], net.q[:] = 0, 0
         return net
     cls_noise, word_noise = np.log(noise * cls_share).astype(np.float32), np.log(noise * share).astype(np.float32)
     cls_ends, ends = np.cumsum(cls_share), np.cumsum(weight)
     below = np.append(0.0, ends)
-    seen = {k: np.full(len(getattr(net, k)), 1e-3, np.float32) for k in ("r", "u", "u_bias", "q", "q_bias", "mix")}
     steps = max(least_steps, epochs * len(found) // batch)
     for step in range(steps):
         pace = rate * min(1.0, 2 * (1 - step / steps))
@@ -330,6 +381,145 @@ def train(found: np.ndarray, vocab: Vocabulary, dims: int = 24, batch: int = 204
     return net
 
 
+class Learner:
+    """Noise-contrastive steps over the positions of one task; a step's positions share their noise.
+
+    Noise has the distribution of ``train``, and more of it for each position.
+    """
+
+    def __init__(self, start: LogBilinear, vocab: Vocabulary, seed: int, rate: float = 0.03):
+        one_blas_thread()
+        self.net = LogBilinear(*(getattr(start, k).copy() for k in PARAMETERS), seen={k: v.copy() for k, v in start.seen.items()})
+        self.times = {k: np.zeros(len(v), np.int64) for k, v in start.seen.items()}
+        self.vocab, self.rate, self.rng = vocab, rate, np.random.default_rng(seed)
+        weight = vocab.counts + 0.5
+        cls_weight = np.add.reduceat(weight, vocab.start[:-1])
+        self.ends = np.cumsum(weight)
+        self.below = np.append(0.0, self.ends)
+        self.cls_ends = np.cumsum(cls_weight)
+        self.cls_noise = np.log(CLASS_NOISE * cls_weight / cls_weight.sum()).astype(np.float32)
+        self.word_noise = np.log(WORD_NOISE * weight / cls_weight[vocab.cls]).astype(np.float32)
+
+    def learn(self, found: np.ndarray) -> None:
+        found = found[self.rng.permutation(len(found))]
+        for at in range(0, len(found), STEP):
+            self.step(found[at : at + STEP])
+
+    def step(self, part: np.ndarray) -> None:
+        net, vocab, rate = self.net, self.vocab, self.rate
+        # In the order of words, which is that of classes too: rows of one word or class lie together.
+        part = part[_order(part[:, -1], len(vocab.counts))]
+        ctx, word = np.ascontiguousarray(part[:, :-1]), part[:, -1]
+        cls = vocab.cls[word]
+        n, dims = len(part), net.r.shape[1]
+        each = net.r.take(ctx.ravel(), axis=0).reshape(n, -1)
+        mix = net.mix.reshape(-1, dims)
+        h = each @ mix
+
+        drawn = np.minimum(np.searchsorted(self.cls_ends, self.rng.random(CLASS_NOISE) * self.cls_ends[-1]), vocab.n_classes - 1)
+        own = _sigmoid(np.einsum("bd,bd->b", h, net.u[cls]) + net.u_bias[cls] - self.cls_noise[cls]) - 1
+        away = _sigmoid(h @ net.u[drawn].T + (net.u_bias[drawn] - self.cls_noise[drawn]))
+        g_h = own[:, None] * net.u[cls] + away @ net.u[drawn]
+        starts = np.flatnonzero(np.append(True, cls[1:] != cls[:-1]))
+        g_u, g_ub = [np.add.reduceat(own[:, None] * h, starts, axis=0), away.T @ h], [np.add.reduceat(own, starts), away.sum(axis=0)]
+        u_rows = np.concatenate([cls[starts], drawn])
+
+        qw = net.q.take(word, axis=0)
+        own = _sigmoid(np.einsum("bd,bd->b", h, qw) + net.q_bias[word] - self.word_noise[word]) - 1
+        alone = (vocab.start[cls + 1] - vocab.start[cls]) == 1
+        own[alone] = 0
+        g_h += own[:, None] * qw
+        at = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+        g_q, g_qb, q_rows = [np.add.reduceat(own[:, None] * h, at, axis=0)], [np.add.reduceat(own, at)], [word[at]]
+        # Blocks of positions of one class share words drawn from it; places past the end of a class count nothing.
+        sizes = np.diff(np.append(starts, n))
+        blocks = -(-sizes // BLOCK)
+        place = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        first = np.repeat(starts, blocks) + place * BLOCK
+        last, c = np.repeat(starts + sizes, blocks), np.repeat(cls[starts], blocks)
+        spots = first[:, None] + np.arange(BLOCK)
+        there = (spots < last[:, None]) & (vocab.start[c + 1] - vocab.start[c] > 1)[:, None]
+        spots = np.minimum(spots, n - 1)
+        low, high = vocab.start[c], vocab.start[c + 1]
+        w = self.below[low][:, None] + self.rng.random((len(c), WORD_NOISE)) * (self.below[high] - self.below[low])[:, None]
+        w = np.clip(np.searchsorted(self.ends, w), low[:, None], high[:, None] - 1)
+        q, part_h = net.q[w], h[spots]
+        away = _sigmoid(part_h @ q.transpose(0, 2, 1) + (net.q_bias[w] - self.word_noise[w])[:, None, :]) * there[:, :, None]
+        g_h[spots[there]] += (away @ q)[there]
+        g_q.append((away.transpose(0, 2, 1) @ part_h).reshape(-1, dims))
+        g_qb.append(away.sum(axis=1).ravel())
+        q_rows.append(w.ravel())
+        g_each = (g_h @ mix.T).reshape(-1, dims)
+        g_mix = (each.T @ g_h).reshape(net.mix.shape)
+
+        self.times["u"] += np.bincount(cls, minlength=len(self.times["u"]))
+        self.times["q"] += np.bincount(word, minlength=len(self.times["q"]))
+        self.times["r"] += np.bincount(ctx.ravel(), minlength=len(self.times["r"]))
+        self.times["mix"] += n
+        q_rows = np.concatenate(q_rows)
+        _step(net.u, net.seen["u"], u_rows, np.concatenate(g_u), rate)
+        _step(net.u_bias, net.seen["u_bias"], u_rows, np.concatenate(g_ub), rate)
+        _step(net.q, net.seen["q"], q_rows, np.concatenate(g_q), rate)
+        _step(net.q_bias, net.seen["q_bias"], q_rows, np.concatenate(g_qb), rate)
+        _step(net.r, net.seen["r"], ctx.ravel(), g_each, rate)
+        _step(net.mix, net.seen["mix"], np.arange(CONTEXT), g_mix, rate)
+
+    def changes(self, start: LogBilinear) -> np.ndarray:
+        """Per row how often it occurred and so many times its change, all parameters one after the other."""
+        out = []
+        for k in PARAMETERS:
+            now, was = getattr(self.net, k), getattr(start, k)
+            # A bias occurs as its vector does. Rows met only as noise have moved too.
+            n = np.maximum(self.times[k.removesuffix("_bias")], 1e-3).reshape(-1, *[1] * (now.ndim - 1))
+            out += [n.ravel(), ((now - was).astype(float) * n).ravel()]
+        return np.concatenate(out)
+
+
+def _sigmoid(s: np.ndarray) -> np.ndarray:
+    s *= np.float32(0.5)
+    np.tanh(s, out=s)
+    s += np.float32(1)
+    s *= np.float32(0.5)
+    return s
+
+
+def learn_all(docs: DataFrame, known, model: LogBilinear, text_col: str = "text") -> int:
+    """Let ``model`` learn from every position of ``docs``, in place; the number of positions.
+
+    ``known`` is the broadcast vocabulary. The tasks' changes are summed in slices and in two levels, so neither a
+    group nor the driver gets more than a bounded share of them.
+    """
+    given = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab, task, learner = known.value, TaskContext.get().partitionId(), None
+        for batch in batches:
+            for part in text_slices(batch, "text", 4 << 20):
+                learner = learner or Learner(given.value, vocab, task)
+                learner.learn(vocab.text_windows([tokens(t) for t in part.column("text").to_pylist()]))
+        if learner:
+            parts = np.array_split(learner.changes(given.value).astype("<f4"), SLICES)
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([task // TASKS] * SLICES, pa.int32()), pa.array([int(learner.times["mix"][0])] * SLICES, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["slice", "tasks", "n", "sums"])
+
+    def summed(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(b, "<f4").astype(float) for b in group.column("sums").to_pylist())
+        return pa.table({"slice": group.column("slice")[:1], "tasks": group.column("tasks")[:1], "n": pa.array([pc.sum(group.column("n")).as_py()], pa.int64()), "sums": pa.array([total.astype("<f4").tobytes()], pa.binary())})
+
+    kind = "slice int, tasks int, n long, sums binary"
+    sums = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, kind)
+    found = sums.groupBy("slice", "tasks").applyInArrow(summed, kind).groupBy("slice").applyInArrow(summed, kind).collect()
+    given.unpersist()
+    if not found:
+        return 0
+    every, at = np.concatenate([np.frombuffer(r.sums, "<f4") for r in sorted(found, key=lambda r: r.slice)]), 0
+    for k in PARAMETERS:
+        p = getattr(model, k)
+        n, at = every[at : at + len(p)], at + len(p)
+        change, at = every[at : at + p.size], at + p.size
+        p += change.reshape(p.shape) / n.reshape(-1, *[1] * (p.ndim - 1))
+    return found[0].n
+
+
 def score(docs: DataFrame, training: F.Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, training, n_tokens, n_known, train_tokens, base_score, score)`` for every row of ``docs``.
 
@@ -345,6 +535,7 @@ def score(docs: DataFrame, training: F.Column, id_col: str = "doc_id", text_col:
     n_all, v_all = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     known = spark.sparkContext.broadcast(vocab)
     model = train(examples(learned, known, min(1.0, EXAMPLES / max(1, n_all))), vocab)
+    learn_all(learned, known, model)
     fitted = spark.sparkContext.broadcast((head, n_end, n_all, v_all, model))
 
     rows = rows.withColumn("row", F.monotonically_increasing_id())
@@ -372,7 +563,8 @@ def _score(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, head: list, n_e
     tables = model.tables()
     rare, end = len(head), len(head) + vocab.n_classes
     fixed = {w.encode(): i for i, (w, _) in enumerate(head) if w != END} | {END.encode(): end}
-    codes = dict(fixed)
+    coded = lambda w: rare + vocab.class_of(w.decode())
+    codes = Met(fixed, coded)
     # The log count of a rarer word is added by the join.
     log_count = np.log10(np.array([n for _, n in head] + [0] * vocab.n_classes + [n_end], float) + 1)
     row_of = np.concatenate([vocab.rows([w.encode() for w, _ in head]), vocab.start[1:] - 1, [vocab.end]]).astype(np.int32)
@@ -382,19 +574,13 @@ def _score(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, head: list, n_e
             texts = [tokens(t) for t in part.column("text").to_pylist()]
             words = list(chain.from_iterable((*t, END.encode()) for t in texts))
             if len(codes) > FLUSH:
-                codes = dict(fixed)
-            for w in {w for w in words if w not in codes}:
-                codes[w] = rare + vocab.class_of(w.decode())
+                codes = Met(fixed, coded)
             code = np.fromiter(map(codes.__getitem__, words), np.int32, len(words))
             sizes = np.array([len(t) + 1 for t in texts], np.int64)
             starts = np.cumsum(sizes) - sizes
             # Each text has its own beginning before its first word.
             target, place = row_of[code], np.arange(len(code)) - np.repeat(starts, sizes)
-            found = np.full((len(code), CONTEXT + 1), vocab.begin, np.int32)
-            found[:, -1] = target
-            for back in range(1, CONTEXT + 1):
-                found[back:, -1 - back] = np.where(place[back:] >= back, target[:-back], vocab.begin)
-            lm = model.log10(found, vocab, tables)
+            lm = model.log10(vocab.spread(target, place), vocab, tables)
             logs = log_count[code]
             # A rarer word's part of its class's common place.
             shared = vocab.is_rest[target]

@@ -144,3 +144,18 @@ def test_scores_beyond_single_precision_are_shifted():
         wanted = s[np.arange(50), at] - np.logaddexp.reduce(s, axis=1)
         got = lblm._log_softmax_at(h, vectors, bias, at)
         assert np.allclose(got, wanted, rtol=1e-5, atol=1e-5 * scale)
+
+
+def test_positions_outside_the_drawn_ones_are_learned_by_all_tasks(spark, monkeypatch):
+    """With almost no drawn position, what texts say must come from the passes over all of them."""
+    monkeypatch.setattr(lblm, "EXAMPLES", 1)
+    learned = []
+    real = lblm.learn_all
+    monkeypatch.setattr(lblm, "learn_all", lambda *a, **k: learned.append(real(*a, **k)))
+    cycle = "aan ccm bbn ddm " * 2_000
+    rows = [(i, cycle, True) for i in range(60)] + [(100, cycle, False)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, learn boolean").repartition(3, "doc_id")
+    got = {r.id: r for r in lblm.score(df, F.col("learn")).collect()}
+    assert learned == [60 * 8_001] == [got[100].train_tokens]
+    # A count of words alone gives -0.6 a token.
+    assert got[100].score > -0.3 * got[100].n_tokens and got[100].base_score < -0.59 * got[100].n_tokens
