@@ -1,17 +1,19 @@
 """Byte-pair encoding and decoding through a table of distinct words.
 
 A text is split into the pre-tokenizer's words in the Spark job; each distinct word of a partition is encoded
-once and the ids are joined back by position. Decoding joins ids to the vocabulary's pieces. The table belongs
-to the worker that reads the partition, as a shuffle of every (text, position, word) row would weigh several
-times the texts; it is emptied at ``TABLE_WORDS`` entries, which bounds memory and changes no result.
+once and the ids are joined back by position. Words meet their ids in units, the stretches between single blanks:
+a blank before anything but white space always begins a word. Decoding joins ids to the vocabulary's pieces. The
+tables of words and of units belong to the worker that reads the partition, as a shuffle of every (text, position, word) row would weigh several
+times the texts; each is emptied at ``TABLE_WORDS`` entries, which bounds memory and changes no result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +48,9 @@ class WordCodec:
         self.special = {k: np.array([v], "<u4").tobytes() for k, v in specials.items()}
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(specials, key=len, reverse=True))) + ")") if specials else None
         self.pieces = pieces(spec)
+        self.line = self.pieces.index(b"\n")
         self.table: dict[str, bytes] = {}
+        self.units: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
@@ -57,17 +61,46 @@ class WordCodec:
         return b"".join(self.special.get(part) or self._ordinary(part) for part in self.split.split(text))
 
     def _ordinary(self, text: str) -> bytes:
-        words = self.words.findall(text)
-        table = self.table
+        first, *rest = text.split(" ")
+        units = self.units
         try:
-            return b"".join([table[w] for w in words])
+            return self._joined(self.words.findall(first)) + b"".join([units[u] for u in rest])
         except KeyError:
-            if len(table) > TABLE_WORDS:
-                table.clear()
-            new = [w for w in dict.fromkeys(words) if w not in table]
+            if len(units) > TABLE_WORDS:
+                units.clear()
+            new = [u for u in dict.fromkeys(rest) if u not in units]
+            if any(not u or u[0].isspace() for u in new):
+                # More than one blank at a place: only the words' own pattern cuts there, and no table has such a unit.
+                return self._joined(self.words.findall(text))
+            found = [self.words.findall(" " + u) for u in new]
+            self._learn(chain.from_iterable(found))
+            table = self.table
+            for u, words in zip(new, found, strict=True):
+                units[u] = table[words[0]] if len(words) == 1 else b"".join([table[w] for w in words])
+            return self._joined(self.words.findall(first)) + b"".join([units[u] for u in rest])
+
+    def _joined(self, words: list[str]) -> bytes:
+        self._learn(words)
+        table = self.table
+        return b"".join([table[w] for w in words])
+
+    def _learn(self, words: Iterable[str]) -> None:
+        """Have all of some words in the table; new ones are encoded as one text, a line each."""
+        table = self.table
+        if len(table) > TABLE_WORDS:
+            table.clear()
+        new = [w for w in dict.fromkeys(words) if w not in table]
+        lines = [w for w in new if not w[-1].isspace()]
+        if lines:
+            ids = np.array(self.library.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(ids == self.line)
+            if len(ends) == len(lines) - 1:
+                every, cuts = ids.tobytes(), [-4, *(4 * ends).tolist(), len(ids) * 4]
+                table.update((w, every[a + 4 : b]) for w, a, b in zip(lines, cuts[:-1], cuts[1:], strict=True))
+                new = [w for w in new if w not in table]
+        if new:
             for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
                 table[w] = np.array(e.ids, "<u4").tobytes()
-            return b"".join([table[w] for w in words])
 
     def decode(self, ids: np.ndarray) -> str:
         piece = self.pieces

@@ -55,3 +55,25 @@ def test_query_and_edge_rows(spark, sf_dir):
     assert len(got) == 5 and sorted(r.n_tokens for r in got)[:2] == [0, 0]
     assert all(lib.decode(r.ids, skip_special_tokens=False) in ("", "same", "x" * 300_000) for r in got)
     assert bpe.encode_texts(df.limit(0), PATH).count() == 0
+
+
+def test_units_between_blanks_equal_the_library_and_spare_the_words():
+    """Each distinct word goes to the library once, in one text for all new words of a text; all kinds of white space between them."""
+    lib, rng = library(), random.Random(5)
+    own = bpe.WordCodec(PATH)
+    calls = []
+    real = own.library
+
+    class Counted:
+        def encode_batch_fast(self, texts, **k):
+            calls.append(len(texts))
+            return real.encode_batch_fast(texts, **k)
+
+    own.library = Counted()
+    text = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}," for i in range(500))
+    assert np.frombuffer(own._ordinary(text), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids
+    assert sum(calls) < 20
+    own = bpe.WordCodec(PATH)
+    for _ in range(3000):
+        text = "".join(rng.choice(["a", "Bc", "don't", "x's", ".", ",", "12", " ", " ", " ", "  ", "\n", "\t", " \n", "\r\n", "\x1c", "\x85", "\xa0", " ", "　", "é", "<|", "|>"]) for _ in range(rng.randrange(14)))
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids, repr(text)
