@@ -167,14 +167,24 @@ def _in_blocks(texts: DataFrame, checked: DataFrame, width: int, threshold: floa
     return placed.select("component", "a", "b", "key", "linked", "text").repartition("component", "a", "b").sortWithinPartitions("component", "a", "b", "key").mapInArrow(run, "u long, v long")
 
 
-def grouped(rows: DataFrame, width: int, threshold: float, group: int = GROUP) -> DataFrame:
-    """``(id, text_hash, root)`` for rows ``(id, text, text_hash)``: root is shared over pairs of at least the similarity."""
+def grouped(rows: DataFrame, width: int, threshold: float, group: int = GROUP, near: DataFrame | None = None) -> DataFrame:
+    """``(id, text_hash, root)`` for rows ``(id, text, text_hash)``: root is shared over pairs of at least the similarity.
+
+    ``near`` may bring together further texts as candidates: ``(id, text_hash, near)``, the same near for those that meet.
+    """
     sketch = durable(_sketched(rows, width))
     one = F.min(F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("text_hash").alias("h"), F.col("bands").alias("bands")))
     distinct = durable(sketch.where("key <> 0").groupBy("key").agg(one.alias("one")))
     met = distinct.select("key", F.posexplode("one.bands").alias("band", "at"))
     shared = met.groupBy("band", "at").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("band", "at", "low")
-    links = met.join(shared, ["band", "at"]).where("key <> low").select(F.col("key").alias("u"), F.col("low").alias("v")).distinct()
+    links = met.join(shared, ["band", "at"]).where("key <> low").select(F.col("key").alias("u"), F.col("low").alias("v"))
+    if near is not None:
+        # Texts of one key may differ in what brings them to others, so all of them take part, repeated rows once.
+        d, n = sketch.where("key <> 0").select("id", "text_hash", "key").distinct().alias("d"), near.distinct().alias("n")
+        keyed = durable(d.join(n, F.col("d.id").eqNullSafe(F.col("n.id")) & (F.col("d.text_hash") == F.col("n.text_hash"))).select("key", "near").distinct())
+        lows = keyed.groupBy("near").agg(F.min("key").alias("low"))
+        links = links.unionByName(keyed.join(lows, "near").where("key <> low").select(F.col("key").alias("u"), F.col("low").alias("v")))
+    links = links.distinct()
     placed = connected_components(links).withColumnRenamed("node", "key")
     # A Parquet table has a known size, so that the texts are not shuffled while few of them have met another one.
     parts = placed.groupBy("component").agg(F.ceil(F.count("*") / group).cast("int").alias("parts"))

@@ -65,7 +65,7 @@ def text_key(text: F.Column) -> F.Column:
     return F.xxhash64(F.coalesce(text, F.lit("\x00null")))
 
 
-def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``(id, text_hash, fp)`` per row: fp is the fingerprint as a signed long, text_hash tells repeated ids apart."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("text_hash", text_key(F.col("text")))
@@ -74,7 +74,7 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             for part in text_slices(batch, "text"):
                 texts = part.column("text").to_pylist()
-                fps = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
+                fps = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_hash"), pa.array(fps)], ["id", "text_hash", "fp"])
 
     return rows.mapInArrow(run, "id long, text_hash long, fp long")
@@ -267,8 +267,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float | None = None) -> DataFrame:
     """Keep one row of ``docs`` per group: the smallest id (nulls last), then the smallest text hash.
 
-    Without a threshold groups are those of ``near_duplicates``, whose shingles have a fixed width. With one they
-    connect texts whose sets of ``shingle`` words have at least this Jaccard similarity; texts without words are alike.
+    Without a threshold groups are those of ``near_duplicates``, whose shingles have a fixed width. With one
+    texts within two bits, found through the Gray-order index, are candidates, as are those that a search for the wider
+    rest brings together (``jaccard``), since likeness at a threshold spreads over more bits; groups connect texts whose sets of ``shingle`` words have at least this Jaccard similarity; texts without words are alike.
     Columns of ``docs`` stay as they are, whatever their names. Rows that repeat both id and text are one.
     """
     if threshold is None:
@@ -277,7 +278,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         found = near_duplicates(docs, id_col, text_col)
     else:
         rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-        found = jaccard.grouped(rows.withColumn("text_hash", text_key(F.col("text"))), shingle, threshold)
+        rows = rows.withColumn("text_hash", text_key(F.col("text")))
+        fps = durable(with_fingerprints(rows, "id", "text", shingle))
+        close = connected_components(near_links(fps.select("fp").distinct()))
+        near = fps.join(close.withColumnRenamed("node", "fp"), "fp", "left").select("id", "text_hash", F.coalesce("component", "fp").alias("near"))
+        found = jaccard.grouped(rows, shingle, threshold, near=near)
     first = F.min(F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("text_hash").alias("h")))
     keep = found.groupBy("root").agg(first.alias("w")).select(F.col("w.id").alias("id"), F.col("w.h").alias("h")).alias("keep")
     # The row is one column, so that no name of its columns can meet a name used here.

@@ -84,3 +84,21 @@ def test_query_equals_brute_force(spark, sf_dir):
     fps = [plain_fingerprint(d.text) for d in docs]
     want = {(d.doc_id, f"{f:016x}", docs[r].doc_id) for d, f, r in zip(docs, fps, brute_roots(fps), strict=True)}
     assert {tuple(r) for r in op1_simhash(spark, sf_dir).select("doc_id", "fingerprint", "component_id").collect()} == want
+
+
+def test_pipeline_candidates_come_through_the_fingerprint_index(spark, monkeypatch):
+    """Without any band, texts of five-word fingerprints within two bits are still found, and only they."""
+    from scholia.llm import jaccard
+
+    real = jaccard._sketched
+    monkeypatch.setattr(jaccard, "_sketched", lambda *a: real(*a).withColumn("bands", F.array().cast("array<long>")))
+    rng, rows = random.Random(4), []
+    for i in range(8):
+        words = [f"w{rng.randrange(5_000)}" for _ in range(3_000)]
+        rows.append((10 * i, " ".join(words)))
+        words[rng.randrange(3_000)] = "changed"
+        rows.append((10 * i + 1, " ".join(words)))
+    close = {b[0] for a, b in zip(rows[::2], rows[1::2], strict=True) if (simhash.fingerprint(a[1], 5) ^ simhash.fingerprint(b[1], 5)).bit_count() <= 2}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(df, shingle=5, threshold=0.8).collect()}
+    assert len(close) > 2 and kept == {r[0] for r in rows} - close
