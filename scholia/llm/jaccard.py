@@ -12,7 +12,7 @@ texts, so no task holds more than two blocks however large a set is.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,8 @@ BANDS, ROWS = 32, 4
 SEED = 42
 #: Candidates that are compared at once, and shingles that are permuted at once.
 CHUNK, _BLOCK = 256, 2048
+#: Hashes whose bits are counted at once.
+_BITS = 1 << 16
 #: Texts of a block, and first texts that a task remembers.
 GROUP, HEADS = 512, 32
 _RNG = np.random.default_rng(SEED)
@@ -35,8 +37,11 @@ _TIMES = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.
 _PLUS = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
 
 
-def shingles(text: str | None, width: int) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles of a text; words are read as for fingerprints."""
+def hashes(text: str | None, width: int) -> np.ndarray:
+    """Hashes of the word shingles of a text in their order: words between ASCII blanks, A-Z lower-cased, repeats included.
+
+    A text shorter than a shingle is one shingle; one without words (null, empty or blank) has none.
+    """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
@@ -45,7 +50,20 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     ends = np.cumsum([len(w) + 1 for w in words])
     first, last = [0, *ends[: n - 1].tolist()], (ends[-n:] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(first, last, strict=True)), np.uint64, n))
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(first, last, strict=True)), np.uint64, n)
+
+
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles of a text."""
+    return np.unique(hashes(text, width))
+
+
+def majority(h: np.ndarray) -> int:
+    """64-bit SimHash: a bit is set if more than half of the hashes set it; 0 without hashes."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(h), _BITS):
+        counts += np.unpackbits(h[at : at + _BITS].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
 def bands(own: np.ndarray) -> list[int]:
@@ -108,16 +126,23 @@ def roots(sets: list[np.ndarray], threshold: float, same: np.ndarray | None = No
 
 
 def _sketched(rows: DataFrame, width: int) -> DataFrame:
-    """``(id, text_hash, key, bands)``: key is the same for texts of the same shingles, 0 without words."""
+    """``(id, text_hash, key, fp, bands)``: key is the same for texts of the same shingles, 0 without words; fp is the fingerprint of all shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, "text"):
-                sets = [shingles(t, width) for t in part.column("text").to_pylist()]
-                key = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_hash"), pa.array(key), pa.array([bands(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))], ["id", "text_hash", "key", "bands"])
+            for part in text_slices(batch, "text", 2 << 20):
+                # One text after the other, so that no more than its own hashes are held.
+                key, fps, keys = [], [], []
+                for t in part.column("text"):
+                    every = hashes(t.as_py(), width)
+                    own = np.unique(every)
+                    key.append(xxhash.xxh64_intdigest(own.tobytes(), SEED) if len(own) else 0)
+                    fps.append(majority(every))
+                    keys.append(bands(own) if len(own) else [])
+                signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_hash"), signed(key), signed(fps), pa.array(keys, pa.list_(pa.int64()))], ["id", "text_hash", "key", "fp", "bands"])
 
-    return rows.mapInArrow(run, "id long, text_hash long, key long, bands array<long>")
+    return rows.mapInArrow(run, "id long, text_hash long, key long, fp long, bands array<long>")
 
 
 def _with_first(texts: DataFrame, width: int, threshold: float) -> DataFrame:
@@ -167,10 +192,10 @@ def _in_blocks(texts: DataFrame, checked: DataFrame, width: int, threshold: floa
     return placed.select("component", "a", "b", "key", "linked", "text").repartition("component", "a", "b").sortWithinPartitions("component", "a", "b", "key").mapInArrow(run, "u long, v long")
 
 
-def grouped(rows: DataFrame, width: int, threshold: float, group: int = GROUP, near: DataFrame | None = None) -> DataFrame:
+def grouped(rows: DataFrame, width: int, threshold: float, group: int = GROUP, near: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``(id, text_hash, root)`` for rows ``(id, text, text_hash)``: root is shared over pairs of at least the similarity.
 
-    ``near`` may bring together further texts as candidates: ``(id, text_hash, near)``, the same near for those that meet.
+    ``near`` may bring together further texts as candidates: from the distinct ``fp`` of texts with words it gives edges ``(u, v)`` between these.
     """
     sketch = durable(_sketched(rows, width))
     one = F.min(F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("text_hash").alias("h"), F.col("bands").alias("bands")))
@@ -179,12 +204,13 @@ def grouped(rows: DataFrame, width: int, threshold: float, group: int = GROUP, n
     shared = met.groupBy("band", "at").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("band", "at", "low")
     links = met.join(shared, ["band", "at"]).where("key <> low").select(F.col("key").alias("u"), F.col("low").alias("v"))
     if near is not None:
-        # Texts of one key may differ in what brings them to others, so all of them take part, repeated rows once.
-        d, n = sketch.where("key <> 0").select("id", "text_hash", "key").distinct().alias("d"), near.distinct().alias("n")
-        keyed = durable(d.join(n, F.col("d.id").eqNullSafe(F.col("n.id")) & (F.col("d.text_hash") == F.col("n.text_hash"))).select("key", "near").distinct())
-        lows = keyed.groupBy("near").agg(F.min("key").alias("low"))
-        links = links.unionByName(keyed.join(lows, "near").where("key <> low").select(F.col("key").alias("u"), F.col("low").alias("v")))
-    links = links.distinct()
+        # Texts of one key may differ in their fingerprints, so all of these take part. Edges between fingerprints
+        # become edges between keys, so that both kinds of candidates meet in the same rounds.
+        keyed = durable(sketch.where("key <> 0").select("key", "fp").distinct())
+        lows = durable(keyed.groupBy("fp").agg(F.min("key").alias("low")))
+        ends = [lows.select(F.col("fp").alias(c), F.col("low").alias(f"{c}_low")) for c in "uv"]
+        linked = near(lows.select("fp")).join(ends[0], "u").join(ends[1], "v").where("u_low <> v_low").select(F.col("u_low").alias("u"), F.col("v_low").alias("v"))
+        links = links.unionByName(keyed.join(lows, "fp").where("key <> low").select(F.col("key").alias("u"), F.col("low").alias("v"))).unionByName(linked)
     placed = connected_components(links).withColumnRenamed("node", "key")
     # A Parquet table has a known size, so that the texts are not shuffled while few of them have met another one.
     parts = placed.groupBy("component").agg(F.ceil(F.count("*") / group).cast("int").alias("parts"))

@@ -19,7 +19,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,12 +29,10 @@ from scholia.plans.lineage import durable
 
 RADIUS = 2
 SHINGLE = 3
-SEED = 42
 #: Nodes above this many fingerprints are split, by so many further bits.
 LEAF, STEP = 256, 6
 #: Neighbours of a leaf that are dropped together, and pairs of leaves that are compared at a time.
 RUN, _PAIRS = 8, 128
-_BLOCK = 1 << 16
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -44,20 +41,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     A bit is set if more than half of the shingle hashes set it. Texts without words (null, empty or
     blank) give 0; a text shorter than a shingle is one shingle.
     """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    n = max(1, len(words) - shingle + 1)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    first = [0, *ends[: n - 1].tolist()]
-    last = (ends[-n:] - 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    counts = np.zeros(64, np.int64)
-    for at in range(0, n, _BLOCK):
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(first[at : at + _BLOCK], last[at : at + _BLOCK], strict=True)], "<u8")
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
+    return jaccard.majority(jaccard.hashes(text, shingle))
 
 
 def text_key(text: F.Column) -> F.Column:
@@ -279,10 +263,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     else:
         rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
         rows = rows.withColumn("text_hash", text_key(F.col("text")))
-        fps = durable(with_fingerprints(rows, "id", "text", shingle))
-        close = connected_components(near_links(fps.select("fp").distinct()))
-        near = fps.join(close.withColumnRenamed("node", "fp"), "fp", "left").select("id", "text_hash", F.coalesce("component", "fp").alias("near"))
-        found = jaccard.grouped(rows, shingle, threshold, near=near)
+        found = jaccard.grouped(rows, shingle, threshold, near=near_links)
     first = F.min(F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("text_hash").alias("h")))
     keep = found.groupBy("root").agg(first.alias("w")).select(F.col("w.id").alias("id"), F.col("w.h").alias("h")).alias("keep")
     # The row is one column, so that no name of its columns can meet a name used here.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholia.plans.lineage import durable
+from scholia.plans.lineage import durable, freeing
 
 
 def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", max_rounds: int = 60) -> DataFrame:
@@ -38,7 +38,8 @@ def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", max_r
 
 
 def _signature(e: DataFrame) -> tuple:
-    return tuple(e.agg(F.count("*"), F.coalesce(F.expr("bit_xor(xxhash64(u, v))"), F.lit(0))).first())
+    with freeing(e.sparkSession):
+        return tuple(e.agg(F.count("*"), F.coalesce(F.expr("bit_xor(xxhash64(u, v))"), F.lit(0))).first())
 
 
 def _large_star(e: DataFrame) -> DataFrame:

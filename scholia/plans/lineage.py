@@ -4,10 +4,33 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Whether Spark removes the shuffle files of a query once it has run.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def freeing(spark: SparkSession) -> Iterator[None]:
+    """Queries made and run in here leave no shuffle files; each runs once, as its rows are kept elsewhere or used up.
+
+    Else these files stay until the driver happens to collect its garbage, which long chains of small jobs don't bring about.
+    """
+    before = spark.conf.get(FREED, None)
+    spark.conf.set(FREED, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(FREED)
+        else:
+            spark.conf.set(FREED, before)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the session's ``spark.checkpoint.dir``; fall back to a local folder only in local mode."""
     sc = spark.sparkContext
@@ -25,7 +48,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def durable(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once in the reliable checkpoint folder, so that a lost executor costs no rows."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with freeing(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -33,7 +57,8 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with freeing(spark):
+        df.select("*").write.parquet(path)
     return spark.read.parquet(path)
 
 
