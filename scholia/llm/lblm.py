@@ -284,7 +284,7 @@ class LogBilinear:
             word = part[:, -1]
             cls = vocab.cls[word]
             got = _log_softmax_at(h, self.u, self.u_bias, cls)
-            order = np.argsort(cls, kind="stable")
+            order = _order(cls, vocab.n_classes)
             cuts = np.flatnonzero(np.diff(cls[order])) + 1
             for own in np.split(order, cuts):
                 a, b = vocab.start[cls[own[0]]], vocab.start[cls[own[0]] + 1]
@@ -322,8 +322,21 @@ def _step(param: np.ndarray, seen: np.ndarray, rows: np.ndarray, grads: np.ndarr
     order = _order(rows, len(param))
     rows = rows[order]
     starts = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-    g = np.add.reduceat(grads[order], starts, axis=0)
-    u = rows[starts]
+    _moved(param, seen, rows[starts], np.add.reduceat(grads[order], starts, axis=0), rate)
+
+
+def _step_by_column(param: np.ndarray, seen: np.ndarray, rows: np.ndarray, grads: np.ndarray, rate: float) -> None:
+    """As ``_step`` for many rows, whose gradients lie column by column: each column is summed by row without sorting."""
+    # In the types that counting takes, so that no column is converted.
+    rows, grads = rows.astype(np.intp), grads.astype(float)
+    u = np.flatnonzero(np.bincount(rows, minlength=len(param)))
+    g = np.empty((len(u), len(grads)), param.dtype)
+    for i, column in enumerate(grads):
+        g[:, i] = np.bincount(rows, column, len(param))[u]
+    _moved(param, seen, u, g, rate)
+
+
+def _moved(param: np.ndarray, seen: np.ndarray, u: np.ndarray, g: np.ndarray, rate: float) -> None:
     seen[u] += (g * g).reshape(len(u), -1).mean(axis=1)
     pace = rate / np.sqrt(seen[u])
     param[u] -= g * pace.reshape(-1, *[1] * (g.ndim - 1))
@@ -392,6 +405,7 @@ class Learner:
         self.net = LogBilinear(*(getattr(start, k).copy() for k in PARAMETERS), seen={k: v.copy() for k, v in start.seen.items()})
         self.times = {k: np.zeros(len(v), np.int64) for k, v in start.seen.items()}
         self.vocab, self.rate, self.rng = vocab, rate, np.random.default_rng(seed)
+        self.rooms: dict[str, np.ndarray] = {}
         weight = vocab.counts + 0.5
         cls_weight = np.add.reduceat(weight, vocab.start[:-1])
         self.ends = np.cumsum(weight)
@@ -400,6 +414,13 @@ class Learner:
         self.cls_noise = np.log(CLASS_NOISE * cls_weight / cls_weight.sum()).astype(np.float32)
         self.word_noise = np.log(WORD_NOISE * weight / cls_weight[vocab.cls]).astype(np.float32)
 
+    def room(self, name: str, *shape: int) -> np.ndarray:
+        """An array that keeps its memory from step to step; new pages cost more than the arithmetic in them."""
+        size = math.prod(shape)
+        if len(self.rooms.get(name, ())) < size:
+            self.rooms[name] = np.empty(size + size // 4, np.float32)
+        return self.rooms[name][:size].reshape(shape)
+
     def learn(self, found: np.ndarray) -> None:
         found = found[self.rng.permutation(len(found))]
         for at in range(0, len(found), STEP):
@@ -412,25 +433,28 @@ class Learner:
         ctx, word = np.ascontiguousarray(part[:, :-1]), part[:, -1]
         cls = vocab.cls[word]
         n, dims = len(part), net.r.shape[1]
-        each = net.r.take(ctx.ravel(), axis=0).reshape(n, -1)
-        mix = net.mix.reshape(-1, dims)
-        h = each @ mix
+        each = net.r.take(ctx.ravel(), axis=0, out=self.room("each", n * CONTEXT, dims), mode="clip").reshape(n, -1)
+        h = np.matmul(each, net.mix.reshape(-1, dims), out=self.room("h", n, dims))
 
         drawn = np.minimum(np.searchsorted(self.cls_ends, self.rng.random(CLASS_NOISE) * self.cls_ends[-1]), vocab.n_classes - 1)
         own = _sigmoid(np.einsum("bd,bd->b", h, net.u[cls]) + net.u_bias[cls] - self.cls_noise[cls]) - 1
-        away = _sigmoid(h @ net.u[drawn].T + (net.u_bias[drawn] - self.cls_noise[drawn]))
-        g_h = own[:, None] * net.u[cls] + away @ net.u[drawn]
+        away = np.matmul(h, net.u[drawn].T, out=self.room("away", n, CLASS_NOISE))
+        away += net.u_bias[drawn] - self.cls_noise[drawn]
+        _sigmoid(away)
+        g_h = np.matmul(away, net.u[drawn], out=self.room("g_h", n, dims))
+        own_h = self.room("own_h", n, dims)
+        g_h += np.multiply(own[:, None], net.u.take(cls, axis=0, out=own_h, mode="clip"), out=own_h)
         starts = np.flatnonzero(np.append(True, cls[1:] != cls[:-1]))
-        g_u, g_ub = [np.add.reduceat(own[:, None] * h, starts, axis=0), away.T @ h], [np.add.reduceat(own, starts), away.sum(axis=0)]
+        g_u, g_ub = [np.add.reduceat(np.multiply(own[:, None], h, out=own_h), starts, axis=0), away.T @ h], [np.add.reduceat(own, starts), away.sum(axis=0)]
         u_rows = np.concatenate([cls[starts], drawn])
 
-        qw = net.q.take(word, axis=0)
+        qw = net.q.take(word, axis=0, out=self.room("qw", n, dims), mode="clip")
         own = _sigmoid(np.einsum("bd,bd->b", h, qw) + net.q_bias[word] - self.word_noise[word]) - 1
         alone = (vocab.start[cls + 1] - vocab.start[cls]) == 1
         own[alone] = 0
-        g_h += own[:, None] * qw
+        g_h += np.multiply(own[:, None], qw, out=own_h)
         at = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-        g_q, g_qb, q_rows = [np.add.reduceat(own[:, None] * h, at, axis=0)], [np.add.reduceat(own, at)], [word[at]]
+        g_q, g_qb, q_rows = [np.add.reduceat(np.multiply(own[:, None], h, out=own_h), at, axis=0)], [np.add.reduceat(own, at)], [word[at]]
         # Blocks of positions of one class share words drawn from it; places past the end of a class count nothing.
         sizes = np.diff(np.append(starts, n))
         blocks = -(-sizes // BLOCK)
@@ -443,13 +467,19 @@ class Learner:
         low, high = vocab.start[c], vocab.start[c + 1]
         w = self.below[low][:, None] + self.rng.random((len(c), WORD_NOISE)) * (self.below[high] - self.below[low])[:, None]
         w = np.clip(np.searchsorted(self.ends, w), low[:, None], high[:, None] - 1)
-        q, part_h = net.q[w], h[spots]
-        away = _sigmoid(part_h @ q.transpose(0, 2, 1) + (net.q_bias[w] - self.word_noise[w])[:, None, :]) * there[:, :, None]
-        g_h[spots[there]] += (away @ q)[there]
+        q = net.q.take(w, axis=0, out=self.room("q", *w.shape, dims), mode="clip")
+        part_h = h.take(spots, axis=0, out=self.room("part_h", *spots.shape, dims), mode="clip")
+        away = np.matmul(part_h, q.transpose(0, 2, 1), out=self.room("word_away", *spots.shape, WORD_NOISE))
+        away += (net.q_bias[w] - self.word_noise[w])[:, None, :]
+        _sigmoid(away)
+        away *= there[:, :, None]
+        g_h[spots[there]] += np.matmul(away, q, out=self.room("word_g", *spots.shape, dims))[there]
         g_q.append((away.transpose(0, 2, 1) @ part_h).reshape(-1, dims))
         g_qb.append(away.sum(axis=1).ravel())
         q_rows.append(w.ravel())
-        g_each = (g_h @ mix.T).reshape(-1, dims)
+        # Column by column, each with the places of the context one after the other.
+        turned = net.mix.transpose(1, 0, 2).reshape(-1, dims)
+        g_each = np.matmul(turned, g_h.T, out=self.room("g_each", dims * CONTEXT, n)).reshape(dims, -1)
         g_mix = (each.T @ g_h).reshape(net.mix.shape)
 
         self.times["u"] += np.bincount(cls, minlength=len(self.times["u"]))
@@ -459,9 +489,9 @@ class Learner:
         q_rows = np.concatenate(q_rows)
         _step(net.u, net.seen["u"], u_rows, np.concatenate(g_u), rate)
         _step(net.u_bias, net.seen["u_bias"], u_rows, np.concatenate(g_ub), rate)
-        _step(net.q, net.seen["q"], q_rows, np.concatenate(g_q), rate)
+        _step_by_column(net.q, net.seen["q"], q_rows, np.concatenate(g_q).T.copy(), rate)
         _step(net.q_bias, net.seen["q_bias"], q_rows, np.concatenate(g_qb), rate)
-        _step(net.r, net.seen["r"], ctx.ravel(), g_each, rate)
+        _step_by_column(net.r, net.seen["r"], ctx.T.ravel(), g_each, rate)
         _step(net.mix, net.seen["mix"], np.arange(CONTEXT), g_mix, rate)
 
     def changes(self, start: LogBilinear) -> np.ndarray:
@@ -476,11 +506,12 @@ class Learner:
 
 
 def _sigmoid(s: np.ndarray) -> np.ndarray:
-    s *= np.float32(0.5)
-    np.tanh(s, out=s)
+    """In place; far below zero the exponential is infinite and the result zero."""
+    np.negative(s, out=s)
+    with np.errstate(over="ignore"):
+        np.exp(s, out=s)
     s += np.float32(1)
-    s *= np.float32(0.5)
-    return s
+    return np.reciprocal(s, out=s)
 
 
 def learn_all(docs: DataFrame, known, model: LogBilinear, text_col: str = "text") -> int:

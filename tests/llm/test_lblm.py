@@ -159,3 +159,27 @@ def test_positions_outside_the_drawn_ones_are_learned_by_all_tasks(spark, monkey
     assert learned == [60 * 8_001] == [got[100].train_tokens]
     # A count of words alone gives -0.6 a token.
     assert got[100].score > -0.3 * got[100].n_tokens and got[100].base_score < -0.59 * got[100].n_tokens
+
+
+def test_column_sums_and_kept_memory_give_the_plain_steps():
+    """Gradients summed by column move rows as those summed after sorting, and a step's results don't hang on the memory it finds."""
+    rng = np.random.default_rng(5)
+    rows, grads = rng.integers(0, 40, 300).astype(np.int32), rng.normal(size=(300, 6)).astype(np.float32)
+    moved = []
+    for step, given in ((lblm._step, grads), (lblm._step_by_column, grads.T)):
+        param, seen = np.ones((50, 6), np.float32), np.full(50, 1e-3, np.float32)
+        step(param, seen, rows, given, 0.1)
+        moved.append((param, seen))
+    assert np.allclose(moved[0][0], moved[1][0], atol=1e-5) and np.allclose(moved[0][1], moved[1][1], rtol=1e-4)
+
+    vocab = vocabulary({f"w{i}{e}": 60 + i for i in range(20) for e in ("en", "on", "st")})
+    words = list(vocab.row)
+    found = vocab.windows([words[i] for i in rng.integers(0, len(words), 5_000)])
+    start = lblm.train(found, vocab, dims=4, least_steps=20)
+    used, fresh = lblm.Learner(start, vocab, 1), lblm.Learner(start, vocab, 1)
+    for name in ("each", "h", "away", "g_h", "own_h", "qw", "q", "part_h", "word_away", "word_g", "g_each"):
+        used.room(name, 200_000)[:] = np.nan
+    for learner in (used, fresh):
+        learner.learn(found)
+    assert all(np.array_equal(getattr(used.net, k), getattr(fresh.net, k)) and np.isfinite(getattr(used.net, k)).all() for k in lblm.PARAMETERS)
+    assert used.net.log10(found, vocab, used.net.tables()).mean() > start.log10(found, vocab, start.tables()).mean() - 0.05
