@@ -17,10 +17,8 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -57,28 +55,59 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """All ``tokens`` of some texts, one after the other, as places among their distinct words; these; how many each text has."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    sizes, words = pc.list_value_length(parts).to_numpy().astype(np.int64), parts.flatten()
+    # A blank at either end of a text splits off an empty word.
+    empty = pc.equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+    if empty.any():
+        sizes -= np.bincount(np.repeat(np.arange(len(sizes)), sizes)[empty], minlength=len(sizes))
+        words = words.filter(pa.array(~empty))
+    coded = words.dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary, sizes
+
+
+def with_ends(at: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
+    """``at`` with ``end`` after each text's ``sizes`` tokens."""
+    out = np.full(len(at) + len(sizes), end, at.dtype)
+    out[np.arange(len(at)) + np.repeat(np.arange(len(sizes)), sizes)] = at
+    return out
+
+
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``(word, n)`` of all tokens of ``docs``; the end counts once per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        held, ends = [], 0
         for batch in batches:
             for part in text_slices(batch, "text"):
-                for t in part.column("text").to_pylist():
-                    seen.update(tokens(t))
-                seen[END.encode()] += part.num_rows
-                if len(seen) > FLUSH:
-                    yield _counted(seen)
-                    seen = Counter()
-        if seen:
-            yield _counted(seen)
+                at, words, _ = split_words(part.column("text"))
+                held.append((words, np.bincount(at, minlength=len(words))))
+                ends += part.num_rows
+                if sum(len(n) for _, n in held) > 2 * FLUSH:
+                    held = [_summed(held)]
+                    if len(held[0][1]) > FLUSH:
+                        yield _counted(*held.pop())
+        if held:
+            yield _counted(*_summed(held))
+        if ends:
+            yield _counted(pa.array([END]), np.array([ends]))
 
     parts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "word string, n long")
     return parts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _counted(seen: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()).cast(pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+def _summed(held: list[tuple[pa.Array, np.ndarray]]) -> tuple[pa.Array, np.ndarray]:
+    """Counts of words, each word once."""
+    if len(held) == 1:
+        return held[0]
+    coded = pa.concat_arrays([w for w, _ in held]).dictionary_encode()
+    return coded.dictionary, np.bincount(coded.indices.to_numpy(), np.concatenate([n for _, n in held]), len(coded.dictionary))
+
+
+def _counted(words: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([words, pa.array(n.astype(np.int64))], ["word", "n"])
 
 
 def most_frequent(counts: DataFrame, most: int | None = None) -> list[tuple[str, int]]:
@@ -106,18 +135,6 @@ def most_frequent(counts: DataFrame, most: int | None = None) -> list[tuple[str,
     return sorted(((r.word, r.n) for r in keyed.where(wanted).select("word", "n").collect()), key=lambda x: (-x[1], x[0]))
 
 
-class Met(dict):
-    """Numbers of words; that of a new word is found out once and remembered."""
-
-    def __init__(self, known: dict[bytes, int], number):
-        super().__init__(known)
-        self.number = number
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = found = self.number(word)
-        return found
-
-
 class Vocabulary:
     """Rows of the model: class by class its words and, last, the place of its rarer words; the end stands alone."""
 
@@ -151,6 +168,8 @@ class Vocabulary:
         self.is_rest[self.start[1:] - 1] = True
         self.is_rest[self.end] = False
         self.met = dict(self.row)
+        self.own = pa.array([w.decode() for w in self.row], pa.string())
+        self.own_rows = np.array(list(self.row.values()), np.int32)
 
     def class_of(self, word: str) -> int:
         e = word[-2:]
@@ -175,14 +194,19 @@ class Vocabulary:
         padded = np.concatenate([np.full(CONTEXT, self.begin, np.int32), self.rows(words), np.array([self.end], np.int32)])
         return np.lib.stride_tricks.sliding_window_view(padded, CONTEXT + 1)
 
-    def text_windows(self, texts: list[list[bytes]]) -> np.ndarray:
+    def classes(self, words: pa.Array) -> np.ndarray:
+        """``class_of`` every word; only distinct endings are looked up one by one."""
+        coded = pc.utf8_slice_codeunits(words, -2, None).dictionary_encode()
+        return np.array([self.class_of(e) for e in coded.dictionary.to_pylist()], np.int32)[coded.indices.to_numpy()]
+
+    def distinct_rows(self, words: pa.Array) -> np.ndarray:
+        """Row of every word of some distinct ones."""
+        return _looked_up(words, self.own, self.own_rows, lambda other: (self.start[self.classes(other) + 1] - 1).astype(np.int32))
+
+    def text_windows(self, texts: pa.Array) -> np.ndarray:
         """(context, word) rows of every token of some texts, one after the other; each text has its own beginning."""
-        met = self.met
-        if not isinstance(met, Met) or len(met) > FLUSH:
-            met = self.met = Met(self.row | {END.encode(): self.end}, lambda w: int(self.start[self.class_of(w.decode()) + 1]) - 1)
-        words = chain.from_iterable((*t, END.encode()) for t in texts)
-        target = np.fromiter(map(met.__getitem__, words), np.int32)
-        sizes = np.array([len(t) + 1 for t in texts], np.int64)
+        at, words, sizes = split_words(texts)
+        target, sizes = with_ends(self.distinct_rows(words)[at], sizes, self.end), sizes + 1
         return self.spread(target, np.arange(len(target)) - np.repeat(np.cumsum(sizes) - sizes, sizes))
 
     def spread(self, target: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -208,6 +232,16 @@ class Vocabulary:
         return out
 
 
+def _looked_up(words: pa.Array, known: pa.Array, numbers: np.ndarray, other) -> np.ndarray:
+    """The number of each word of ``words`` that is ``known``; ``other`` gives those of all further words."""
+    at = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy()
+    new, out = at < 0, np.empty(len(at), np.int32)
+    out[~new] = numbers[at[~new]]
+    if new.any():
+        out[new] = other(words.filter(pa.array(new)))
+    return out
+
+
 def vocabulary(counts: DataFrame, most: int | None = None) -> tuple[Vocabulary, list[tuple[str, int]], int]:
     """The vocabulary of ``(word, n)``, the most frequent words with their counts, and how often the end occurs."""
     spark = counts.sparkSession
@@ -301,8 +335,9 @@ def _log_softmax_at(h: np.ndarray, vectors: np.ndarray, bias: np.ndarray, at: np
     """
     out, step = np.empty(len(h)), max(1, SCORES // len(vectors))
     turned, ones = np.concatenate([vectors.T, bias[None]]).astype(np.float32), np.ones(len(vectors), np.float32)
+    room = np.empty((min(step, len(h)), len(vectors)), np.float32)
     for i in range(0, len(h), step):
-        s = h[i : i + step] @ turned
+        s = np.matmul(h[i : i + step], turned, out=room[: len(h) - i])
         places = np.arange(len(s)) * len(vectors) + at[i : i + step]
         chosen = s.ravel().take(places)
         if not (s.max() < SAFE and chosen.min() > -SAFE):
@@ -327,19 +362,35 @@ def _step(param: np.ndarray, seen: np.ndarray, rows: np.ndarray, grads: np.ndarr
 
 def _step_by_column(param: np.ndarray, seen: np.ndarray, rows: np.ndarray, grads: np.ndarray, rate: float) -> None:
     """As ``_step`` for many rows, whose gradients lie column by column: each column is summed by row without sorting."""
-    # In the types that counting takes, so that no column is converted.
-    rows, grads = rows.astype(np.intp), grads.astype(float)
-    u = np.flatnonzero(np.bincount(rows, minlength=len(param)))
-    g = np.empty((len(u), len(grads)), param.dtype)
-    for i, column in enumerate(grads):
-        g[:, i] = np.bincount(rows, column, len(param))[u]
-    _moved(param, seen, u, g, rate)
+    u, (at,) = _numbered(len(param), rows)
+    _moved(param, seen, u, _sums_by_column(at, grads.astype(float, order="C"), len(u)).T.astype(param.dtype, order="C"), rate)
+
+
+def _numbered(n_rows: int, *rows: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The rows that occur, and each of ``rows`` as places among them: their sums then stay in a core's nearest cache."""
+    there = np.zeros(n_rows, bool)
+    for r in rows:
+        there[r] = True
+    u, place = np.flatnonzero(there), np.empty(n_rows, np.intp)
+    place[u] = np.arange(len(u))
+    return u, [place[r] for r in rows]
+
+
+def _sums_by_column(at: np.ndarray, columns: np.ndarray, n: int, out: np.ndarray | None = None) -> np.ndarray:
+    """Each of ``columns`` summed by place; both have the types that counting takes, so that no column is converted."""
+    out = np.empty((len(columns), n), np.float32) if out is None else out
+    for column, into in zip(columns, out, strict=True):
+        into[:] = np.bincount(at, column, n)
+    return out
 
 
 def _moved(param: np.ndarray, seen: np.ndarray, u: np.ndarray, g: np.ndarray, rate: float) -> None:
-    seen[u] += (g * g).reshape(len(u), -1).mean(axis=1)
-    pace = rate / np.sqrt(seen[u])
-    param[u] -= g * pace.reshape(-1, *[1] * (g.ndim - 1))
+    """``g`` is used up."""
+    flat = g.reshape(len(u), -1)
+    now = seen[u] + np.einsum("vd,vd->v", flat, flat) / np.float32(flat.shape[1])
+    seen[u] = now
+    flat *= (rate / np.sqrt(now)).astype(flat.dtype)[:, None]
+    param[u] = np.subtract(param.take(u, axis=0), g, out=g)
 
 
 def _away(s: np.ndarray) -> np.ndarray:
@@ -422,7 +473,8 @@ class Learner:
         return self.rooms[name][:size].reshape(shape)
 
     def learn(self, found: np.ndarray) -> None:
-        found = found[self.rng.permutation(len(found))]
+        # Whole rows are moved at once.
+        found = np.ascontiguousarray(found, np.int32).view(f"V{4 * found.shape[1]}")[self.rng.permutation(len(found))].view(np.int32).reshape(found.shape)
         for at in range(0, len(found), STEP):
             self.step(found[at : at + STEP])
 
@@ -430,23 +482,30 @@ class Learner:
         net, vocab, rate = self.net, self.vocab, self.rate
         # In the order of words, which is that of classes too: rows of one word or class lie together.
         part = part[_order(part[:, -1], len(vocab.counts))]
-        ctx, word = np.ascontiguousarray(part[:, :-1]), part[:, -1]
+        word = part[:, -1]
         cls = vocab.cls[word]
         n, dims = len(part), net.r.shape[1]
-        each = net.r.take(ctx.ravel(), axis=0, out=self.room("each", n * CONTEXT, dims), mode="clip").reshape(n, -1)
-        h = np.matmul(each, net.mix.reshape(-1, dims), out=self.room("h", n, dims))
+        # What each row that occurs adds at each place of the context, and the sum of these over a position's context.
+        turned = net.mix.transpose(1, 0, 2).reshape(dims, -1)
+        met, places = _numbered(len(net.r), *part[:, :-1].T)
+        own_r = net.r.take(met, axis=0)
+        adds = np.matmul(own_r, turned, out=self.room("adds", len(met), CONTEXT * dims)).reshape(len(met), CONTEXT, dims)
+        h, own_h = self.room("h", n, dims), self.room("own_h", n, dims)
+        adds[:, 0].take(places[0], axis=0, out=h, mode="clip")
+        for i in range(1, CONTEXT):
+            h += adds[:, i].take(places[i], axis=0, out=own_h, mode="clip")
 
         drawn = np.minimum(np.searchsorted(self.cls_ends, self.rng.random(CLASS_NOISE) * self.cls_ends[-1]), vocab.n_classes - 1)
-        own = _sigmoid(np.einsum("bd,bd->b", h, net.u[cls]) + net.u_bias[cls] - self.cls_noise[cls]) - 1
+        own_u = net.u.take(cls, axis=0, out=self.room("own_u", n, dims), mode="clip")
+        own_c = _sigmoid(np.einsum("bd,bd->b", h, own_u) + (net.u_bias - self.cls_noise)[cls]) - 1
         away = np.matmul(h, net.u[drawn].T, out=self.room("away", n, CLASS_NOISE))
         away += net.u_bias[drawn] - self.cls_noise[drawn]
         _sigmoid(away)
         g_h = np.matmul(away, net.u[drawn], out=self.room("g_h", n, dims))
-        own_h = self.room("own_h", n, dims)
-        g_h += np.multiply(own[:, None], net.u.take(cls, axis=0, out=own_h, mode="clip"), out=own_h)
+        g_h += np.multiply(own_c[:, None], own_u, out=own_h)
+        ones = np.ones(max(n, BLOCK), np.float32)
         starts = np.flatnonzero(np.append(True, cls[1:] != cls[:-1]))
-        g_u, g_ub = [np.add.reduceat(np.multiply(own[:, None], h, out=own_h), starts, axis=0), away.T @ h], [np.add.reduceat(own, starts), away.sum(axis=0)]
-        u_rows = np.concatenate([cls[starts], drawn])
+        g_u, g_ub = away.T @ h, ones[:n] @ away
 
         qw = net.q.take(word, axis=0, out=self.room("qw", n, dims), mode="clip")
         own = _sigmoid(np.einsum("bd,bd->b", h, qw) + net.q_bias[word] - self.word_noise[word]) - 1
@@ -458,11 +517,13 @@ class Learner:
         # Blocks of positions of one class share words drawn from it; places past the end of a class count nothing.
         sizes = np.diff(np.append(starts, n))
         blocks = -(-sizes // BLOCK)
-        place = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        of_class = np.cumsum(blocks) - blocks
+        place = np.arange(blocks.sum()) - np.repeat(of_class, blocks)
         first = np.repeat(starts, blocks) + place * BLOCK
         last, c = np.repeat(starts + sizes, blocks), np.repeat(cls[starts], blocks)
         spots = first[:, None] + np.arange(BLOCK)
-        there = (spots < last[:, None]) & (vocab.start[c + 1] - vocab.start[c] > 1)[:, None]
+        inside = spots < last[:, None]
+        there = inside & (vocab.start[c + 1] - vocab.start[c] > 1)[:, None]
         spots = np.minimum(spots, n - 1)
         low, high = vocab.start[c], vocab.start[c + 1]
         w = self.below[low][:, None] + self.rng.random((len(c), WORD_NOISE)) * (self.below[high] - self.below[low])[:, None]
@@ -473,26 +534,35 @@ class Learner:
         away += (net.q_bias[w] - self.word_noise[w])[:, None, :]
         _sigmoid(away)
         away *= there[:, :, None]
-        g_h[spots[there]] += np.matmul(away, q, out=self.room("word_g", *spots.shape, dims))[there]
+        # The places inside, block by block, are all positions in their order.
+        word_g = np.matmul(away, q, out=self.room("word_g", *spots.shape, dims)).reshape(-1, dims)
+        g_h += word_g.take(np.flatnonzero(inside), axis=0, out=own_h, mode="clip")
         g_q.append((away.transpose(0, 2, 1) @ part_h).reshape(-1, dims))
-        g_qb.append(away.sum(axis=1).ravel())
+        g_qb.append((ones[:BLOCK] @ away).ravel())
         q_rows.append(w.ravel())
-        # Column by column, each with the places of the context one after the other.
-        turned = net.mix.transpose(1, 0, 2).reshape(-1, dims)
-        g_each = np.matmul(turned, g_h.T, out=self.room("g_each", dims * CONTEXT, n)).reshape(dims, -1)
-        g_mix = (each.T @ g_h).reshape(net.mix.shape)
+        # Those of the classes themselves, by block and then by class.
+        own_blocks = (own_c[spots] * inside)[:, None, :] @ part_h
+        g_u = [np.add.reduceat(own_blocks[:, 0], of_class, axis=0), g_u]
+        g_ub, u_rows = [np.add.reduceat(own_c, starts), g_ub], np.concatenate([cls[starts], drawn])
+        # Gradients are summed by row of the context first, at each place of it, and only these sums are multiplied.
+        columns, sums = g_h.T.astype(float, order="C"), self.room("sums", CONTEXT, dims, len(met))
+        for i in range(CONTEXT):
+            _sums_by_column(places[i], columns, len(met), sums[i])
+        g_mix = np.matmul(sums, own_r).transpose(0, 2, 1)
+        g_r = sums.reshape(-1, len(met)).T @ net.mix.transpose(0, 2, 1).reshape(-1, dims)
 
         self.times["u"] += np.bincount(cls, minlength=len(self.times["u"]))
         self.times["q"] += np.bincount(word, minlength=len(self.times["q"]))
-        self.times["r"] += np.bincount(ctx.ravel(), minlength=len(self.times["r"]))
+        for p in places:
+            self.times["r"][met] += np.bincount(p, minlength=len(met))
         self.times["mix"] += n
         q_rows = np.concatenate(q_rows)
         _step(net.u, net.seen["u"], u_rows, np.concatenate(g_u), rate)
         _step(net.u_bias, net.seen["u_bias"], u_rows, np.concatenate(g_ub), rate)
-        _step_by_column(net.q, net.seen["q"], q_rows, np.concatenate(g_q).T.copy(), rate)
+        _step_by_column(net.q, net.seen["q"], q_rows, np.concatenate(g_q).T, rate)
         _step(net.q_bias, net.seen["q_bias"], q_rows, np.concatenate(g_qb), rate)
-        _step_by_column(net.r, net.seen["r"], ctx.T.ravel(), g_each, rate)
-        _step(net.mix, net.seen["mix"], np.arange(CONTEXT), g_mix, rate)
+        _moved(net.r, net.seen["r"], met, g_r, rate)
+        _step(net.mix, net.seen["mix"], np.arange(CONTEXT), np.ascontiguousarray(g_mix), rate)
 
     def changes(self, start: LogBilinear) -> np.ndarray:
         """Per row how often it occurred and so many times its change, all parameters one after the other."""
@@ -527,7 +597,7 @@ def learn_all(docs: DataFrame, known, model: LogBilinear, text_col: str = "text"
         for batch in batches:
             for part in text_slices(batch, "text", 4 << 20):
                 learner = learner or Learner(given.value, vocab, task)
-                learner.learn(vocab.text_windows([tokens(t) for t in part.column("text").to_pylist()]))
+                learner.learn(vocab.text_windows(part.column("text")))
         if learner:
             parts = np.array_split(learner.changes(given.value).astype("<f4"), SLICES)
             yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([task // TASKS] * SLICES, pa.int32()), pa.array([int(learner.times["mix"][0])] * SLICES, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["slice", "tasks", "n", "sums"])
@@ -567,7 +637,8 @@ def score(docs: DataFrame, training: F.Column, id_col: str = "doc_id", text_col:
     known = spark.sparkContext.broadcast(vocab)
     model = train(examples(learned, known, min(1.0, EXAMPLES / max(1, n_all))), vocab)
     learn_all(learned, known, model)
-    fitted = spark.sparkContext.broadcast((head, n_end, n_all, v_all, model))
+    held = pa.array([w for w, _ in head], pa.string()), np.array([n for _, n in head], np.int64)
+    fitted = spark.sparkContext.broadcast((*held, n_end, n_all, v_all, model))
 
     rows = rows.withColumn("row", F.monotonically_increasing_id())
     schema = "row long, word string, times long, id long, training boolean, n_tokens long, n_known long, base_score double, score double"
@@ -585,29 +656,24 @@ def score(docs: DataFrame, training: F.Column, id_col: str = "doc_id", text_col:
     )
 
 
-def _score(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, head: list, n_end: int, n_all: int, v_all: int, model: LogBilinear) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, head: pa.Array, head_counts: np.ndarray, n_end: int, n_all: int, v_all: int, model: LogBilinear) -> Iterator[pa.RecordBatch]:
     """For each text what the head words and the model give, in a row of its own, and a row for each rarer word.
 
-    One look-up gives a word's code: its place among the head words, or else its class beyond them; the end comes last.
+    One look-up of a slice's distinct words gives their codes: the place among the head words, or else the class beyond them; the end comes last.
     """
     one_blas_thread()
     tables = model.tables()
     rare, end = len(head), len(head) + vocab.n_classes
-    fixed = {w.encode(): i for i, (w, _) in enumerate(head) if w != END} | {END.encode(): end}
-    coded = lambda w: rare + vocab.class_of(w.decode())
-    codes = Met(fixed, coded)
+    places = np.arange(rare, dtype=np.int32)
     # The log count of a rarer word is added by the join.
-    log_count = np.log10(np.array([n for _, n in head] + [0] * vocab.n_classes + [n_end], float) + 1)
-    row_of = np.concatenate([vocab.rows([w.encode() for w, _ in head]), vocab.start[1:] - 1, [vocab.end]]).astype(np.int32)
+    log_count = np.log10(np.concatenate([head_counts, np.zeros(vocab.n_classes), [n_end]]) + 1)
+    row_of = np.concatenate([vocab.distinct_rows(head), vocab.start[1:] - 1, [vocab.end]]).astype(np.int32)
     whole = math.log10(n_all + v_all + 1)
     for batch in batches:
         for part in text_slices(batch, "text", 2 << 20):
-            texts = [tokens(t) for t in part.column("text").to_pylist()]
-            words = list(chain.from_iterable((*t, END.encode()) for t in texts))
-            if len(codes) > FLUSH:
-                codes = Met(fixed, coded)
-            code = np.fromiter(map(codes.__getitem__, words), np.int32, len(words))
-            sizes = np.array([len(t) + 1 for t in texts], np.int64)
+            at, words, sizes = split_words(part.column("text"))
+            at, sizes = with_ends(at, sizes, len(words)), sizes + 1
+            code = np.append(_looked_up(words, head, places, lambda w: rare + vocab.classes(w)), np.int32(end))[at]
             starts = np.cumsum(sizes) - sizes
             # Each text has its own beginning before its first word.
             target, place = row_of[code], np.arange(len(code)) - np.repeat(starts, sizes)
@@ -620,20 +686,16 @@ def _score(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, head: list, n_e
             n_far = np.add.reduceat(far, starts, dtype=np.int64)
             base, score = np.add.reduceat(logs, starts) - sizes * whole, np.add.reduceat(lm, starts)
             n_known = sizes - n_far - (n_end <= 0)
-            numbers = part.column("row").to_pylist()
+            # A rarer word of a text is one row, however often the text has it.
+            text = np.repeat(np.arange(len(sizes)), sizes)[far]
+            tails, times = np.unique(text * len(words) + at[far], return_counts=True)
+            numbers, whose = part.column("row"), pa.array(tails // max(1, len(words)))
             # No word holds a blank, so a text's own row meets no count; being its own key it is dealt evenly.
-            rows, keys, times = list(numbers), [b" %d" % row for row in numbers], [0] * len(numbers)
-            tails, at = [words[i] for i in np.flatnonzero(far).tolist()], 0
-            for row, n in zip(numbers, n_far.tolist(), strict=True):
-                if n:
-                    tail = Counter(tails[at : at + n])
-                    at += n
-                    rows += [row] * len(tail)
-                    keys += tail
-                    times += tail.values()
+            rows = pa.concat_arrays([numbers, numbers.take(whose)])
+            keys = pa.concat_arrays([pa.array([" %d" % row for row in numbers.to_pylist()], pa.string()), words.take(pa.array(tails % max(1, len(words))))])
             nulls = lambda a: pa.concat_arrays([a, pa.nulls(len(rows) - len(a), a.type)])
             own = [part.column("id"), part.column("training"), *map(pa.array, (sizes, n_known, base, score))]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows, pa.int64()), pa.array(keys, pa.binary()).cast(pa.string()), pa.array(times, pa.int64()), *map(nulls, own)],
+                [rows, keys, pa.array(np.concatenate([np.zeros(len(sizes), np.int64), times])), *map(nulls, own)],
                 ["row", "word", "times", "id", "training", "n_tokens", "n_known", "base_score", "score"],
             )

@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,3 +184,74 @@ def test_column_sums_and_kept_memory_give_the_plain_steps():
         learner.learn(found)
     assert all(np.array_equal(getattr(used.net, k), getattr(fresh.net, k)) and np.isfinite(getattr(used.net, k)).all() for k in lblm.PARAMETERS)
     assert used.net.log10(found, vocab, used.net.tables()).mean() > start.log10(found, vocab, start.tables()).mean() - 0.05
+
+
+def test_words_of_a_slice_are_looked_up_once():
+    """Tokens come from a slice's distinct words: the same as text by text, and a class is asked for once an ending, not once a word."""
+    odd = "".join(map(chr, [*range(1, 0x180), 0x85, 0xA0, 0x2003, 0x3000, 0x1F600]))
+    texts = [None, "", " ", "\n\n", " lead Trail ", "ÄÖ äÖ", odd, " x ".join(odd), "w3en w3EN other", *(f"w{i % 9}en rare{i}en rare{i}st" for i in range(400))]
+    at, distinct, sizes = lblm.split_words(pa.array(["cut off", *texts], pa.string()).slice(1))
+    wanted = [lblm.tokens(t) for t in texts]
+    assert len(set(distinct.to_pylist())) == len(distinct) and sizes.tolist() == [len(w) for w in wanted]
+    assert [distinct[i].as_py().encode() for i in at.tolist()] == [w for t in wanted for w in t]
+
+    vocab = vocabulary({f"w{i}en": 50 for i in range(9)})
+    windows, asked, real = np.concatenate([vocab.windows(w) for w in wanted]), [], vocab.class_of
+    vocab.class_of = lambda word: asked.append(word) or real(word)
+    assert np.array_equal(vocab.text_windows(pa.array(texts, pa.string())), windows)
+    assert len(asked) == len(set(asked)) and sum(a in ("en", "st") for a in asked) == 2
+
+
+def test_counts_of_many_slices_are_summed_in_the_task(spark, monkeypatch):
+    monkeypatch.setattr(lblm, "FLUSH", 40)
+    monkeypatch.setattr(lblm, "text_slices", lambda batch, column, limit=0: (batch.slice(i, 1) for i in range(batch.num_rows)))
+    texts = [None, "  ", *(" ".join(f"w{(i * j) % 61}" for j in range(1 + i % 50)) for i in range(200))]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    seen = Counter(w for t in texts for w in words(t))
+    assert {r.word: r.n for r in lblm.word_counts(df).collect()} == seen
+    assert lblm.word_counts(df.limit(0)).count() == 0
+
+
+def test_a_step_equals_one_written_out_by_position(monkeypatch):
+    """Sums over positions, blocks and rows of the context give the gradients of single positions and moves of AdaGrad."""
+    monkeypatch.setattr(lblm, "LEAST_COUNT", 3)
+    vocab = vocabulary({f"w{i}{e}": 1 + (i * 7) % 11 for i in range(30) for e in ("en", "on", "é", "x.", "st")})
+    rng = np.random.default_rng(2)
+    names = [b"w%d%s" % (i % 33, e) for i in range(99) for e in (b"en", b"on", b"st", b"q")]
+    found = vocab.windows([names[i] for i in rng.integers(0, len(names), 299)])
+    start = lblm.train(found, vocab, dims=4, least_steps=20)
+    learner = lblm.Learner(start, vocab, 3)
+    # The same draws in the same order.
+    draws = np.random.default_rng(3)
+    learner.step(found)
+    part = found[np.argsort(found[:, -1], kind="stable")]
+    p = {k: getattr(start, k).astype(float) for k in lblm.PARAMETERS}
+    g = {k: np.zeros_like(v) for k, v in p.items()}
+    drawn = np.minimum(np.searchsorted(learner.cls_ends, draws.random(lblm.CLASS_NOISE) * learner.cls_ends[-1]), vocab.n_classes - 1)
+    order = vocab.cls[part[:, -1]]
+    blocks = [at[i : i + lblm.BLOCK] for c in sorted(set(order)) for at in [np.flatnonzero(order == c)] for i in range(0, len(at), lblm.BLOCK)]
+    random = draws.random((len(blocks), lblm.WORD_NOISE))
+    for block, x in zip(blocks, random, strict=True):
+        c = order[block[0]]
+        low, high = vocab.start[c], vocab.start[c + 1]
+        noise = np.clip(np.searchsorted(learner.ends, learner.below[low] + x * (learner.below[high] - learner.below[low])), low, high - 1)
+        for *ctx, word in part[block].tolist():
+            h = sum(p["r"][k] @ p["mix"][i] for i, k in enumerate(ctx))
+            met = [("u", c, 1, learner.cls_noise), *(("u", k, 0, learner.cls_noise) for k in drawn)]
+            if high - low > 1:
+                met += [("q", word, 1, learner.word_noise), *(("q", k, 0, learner.word_noise) for k in noise)]
+            g_h = 0
+            for name, k, data, of_noise in met:
+                away = 1 / (1 + np.exp(-(h @ p[name][k] + p[f"{name}_bias"][k] - of_noise[k]))) - data
+                g_h = g_h + away * p[name][k]
+                g[name][k] += away * h
+                g[f"{name}_bias"][k] += away
+            for i, k in enumerate(ctx):
+                g["r"][k] += p["mix"][i] @ g_h
+                g["mix"][i] += np.outer(p["r"][k], g_h)
+    for k in lblm.PARAMETERS:
+        flat = g[k].reshape(len(g[k]), -1)
+        seen = start.seen[k] + (flat**2).mean(axis=1)
+        wanted = p[k] - (learner.rate / np.sqrt(seen)).reshape(-1, *[1] * (g[k].ndim - 1)) * g[k]
+        assert np.allclose(getattr(learner.net, k), wanted, atol=2e-5), k
+        assert np.allclose(learner.net.seen[k], seen, rtol=1e-3), k
