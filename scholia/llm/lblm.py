@@ -41,14 +41,16 @@ HEAD, OWN, LEAST_COUNT = 1 << 16, 1 << 13, 8
 EXAMPLES, WIDER = 800_000, 16
 #: Positions of a step in a task, classes that they share as noise, and so many words for each block of a class's positions.
 STEP, CLASS_NOISE, WORD_NOISE, BLOCK = 1 << 13, 64, 16, 32
+#: Positions of a step, and blocks of them, that are handled at a time, so that what they need stays in a core's cache; no result hangs on these.
+NEAR, NEAR_BLOCKS = 1 << 10, 64
 #: Slices of the parameters that are summed apart, and tasks whose changes are summed at a time.
 SLICES, TASKS = 16, 32
 #: Distinct words that a task counts before it passes its counts on, or remembers.
 FLUSH = 500_000
 #: Tokens that are scored at a time, and scores that are held at a time, so that they stay in a core's cache.
 CHUNK, SCORES = 1 << 17, 1 << 17
-#: Scores within this bound need no shift: the sums of their exponentials are normal single-precision numbers.
-SAFE = 60.0
+#: Scores above the negative of this, and sums of exponentials below that, need no shift: all are normal single-precision numbers.
+SAFE, MOST = 60.0, 1e26
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -309,12 +311,16 @@ class LogBilinear:
 
     def log10(self, found: np.ndarray, vocab: Vocabulary, tables: np.ndarray) -> np.ndarray:
         """log10 probability of the last token of each row after those before it: of its class times within its class."""
-        out = np.empty(len(found))
+        out, width = np.empty(len(found)), tables.shape[2]
+        room, added = np.empty((min(CHUNK, len(found)), width), np.float32), np.empty((min(NEAR, len(found)), width), np.float32)
         for at in range(0, len(found), CHUNK):
             part = found[at : at + CHUNK]
-            h = tables[0].take(part[:, 0], axis=0)
-            for i in range(1, CONTEXT):
-                h += tables[i].take(part[:, i], axis=0)
+            h = room[: len(part)]
+            for a in range(0, len(part), NEAR):
+                near, rows = h[a : a + NEAR], part[a : a + NEAR]
+                tables[0].take(rows[:, 0], axis=0, out=near, mode="clip")
+                for i in range(1, CONTEXT):
+                    near += tables[i].take(rows[:, i], axis=0, out=added[: len(near)], mode="clip")
             word = part[:, -1]
             cls = vocab.cls[word]
             got = _log_softmax_at(h, self.u, self.u_bias, cls)
@@ -331,19 +337,24 @@ class LogBilinear:
 def _log_softmax_at(h: np.ndarray, vectors: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
     """For each row of ``h``, which ends in a one, the log of the softmax over ``vectors`` at one place.
 
-    Scores are shifted by their maximum unless all of them, and those asked for, stay well inside the range of single precision.
+    Scores are shifted by their maximum unless the sums of their exponentials, and those asked for, stay well inside the range of single precision.
     """
     out, step = np.empty(len(h)), max(1, SCORES // len(vectors))
     turned, ones = np.concatenate([vectors.T, bias[None]]).astype(np.float32), np.ones(len(vectors), np.float32)
     room = np.empty((min(step, len(h)), len(vectors)), np.float32)
     for i in range(0, len(h), step):
-        s = np.matmul(h[i : i + step], turned, out=room[: len(h) - i])
+        near = h[i : i + step]
+        s = np.matmul(near, turned, out=room[: len(near)])
         places = np.arange(len(s)) * len(vectors) + at[i : i + step]
         chosen = s.ravel().take(places)
-        if not (s.max() < SAFE and chosen.min() > -SAFE):
+        with np.errstate(over="ignore"):
+            sums = np.exp(s, out=s) @ ones
+        if not (sums.max() < MOST and chosen.min() > -SAFE):
+            np.matmul(near, turned, out=s)
             s -= s.max(axis=1, keepdims=True)
             chosen = s.ravel().take(places)
-        out[i : i + step] = chosen - np.log(np.exp(s, out=s) @ ones)
+            sums = np.exp(s, out=s) @ ones
+        out[i : i + step] = chosen - np.log(sums)
     return out
 
 
@@ -424,8 +435,8 @@ def train(found: np.ndarray, vocab: Vocabulary, dims: int = 24, batch: int = 204
         part = found[rng.integers(0, len(found), batch)]
         ctx, word = part[:, :-1], part[:, -1]
         cls = vocab.cls[word]
-        each = net.r[ctx]
-        h = np.einsum("bcd,cde->be", each, net.mix)
+        each = net.r[ctx].reshape(batch, -1)
+        h = each @ net.mix.reshape(-1, dims)
         c = np.concatenate([cls[:, None], np.minimum(np.searchsorted(cls_ends, rng.random((batch, noise))), n_classes - 1)], axis=1)
         a, b = vocab.start[cls], vocab.start[cls + 1]
         drawn = below[a][:, None] + rng.random((batch, noise)) * (below[b] - below[a])[:, None]
@@ -439,8 +450,8 @@ def train(found: np.ndarray, vocab: Vocabulary, dims: int = 24, batch: int = 204
         _step(net.u_bias, seen["u_bias"], c.ravel(), g_c.ravel(), pace)
         _step(net.q, seen["q"], w.ravel(), (g_w[:, :, None] * h[:, None, :]).reshape(-1, dims), pace)
         _step(net.q_bias, seen["q_bias"], w.ravel(), g_w.ravel(), pace)
-        g_mix = np.einsum("bcd,be->cde", each, g_h)
-        _step(net.r, seen["r"], ctx.ravel(), np.einsum("be,cde->bcd", g_h, net.mix).reshape(-1, dims), pace)
+        g_mix = (each.T @ g_h).reshape(net.mix.shape)
+        _step(net.r, seen["r"], ctx.ravel(), (g_h @ net.mix.transpose(2, 0, 1).reshape(dims, -1)).reshape(-1, dims), pace)
         _step(net.mix, seen["mix"], np.arange(CONTEXT), g_mix, pace)
     return net
 
@@ -497,18 +508,23 @@ class Learner:
 
         drawn = np.minimum(np.searchsorted(self.cls_ends, self.rng.random(CLASS_NOISE) * self.cls_ends[-1]), vocab.n_classes - 1)
         own_u = net.u.take(cls, axis=0, out=self.room("own_u", n, dims), mode="clip")
-        own_c = _sigmoid(np.einsum("bd,bd->b", h, own_u) + (net.u_bias - self.cls_noise)[cls]) - 1
-        away = np.matmul(h, net.u[drawn].T, out=self.room("away", n, CLASS_NOISE))
-        away += net.u_bias[drawn] - self.cls_noise[drawn]
-        _sigmoid(away)
-        g_h = np.matmul(away, net.u[drawn], out=self.room("g_h", n, dims))
+        own_c = _sigmoid(-np.einsum("bd,bd->b", h, own_u) - (net.u_bias - self.cls_noise)[cls]) - 1
+        g_h, ones = self.room("g_h", n, dims), np.ones(max(NEAR, BLOCK), np.float32)
+        some_u, turned_u, bias = net.u[drawn], np.ascontiguousarray(-net.u[drawn].T), self.cls_noise[drawn] - net.u_bias[drawn]
+        g_u, g_ub = np.zeros((CLASS_NOISE, dims), np.float32), np.zeros(CLASS_NOISE, np.float32)
+        for i in range(0, n, NEAR):
+            near = h[i : i + NEAR]
+            away = np.matmul(near, turned_u, out=self.room("away", len(near), CLASS_NOISE))
+            away += bias
+            _sigmoid(away)
+            np.matmul(away, some_u, out=g_h[i : i + NEAR])
+            g_u += away.T @ near
+            g_ub += ones[: len(near)] @ away
         g_h += np.multiply(own_c[:, None], own_u, out=own_h)
-        ones = np.ones(max(n, BLOCK), np.float32)
         starts = np.flatnonzero(np.append(True, cls[1:] != cls[:-1]))
-        g_u, g_ub = away.T @ h, ones[:n] @ away
 
         qw = net.q.take(word, axis=0, out=self.room("qw", n, dims), mode="clip")
-        own = _sigmoid(np.einsum("bd,bd->b", h, qw) + net.q_bias[word] - self.word_noise[word]) - 1
+        own = _sigmoid(-np.einsum("bd,bd->b", h, qw) - (net.q_bias - self.word_noise)[word]) - 1
         alone = (vocab.start[cls + 1] - vocab.start[cls]) == 1
         own[alone] = 0
         g_h += np.multiply(own[:, None], qw, out=own_h)
@@ -528,21 +544,28 @@ class Learner:
         low, high = vocab.start[c], vocab.start[c + 1]
         w = self.below[low][:, None] + self.rng.random((len(c), WORD_NOISE)) * (self.below[high] - self.below[low])[:, None]
         w = np.clip(np.searchsorted(self.ends, w), low[:, None], high[:, None] - 1)
-        q = net.q.take(w, axis=0, out=self.room("q", *w.shape, dims), mode="clip")
-        part_h = h.take(spots, axis=0, out=self.room("part_h", *spots.shape, dims), mode="clip")
-        away = np.matmul(part_h, q.transpose(0, 2, 1), out=self.room("word_away", *spots.shape, WORD_NOISE))
-        away += (net.q_bias[w] - self.word_noise[w])[:, None, :]
-        _sigmoid(away)
-        away *= there[:, :, None]
-        # The places inside, block by block, are all positions in their order.
-        word_g = np.matmul(away, q, out=self.room("word_g", *spots.shape, dims)).reshape(-1, dims)
-        g_h += word_g.take(np.flatnonzero(inside), axis=0, out=own_h, mode="clip")
-        g_q.append((away.transpose(0, 2, 1) @ part_h).reshape(-1, dims))
-        g_qb.append((ones[:BLOCK] @ away).ravel())
+        word_bias = (self.word_noise - net.q_bias)[w]
+        own_blocks, noise_g, noise_gb = np.empty((len(c), dims), np.float32), np.empty((*w.shape, dims), np.float32), np.empty(w.shape, np.float32)
+        for i in range(0, len(c), NEAR_BLOCKS):
+            some, spot = slice(i, i + NEAR_BLOCKS), spots[i : i + NEAR_BLOCKS]
+            q = net.q.take(w[some], axis=0, out=self.room("q", len(spot), WORD_NOISE, dims), mode="clip")
+            part_h = h.take(spot, axis=0, out=self.room("part_h", *spot.shape, dims), mode="clip")
+            away = np.matmul(part_h, q.transpose(0, 2, 1), out=self.room("word_away", *spot.shape, WORD_NOISE))
+            np.subtract(word_bias[some][:, None, :], away, out=away)
+            _sigmoid(away)
+            away *= there[some][:, :, None]
+            # The places inside, block by block, are all positions in their order.
+            word_g = np.matmul(away, q, out=self.room("word_g", *spot.shape, dims)).reshape(-1, dims)
+            taken = np.flatnonzero(inside[some])
+            g_h[first[i] : first[i] + len(taken)] += word_g.take(taken, axis=0)
+            np.matmul(away.transpose(0, 2, 1), part_h, out=noise_g[some])
+            np.matmul(ones[:BLOCK], away, out=noise_gb[some])
+            # Those of the classes themselves, by block and then by class.
+            np.matmul((own_c[spot] * inside[some])[:, None, :], part_h, out=own_blocks[some][:, None, :])
+        g_q.append(noise_g.reshape(-1, dims))
+        g_qb.append(noise_gb.ravel())
         q_rows.append(w.ravel())
-        # Those of the classes themselves, by block and then by class.
-        own_blocks = (own_c[spots] * inside)[:, None, :] @ part_h
-        g_u = [np.add.reduceat(own_blocks[:, 0], of_class, axis=0), g_u]
+        g_u = [np.add.reduceat(own_blocks, of_class, axis=0), g_u]
         g_ub, u_rows = [np.add.reduceat(own_c, starts), g_ub], np.concatenate([cls[starts], drawn])
         # Gradients are summed by row of the context first, at each place of it, and only these sums are multiplied.
         columns, sums = g_h.T.astype(float, order="C"), self.room("sums", CONTEXT, dims, len(met))
@@ -576,8 +599,7 @@ class Learner:
 
 
 def _sigmoid(s: np.ndarray) -> np.ndarray:
-    """In place; far below zero the exponential is infinite and the result zero."""
-    np.negative(s, out=s)
+    """Of the negated ``s``, in place; far above zero the exponential is infinite and the result zero."""
     with np.errstate(over="ignore"):
         np.exp(s, out=s)
     s += np.float32(1)

@@ -216,6 +216,9 @@ def test_a_step_equals_one_written_out_by_position(monkeypatch):
     """Sums over positions, blocks and rows of the context give the gradients of single positions and moves of AdaGrad."""
     monkeypatch.setattr(lblm, "LEAST_COUNT", 3)
     vocab = vocabulary({f"w{i}{e}": 1 + (i * 7) % 11 for i in range(30) for e in ("en", "on", "é", "x.", "st")})
+    # Several parts of positions and of blocks.
+    monkeypatch.setattr(lblm, "NEAR", 100)
+    monkeypatch.setattr(lblm, "NEAR_BLOCKS", 5)
     rng = np.random.default_rng(2)
     names = [b"w%d%s" % (i % 33, e) for i in range(99) for e in (b"en", b"on", b"st", b"q")]
     found = vocab.windows([names[i] for i in rng.integers(0, len(names), 299)])
