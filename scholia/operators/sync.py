@@ -94,6 +94,10 @@ def _with_lines(text: F.Column, added: F.Column) -> F.Column:
     return F.array_join(F.concat(F.slice(lines, F.lit(1), at), added, after), "\n")
 
 
+def _linked(g: Graph) -> DataFrame:
+    return g.edges.where("kind <> 'superseded_by'").select("src", "dst").distinct()
+
+
 def link_add_plan(requests: DataFrame, g: Graph, entries: DataFrame) -> DataFrame:
     """``(src, dst, kind, ok, error, line)`` for rows ``(src, dst, kind, reason)``; ``link_texts`` makes the texts. Apply only if every row is ok.
 
@@ -101,8 +105,7 @@ def link_add_plan(requests: DataFrame, g: Graph, entries: DataFrame) -> DataFram
     """
     q = requests.join(entries.select(F.col("relpath").alias("src"), (_place(F.col("content"))[1] > 0).alias("place")), "src", "left")
     q = q.join(g.nodes.select(F.col("id").alias("dst"), F.col("title").alias("title"), F.lit(True).alias("known")), "dst", "left")
-    has = g.edges.where("kind <> 'superseded_by'").select("src", "dst", F.lit(True).alias("has")).distinct()
-    q = q.join(has, ["src", "dst"], "left")
+    q = q.join(_linked(g).withColumn("has", F.lit(True)), ["src", "dst"], "left")
     error = F.when(F.col("place").isNull(), "no such source").when(F.col("known").isNull(), "no such target").when(F.col("src") == F.col("dst"), "self link").when(F.col("title") == "", "target has no title").when(F.col("title").rlike(r"[\[\]]"), "target title holds brackets").when(~F.col("place") & F.col("has").isNull(), "no place for a link")
     line = F.concat(F.lit("- "), "kind", F.lit(": ["), "title", F.lit("]("), "dst", F.lit(")"), F.when(F.coalesce("reason", F.lit("")) != "", F.concat(F.lit(" — "), "reason")).otherwise(""))
     return q.select("src", "dst", "kind", error.isNull().alias("ok"), error.alias("error"), F.when(error.isNull() & F.col("has").isNull(), line).alias("line"))
@@ -121,8 +124,9 @@ def link_texts(entries: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def _back_links(requests: DataFrame, g: Graph, entries: DataFrame, reason: str) -> DataFrame:
+    """The ``link_add_plan`` of the back-links that are still to be made; one that is there needs neither a title nor a place."""
     asked = requests.select(F.col("new").alias("src"), F.col("old").alias("dst"), F.lit("amends").alias("kind"), F.lit(reason).alias("reason"))
-    return link_add_plan(asked, g, entries)
+    return link_add_plan(asked.join(_linked(g), ["src", "dst"], "left_anti"), g, entries)
 
 
 def supersede_plan(requests: DataFrame, g: Graph, chains: DataFrame, entries: DataFrame) -> DataFrame:
