@@ -18,3 +18,10 @@ def test_a_linked_entry_without_a_label_can_be_replaced(spark):
     assert {r.error for r in plan.collect()} == {None}
     plan, *_ = planned(spark, ("untitled", "other"), ("odd", "other"))
     assert {r.error for r in plan.collect()} == {"back-link: target has no title", "back-link: target title holds brackets"}
+
+
+def test_a_linked_entry_without_a_label_is_marked_and_nothing_added(spark):
+    plan, g, e = planned(spark, ("untitled", "new"))
+    (made,) = sync.superseded_texts(plan, g, e, "2026-09-01", "r").collect()
+    assert made.relpath == "2026/01/untitled.md"
+    assert made.new_text == "---\nstatus: superseded\nsuperseded_by: 2026/01/new.md\n---\n\n> **⚠ superseded (2026-09-01)** — current: [New](2026/01/new.md)\n\nold\n"
