@@ -21,7 +21,7 @@ def strip(c: F.Column, chars: str = r"\s") -> F.Column:
 
 def newlines(c: F.Column) -> F.Column:
     """Universal newlines, as a file read in text mode has them."""
-    return F.regexp_replace(c, r"\r\n?", "\n")
+    return F.when(F.contains(c, F.lit("\r")), F.regexp_replace(c, r"\r\n?", "\n")).otherwise(c)
 
 
 def file_name(path: F.Column) -> F.Column:
